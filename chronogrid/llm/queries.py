@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, token_counts
+from . import bpe_replay, ogg, token_counts, warc
 from .common import bounded_batches, table
 
 
@@ -18,9 +18,22 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op10_ogg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return ogg.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_warc_derivatives": op2_warc_derivatives,
+    "op10_ogg_round_trip": op10_ogg_round_trip,
     "op1_token_counts": op1_token_counts,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_derivatives": warc.ORACLE,
+}
