@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,49 @@ def encoder(path: str, special: bool = True):
 
 def hex_or_null(c: Column) -> Column:
     return F.lower(F.hex(c))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the session's shared checkpoint folder and read it back; this cuts its lineage."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def grouped(df: DataFrame, by: list[str], order: list[str], f: Callable[[pa.Table], pa.Table | None], schema: str, n: int | None = None) -> DataFrame:
+    """Run f on the rows of each key, streamed from sorted partitions, so that many small groups cost little.
+
+    A group is held whole; callers bound its size before.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            got = f(t)
+            if got is not None and got.num_rows:
+                yield from got.select(names).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            change = np.zeros(t.num_rows, bool)
+            for c in by:
+                v = t[c].combine_chunks()
+                change[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+            if held:
+                change[0] = any(held[-1][c][-1] != t[c][0] for c in by)
+            for at, end in itertools.pairwise([0, *np.flatnonzero(change[1:]) + 1, t.num_rows]):
+                if held and (at or change[0]):
+                    yield from out(pa.concat_tables(held))
+                    held = []
+                held.append(t.slice(at, end - at))
+        if held:
+            yield from out(pa.concat_tables(held))
+
+    dealt = df.repartition(*([n] if n else []), *by).sortWithinPartitions(*by, *order)
+    return dealt.mapInArrow(run, schema)

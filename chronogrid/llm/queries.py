@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, ogg, packing, token_counts, toxicity, warc
+from . import bpe_replay, minhash, ogg, packing, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -24,6 +24,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return bpe_replay.encode_decode(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op7_minhash": op7_minhash,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
