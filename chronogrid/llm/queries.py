@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, minhash, ogg, packing, token_counts, toxicity, warc
+from . import bpe_replay, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -29,6 +29,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return bpe_replay.encode_decode(table(spark, sf_dir, "documents"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
