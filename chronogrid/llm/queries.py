@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_replay, lattice, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -13,6 +13,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return lattice.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op10_ogg_round_trip": op10_ogg_round_trip,
     "op1_token_counts": op1_token_counts,
+    "op3_lattice_links": op3_lattice_links,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
