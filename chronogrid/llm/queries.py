@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, lattice, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_replay, fuzzy_passages, lattice, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -29,6 +29,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op6_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_lattice_links": op3_lattice_links,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_fuzzy_passages": op6_fuzzy_passages,
     "op7_minhash": op7_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,

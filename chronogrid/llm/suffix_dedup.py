@@ -369,16 +369,16 @@ def cut_out(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
         g = gone[s:e]
         stays = b.data[s:e][~g].tobytes()
         spans = int(g[:1].sum()) + int(np.count_nonzero(g[1:] & ~g[:-1])) if e > s else 0
-        rows.append((None if i == NO_ID else i, e - s, e - s - len(stays), spans, hashlib.sha256(stays).hexdigest(), stays if with_text else None))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        rows.append((None if i == NO_ID else i, e - s, e - s - len(stays), spans, hashlib.sha256(stays).hexdigest(), stays.decode("utf-8", "ignore") if with_text else None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), zip(*rows), kinds)})
 
 
-OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -400,6 +400,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     flags = keys.groupBy("part").applyInArrow(flag, "block long, part int, bits binary")
     runs = by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: make_runs(d, f, parts, ranges) if d.num_rows else RUN.empty_table(), RUN_DDL)
     found = runs.groupBy("range").applyInArrow(settle, "block long, windows binary")
-    nothing = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()))})
+    nothing = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))})
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(lambda d, f: cut_out(d, f, with_text) if d.num_rows else nothing, OUT_DDL)
     return out if with_text else out.drop("kept")

@@ -155,25 +155,39 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.frombuffer(got[0][0], "<i4").astype(np.int64), np.frombuffer(got[0][1], "<f4"), got[0][2])
 
 
-def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
+def margins(texts: list[str], model: Model, dense: np.ndarray, slice_chars: int = 1 << 20) -> np.ndarray:
+    """Log odds of each text, read about a megabyte at a time."""
+    wanted = dense != 0
+    out = np.full(len(texts), model.bias)
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and (n == 0 or n + len(texts[end]) <= slice_chars):
+            n += len(texts[end]) + 1
+            end += 1
+        doc, f = pairs(texts[at:end], wanted)
+        out[at:end] += np.bincount(doc, dense[f], end - at)
+        at = end
+    return out
+
+
+def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dense = model.dense()
-        wanted = dense != 0
-        texts = batch.column(1).to_pylist()
-        out = np.full(len(texts), model.bias)
-        at = 0
-        while at < len(texts):  # about a megabyte at a time
-            end, n = at, 0
-            while end < len(texts) and (n == 0 or n + len(texts[end]) <= slice_bytes):
-                n += len(texts[end]) + 1
-                end += 1
-            doc, f = pairs(texts[at:end], wanted)
-            out[at:end] += np.bincount(doc, dense[f], end - at)
-            at = end
-        score = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        score = 1 / (1 + np.exp(-np.clip(margins(batch.column(1).to_pylist(), model, model.dense()), -500, 500)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     out = per_batch(id_text(df, id_col, text_col), run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not predicted toxic; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(margins(texts, model, model.dense()) < 0))
+
+    return df.mapInArrow(run, df.schema)
