@@ -12,9 +12,9 @@ LABEL = r"^\d{2}:\d{2}[AP]M"
 
 
 def header_words(words: DataFrame, low: float = 85, high: float = 120) -> DataFrame:
-    """Hour labels in the header band, coordinates to two places; label is what the pattern matched."""
+    """Hour labels in the header band, coordinates to two places."""
     two = lambda c: F.round(F.col(c), 2).alias(c)
-    return words.where(F.col("top").between(low, high) & F.col("text").rlike(LABEL)).select("file", "page", F.regexp_extract("text", LABEL, 0).alias("label"), two("x0"), two("x1"), two("top"), two("bottom"))
+    return words.where(F.col("top").between(low, high) & F.col("text").rlike(LABEL)).select("file", "page", F.col("text").alias("label"), two("x0"), two("x1"), two("top"), two("bottom"))
 
 
 def expected_positions(values: DataFrame, label: str, value: str) -> DataFrame:
