@@ -10,8 +10,13 @@ FIELD = r"(?s)(Course|Staff|Room):\s*(.*?)(?=(?:Course|Staff|Room):|$)"
 NOISE = r"(?s)\s*(?:Wks|\[=|\(L\d).*$"
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def block_text(words: Column) -> Column:
@@ -64,7 +69,7 @@ def labelled_field(t: Column, name: str) -> Column:
 
 def room_name(v: Column) -> Column:
     """A room without one trailing single capital or digit."""
-    return F.trim(F.regexp_replace(v, r"\s+[A-Z0-9]\s*$", ""))
+    return strip(F.regexp_replace(v, r"\s+[A-Z0-9]\s*$", ""))
 
 
 def parse_block(t: Column, types: Column | None = None) -> Column:
@@ -96,7 +101,7 @@ def is_semester(c: Column) -> Column:
 
 def list_argument(c: Column) -> Column:
     """Comma-separated text as an array without blanks."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def confidence_class(c: Column, middle: str = "medium") -> Column:
