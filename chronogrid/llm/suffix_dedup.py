@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,8 +292,9 @@ def make_runs(docs: pa.Table, flags: pa.Table, parts: int, ranges: int) -> pa.Ta
     back = np.arange(1, SPREAD)
     left = data[np.maximum(at[:, None] - back, 0)]
     left_kept = back <= high[:, None]
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
-        add(range=int(which[s]), block=block, prefix=prefix[s:e].tobytes(), rest=right[s:e][kept[s:e]].tobytes(), left=left[s:e][left_kept[s:e]].tobytes(), low=low[s:e].astype(np.uint8).tobytes(), high=high[s:e].astype(np.uint8).tobytes(), at=at[s:e].astype("<u4").tobytes(), doc=ids[s:e].astype("<i8").tobytes())
+        add(range=int(which[s]), block=block, prefix=prefix[s:e].tobytes(), rest=squeeze(right[s:e][kept[s:e]].tobytes()), left=squeeze(left[s:e][left_kept[s:e]].tobytes()), low=low[s:e].astype(np.uint8).tobytes(), high=high[s:e].astype(np.uint8).tobytes(), at=at[s:e].astype("<u4").tobytes(), doc=squeeze(ids[s:e].astype("<i8").tobytes()))
     return pa.table(rows, schema=RUN)
 
 
@@ -300,13 +302,14 @@ def settle(runs: pa.Table) -> pa.Table:
     """Merge a range's runs; anchors whose windows also start in a smaller document, with a mask of offsets."""
     blocks, out = [], []
     strings, prefixes, of_block, low, high, at, doc, left = [], [], [], [], [], [], [], []
+    expand = zstandard.ZstdDecompressor().decompress
     for r in runs.select(RUN.names[1:]).to_pylist():
         if r["settled"]:
             blocks.append(r["block"])
             out.append(r["settled"])
             continue
         p = list(r["prefix"])
-        rest, k, s, run = r["rest"], 0, b"", []
+        rest, k, s, run = expand(r["rest"]), 0, b"", []
         for n in p:
             s = s[:n] + rest[k : k + WINDOW - n]
             k += WINDOW - n
@@ -317,9 +320,9 @@ def settle(runs: pa.Table) -> pa.Table:
         low.append(np.frombuffer(r["low"], np.uint8))
         high.append(np.frombuffer(r["high"], np.uint8))
         at.append(np.frombuffer(r["at"], "<u4"))
-        doc.append(np.frombuffer(r["doc"], "<i8"))
+        doc.append(np.frombuffer(expand(r["doc"]), "<i8"))
         m = np.zeros((len(p), SPREAD - 1), np.uint8)
-        m[np.arange(1, SPREAD) <= high[-1][:, None]] = np.frombuffer(r["left"], np.uint8)
+        m[np.arange(1, SPREAD) <= high[-1][:, None]] = np.frombuffer(expand(r["left"]), np.uint8)
         left.append(m)
     if strings:
         sizes = np.array([len(s) for s in strings])
@@ -382,7 +385,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    parts = ranges = min(65536, blocks)
+    parts = min(65536, blocks)
+    ranges = max(1, parts // 3)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def send_keys(t: pa.Table) -> pa.Table:
