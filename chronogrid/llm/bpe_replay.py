@@ -52,10 +52,10 @@ def merge_table(path: str) -> MergeTable:
     return MergeTable(ranks_of(path))
 
 
-def replay(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
-    """The ids of each word, by replaying every merge in rank order over all words."""
+def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words end to end and how many each has, by replaying every merge in rank order over all words."""
     if not words:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(sizes)
     total = int(ends[-1])
@@ -85,19 +85,22 @@ def replay(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
             return
         order = np.argsort(r, kind="stable")
         r, pos = r[order], pos[order]
-        cut = np.flatnonzero(np.diff(r)) + 1
-        for k, part in zip(r[np.r_[0, cut]].tolist(), np.split(pos, cut)):
+        starts = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1, len(r)].tolist()
+        for at, end, k in zip(starts, starts[1:], r[starts[:-1]].tolist()):
             if k in index:
-                index[k].append(part)
+                index[k].append(pos[at:end])
             else:
-                index[k] = [part]
+                index[k] = [pos[at:end]]
                 heapq.heappush(heap, k)
 
     enter(place[:-1] if total > 1 else place[:0])
     while heap:
         rank = heapq.heappop(heap)
         parts = index.pop(rank)
-        pos = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        pos = np.concatenate(parts)
+        pos.sort()
+        if len(parts) > 1:
+            pos = pos[np.r_[True, pos[1:] != pos[:-1]]]
         nxt = right[pos]
         a, b = sym[pos], sym[nxt]
         live = (a >= 0) & (b >= 0)
@@ -116,11 +119,12 @@ def replay(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
         right[pos] = after
         left[np.minimum(after, len(sym) - 1)] = pos
         before = left[pos]
-        enter(np.unique(np.concatenate([before[before >= 0], pos])))
+        keep = before >= 0
+        keep[1:] &= before[1:] != pos[:-1]  # those enter as merged themselves
+        enter(np.concatenate([before[keep], pos]))
     alive = sym[place] >= 0
     ids = sym[place][alive]
-    counts = np.add.reduceat(alive.astype(np.int64), ends - sizes)
-    return np.split(ids, np.cumsum(counts)[:-1])
+    return ids, np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
 
 class SliceCodec:
@@ -131,32 +135,42 @@ class SliceCodec:
         import regex
 
         self.table, self.split = merge_table(path), regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.ids_of: dict[str, str] = {}  # ids of a word, joined by commas
+        self.decoded: dict[str, bytes] = {}
         self.remembered = remembered
+        self.names = {r: str(r) for r in self.table.bytes_of}
 
     def learn(self, words: set[str]) -> None:
-        """Replay the merges over the words not met before."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
+        """Replay the merges over the words not met before, and decode their ids."""
+        new = [w for w in words if w not in self.ids_of]
+        if len(self.ids_of) + len(new) > self.remembered:
+            self.ids_of.clear(), self.decoded.clear()
             new = list(words)
-        of = self.table.bytes_of
-        for w, ids in zip(new, replay([w.encode() for w in new], self.table)):
-            ids = ids.tolist()
-            self.known[w] = (len(ids), ",".join(map(str, ids)), b"".join([of[i] for i in ids]))
+        of, names = self.table.bytes_of.__getitem__, self.names.__getitem__
+        ids, counts = replay([w.encode() for w in new], self.table)
+        ids = ids.tolist()
+        at = 0
+        for w, n in zip(new, counts.tolist()):
+            part = ids[at : at + n]
+            at += n
+            self.ids_of[w] = ",".join(map(names, part))
+            self.decoded[w] = b"".join(map(of, part))
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(tokens, hash of the ids, hash of the decoded bytes) of each text."""
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
-        for words in split:
-            got = [self.known[w] for w in words]
-            yield sum([g[0] for g in got]), hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()
+        words: set[str] = set()
+        for x in split:
+            words.update(x)
+        self.learn(words)
+        for x in split:
+            ids = ",".join(map(self.ids_of.__getitem__, x))
+            yield ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.decoded.__getitem__, x))).hexdigest()
 
     def ids(self, text: str) -> list[int]:
         words = self.split(text)
         self.learn(set(words))
-        return [int(i) for w in words for i in self.known[w][1].split(",")]
+        return [int(i) for w in words for i in self.ids_of[w].split(",")]
 
 
 def slices(texts, most: int) -> Iterator[list]:

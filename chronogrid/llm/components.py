@@ -8,6 +8,7 @@ split, and each round is cut off by a checkpoint in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
     e = stored(e, "edges")
-    seen = None
+    state = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
+    seen = state(e)
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -30,9 +32,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         e = stored(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
+        now = state(e)
         if now == seen:
             break
         seen = now
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest id of its component under the edges a-b."""
+    label = ids.copy()
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        if (label == before).all():
+            break
+    return label

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, per_batch, stored
-from .components import components
+from .components import components, local_components
 from .minhash import mix
 
 
@@ -167,18 +167,6 @@ def assign(classes: DataFrame, s: Settings) -> DataFrame:
     return classes.select("id", "dim", "vec").mapInArrow(run, "cell long, table int, id long")
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest id of its component under the edges a-b."""
-    label = ids.copy()
-    while len(a):
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        if (label == before).all():
-            break
-    return label
-
-
 def link_cell(t: pa.Table, s: Settings) -> pa.Table | None:
     """Links within a cell, or between two parts of one, that this cell must count."""
     if t.num_rows < 2:

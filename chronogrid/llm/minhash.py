@@ -8,11 +8,13 @@
 3. First round: every member of a bucket is paired with the bucket's smallest
    document only, so a bucket of n gives n - 1 pairs. Pairs whose signatures
    agree too little are dropped; the rest are confirmed on full sets.
-4. Components of the confirmed links are taken. Second round: only in buckets
-   that still hold several components, members of different ones are compared by
-   signature, in blocks of bounded size, and the close ones are confirmed. So
-   every pair that shares a bucket is linked, in one component already, or
-   refuted.
+4. Components of the confirmed links are taken. Second round: in buckets that
+   still hold several components, members of different ones are compared by
+   signature in blocks of bounded size, which gives families of documents with
+   close signatures; within a family, members outside its largest component are
+   held against all others on full sets, block by block. So every pair that
+   shares a bucket is linked, in one component already, or refuted, and no pairs
+   leave a task.
 5. Components by alternating large-star and small-star.
 
 Cases: null or empty texts, and texts without words, have no shingles and link
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, id_text, per_batch, stored
-from .components import components
+from .components import components, local_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +47,8 @@ class Settings:
     percent: int = 80
     bands: int = 40
     rows: int = 5
-    block: int = 1024  # members of a bucket compared at once in the second round
+    block: int = 1024  # members compared at once in the second round
+    stray_block: int = 128
 
     @property
     def hashes(self) -> int:
@@ -176,15 +179,16 @@ def agreeing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     return per_batch(met, run, "a long, b long")
 
 
-def _second_round(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) with close signatures in one bucket but in different components so far.
+def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Edges (a, b) that span the pairs with close signatures in one bucket but in different components so far.
 
     The largest component of a bucket is cut into blocks; the members outside it
-    go to each block, and are compared with each other in the first.
+    go to each block, and are compared with each other in the first. A block
+    returns no pairs, but for each member the smallest it is joined with.
     """
     m = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = m.groupBy("band", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("size")).where("components > 1")
+    buckets = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
     blocks = F.ceil(F.col("top.n") / s.block).cast("int")
     m = m.join(buckets.select("band", F.col("top.component").alias("top"), blocks.alias("blocks")), "band")
     own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -195,19 +199,68 @@ def _second_round(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Set
         ids, comp, top = (t[c].to_numpy() for c in ("id", "component", "in_top"))
         sigs = sigs_of(t["sig"], s.hashes)
         block = t["block"][0].as_py()
-        out: list[np.ndarray] = []
+        a, b = [], []
         for k in np.flatnonzero(~top):
-            other = (comp != comp[k]) & (top | ((block == 0) & (ids < ids[k])))
-            at = np.flatnonzero(other)
+            at = np.flatnonzero((comp != comp[k]) & (top | ((block == 0) & (ids < ids[k]))))
             if len(at):
                 at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
-                out.append(np.stack([np.full(len(at), ids[k]), ids[at]], 1))
+                a.append(np.full(len(at), k)), b.append(at)
+        if not a:
+            return None
+        to = local_components(len(ids), np.concatenate(a), np.concatenate(b), ids)
+        hit = to != ids
+        return pa.table({"a": ids[hit], "b": to[hit]})
+
+    return grouped(m, ["band", "block"], [], run, "a long, b long")
+
+
+def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different components of a family, at least one for each pair of components that has any.
+
+    Members outside a family's largest component are its strays. They are cut into
+    blocks, and so are all members; each pair of blocks is a task's work, in which
+    every stray is held against every member of another component on full sets,
+    if their signatures are close. Tasks return links, not pairs.
+    """
+    m = families.withColumnRenamed("component", "family").join(labels, "node", "left").select(F.col("node").alias("id"), "family", F.coalesce("component", "node").alias("component"))
+    sizes = m.groupBy("family", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda n, per: F.ceil(n / per).cast("int")
+    mixed = mixed.select("family", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n"), s.stray_block).alias("stray_blocks"), blocks(F.col("size"), s.block).alias("blocks"))
+    m = m.join(mixed, "family").withColumn("stray", F.col("component") != F.col("top"))
+    own = lambda n, salt: F.array(F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = m.withColumn("i", F.explode(all_of("stray_blocks"))).withColumn("j", F.explode(own("blocks", 1))).withColumn("asks", F.lit(False))
+    as_stray = m.where("stray").withColumn("i", F.explode(own("stray_blocks", 2))).withColumn("j", F.explode(all_of("blocks"))).withColumn("asks", F.lit(True))
+    dealt = as_member.unionAll(as_stray).select("family", "i", "j", "id", "component", "stray", "asks")
+    dealt = dealt.join(reps.select(F.col("doc_id").alias("id"), "sig").join(texts.withColumnRenamed("doc_id", "id"), "id"), "id")
+
+    def run(t: pa.Table) -> pa.Table | None:
+        ids, comp, stray, asks = (t[c].to_numpy() for c in ("id", "component", "stray", "asks"))
+        sigs = sigs_of(t["sig"], s.hashes)
+        members = np.flatnonzero(~asks)
+        sets = [shingles(x, s.words) for x in t["text"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        out: list[tuple[int, int]] = []
+        for k in np.flatnonzero(asks):
+            at = members[(comp[members] != comp[k]) & (~stray[members] | (ids[members] < ids[k]))]
+            at = at[(100 * np.minimum(sizes[at], sizes[k]) >= s.percent * np.maximum(sizes[at], sizes[k]))]
+            at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
+            if not len(at):
+                continue
+            mine = sets[k]
+            every = np.concatenate([sets[x] for x in at])
+            found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            both = np.add.reduceat(found, np.cumsum(sizes[at]) - sizes[at])
+            linked = at[100 * both >= s.percent * (sizes[at] + sizes[k] - both)]
+            _, first = np.unique(comp[linked], return_index=True)
+            out += [(int(ids[k]), int(ids[x])) for x in linked[first]]
         if not out:
             return None
-        p = np.concatenate(out)
+        p = np.array(out)
         return pa.table({"a": p.max(1), "b": p.min(1)})
 
-    return grouped(m, ["band", "block"], [], run, "a long, b long").distinct()
+    return grouped(dealt.select("family", "i", "j", "id", "component", "stray", "asks", "sig", "text"), ["family", "i", "j"], [], run, "a long, b long")
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,8 +285,9 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
     texts = stored(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     first = stored(confirm(close, texts, s), "links")
     labels = components(first)
-    more = stored(_second_round(members.where("n > 2").select("band", "id"), labels, reps, s), "close")
-    second = confirm(more, texts, s)
+    near = stored(_neighbourhoods(members.where("n > 2").select("band", "id"), labels, reps, s), "near")
+    families = components(close.unionAll(near))
+    second = _between(families, labels, reps, texts, s)
     every = stored(first.unionAll(second), "links")
     return sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left"), every, components(every)
 

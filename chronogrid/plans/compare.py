@@ -34,14 +34,14 @@ def run(rule: DataFrame, llm: DataFrame, key: str = "pdf", most: int = 90, times
     disagreements = full.join(diff, [key, "rule_idx", "llm_idx"]).select(key, F.col("rule.day").alias("day"), F.col("rule.start_time").alias("rule_start"), F.col("llm.start_time").alias("llm_start"), F.col("gap").alias("time_diff_min"), F.col("rule.course").alias("rule_course"), "differences")
     only = lambda df, idx: df.join(pairs.select(key, F.col(idx).alias("idx")), [key, "idx"], "left_anti")
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    lasting = lambda df, name: df.where("duration_minutes > 0").groupBy(key).agg(F.sum("duration_minutes").alias(f"{name}_minutes"), F.count("*").alias(f"{name}_lasting"))
     per_file = rule.select(key).unionAll(llm.select(key)).distinct()
     names = ("rule_count", "llm_count", "matched_count", "disagreement_count")
-    for df, name in zip((rule, llm, pairs, disagreements), names):
-        per_file = per_file.join(count(df, name), key, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    per_file = per_file.select(key, *(zero(n).alias(n) for n in names))
+    for df in (*map(count, (rule, llm, pairs, disagreements), names), lasting(rule, "rule"), lasting(llm, "llm")):
+        per_file = per_file.join(df, key, "left")
+    durations = ("rule_minutes", "rule_lasting", "llm_minutes", "llm_lasting")
+    per_file = per_file.select(key, *(F.coalesce(n, F.lit(0)).alias(n) for n in (*names, *durations)))
     per_file = per_file.withColumns({"only_rule_count": F.col("rule_count") - F.col("matched_count"), "only_llm_count": F.col("llm_count") - F.col("matched_count"), "match_rate": match_rate(F.col("matched_count"), F.col("rule_count"), F.col("llm_count"))})
-    sums = per_file.agg(*(F.sum(n).alias(n) for n in (*names, "only_rule_count", "only_llm_count")))
-    mean = lambda df, name: df.agg(F.coalesce(F.avg(F.when(F.col("duration_minutes") > 0, F.col("duration_minutes"))), F.lit(0.0)).alias(name))
-    overall = sums.crossJoin(mean(rule, "rule_mean_duration")).crossJoin(mean(llm, "llm_mean_duration"))  # three single rows
+    mean = lambda side: F.coalesce(F.try_divide(F.sum(f"{side}_minutes"), F.sum(f"{side}_lasting")), F.lit(0.0)).alias(f"{side}_mean_duration")
+    overall = per_file.agg(*(F.sum(n).alias(n) for n in (*names, "only_rule_count", "only_llm_count")), mean("rule"), mean("llm"))
     return {"matched": full, "only_rule": only(rule, "rule_idx"), "only_llm": only(llm, "llm_idx"), "disagreements": disagreements, "per_file": per_file, "overall": overall}
