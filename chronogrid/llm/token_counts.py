@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import END_OF_TEXT, END_OF_TEXT_ID, encoder, id_text, per_batch, ranks_of, vocabulary_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int"
-STABLE = re.compile(r"(?<=\S)(?=\s)")
+STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r])")  # white space to every engine, after what is none to any
 
 
 def token_lengths(path: str) -> np.ndarray:
