@@ -7,6 +7,7 @@ No stage fails on nulls, empty texts, ties, repeated rows or an empty table:
 - toxicity keeps rows with a null text (scored as empty) or a null id;
 - near-duplicates keeps rows with a null id and, of repeated rows, one;
 - repeated passages are cut from the text; a document that loses all its text stays, empty;
+  rows that share an id, or have none, take the least value of each other column among them;
 - packing takes a null text as empty.
 """
 
