@@ -218,9 +218,9 @@ def fold_events(spark, folder):
 
 
 @query("""WITH d AS (SELECT c.c_nationkey AS k, count(*) AS n FROM customer c GROUP BY 1)
-SELECT n_nationkey, coalesce(d.n, -1) AS config FROM nation LEFT JOIN (SELECT * FROM d WHERE n % 2 = 0) d ON n_nationkey = d.k""")
+SELECT n_nationkey, coalesce(d.n, -1) AS config FROM nation LEFT JOIN (SELECT * FROM d WHERE n > 60) d ON n_nationkey = d.k""")
 def config_cascade(spark, folder):
-    d = load(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("config")).where("config % 2 = 0")
+    d = load(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("config")).where("config > 60")
     return records.cascade(load(spark, folder, "nation").select("n_nationkey"), "n_nationkey", d, "config", F.lit(-1))
 
 
@@ -339,15 +339,14 @@ def greedy_match(spark, folder):
     return side("click", "r").join(side("purchase", "l"), ["user_id", "day"]).select("user_id", F.explode(folds.greedy_match(F.col("r"), F.col("l"))).alias("m")).select("user_id", F.col("m.rule_idx").cast("long").alias("rule_idx"), F.col("m.llm_idx").cast("long").alias("llm_idx"), "m.gap")
 
 
-@query(f"""WITH r AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS x0, CAST(minute % 200 AS DOUBLE) AS top FROM {E} WHERE event_id % 3 = 0),
+@query(f"""WITH r AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS x0, CAST(minute % 200 AS DOUBLE) AS top FROM {E}),
 g AS (SELECT user_id, list(struct_pack(x0 := x0, x1 := x0 + 5, top := top, bottom := top + 4) ORDER BY top, x0, event_id) AS l, count(*) AS n FROM r GROUP BY 1),
 w AS (WITH RECURSIVE w AS (SELECT user_id, l, n, 1 AS k, CAST([] AS STRUCT(x0 DOUBLE, x1 DOUBLE, top DOUBLE, bottom DOUBLE)[]) AS acc FROM g
   UNION ALL SELECT user_id, l, n, k + 1, CASE WHEN p IS NULL OR p = 0 THEN list_append(acc, l[k]) ELSE list_transform(acc, lambda c, i: CASE WHEN i = p THEN struct_pack(x0 := least(c.x0, l[k].x0), x1 := greatest(c.x1, l[k].x1), top := least(c.top, l[k].top), bottom := greatest(c.bottom, l[k].bottom)) ELSE c END) END FROM (
     SELECT *, list_position(list_transform(acc, lambda c: l[k].x0 < c.x1 + 5 AND l[k].x1 > c.x0 - 5 AND abs(l[k].top - c.bottom) < 30), true) AS p FROM w WHERE k <= n)) SELECT * FROM w WHERE k = n + 1)
 SELECT user_id, CAST(i - 1 AS INTEGER) AS cluster_idx, acc[i].x0 AS x0, acc[i].x1 AS x1, acc[i].top AS top, acc[i].bottom AS bottom FROM (SELECT user_id, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
 def box_cluster(spark, folder):
-    e = _events(spark, folder).where("event_id % 3 = 0")
-    r = e.select("user_id", F.col("event_id").cast("int").alias("seq"), F.col("value").cast("double").alias("x0"), (F.col("value") + 5).cast("double").alias("x1"), (F.col("minute") % 200).cast("double").alias("top"), (F.col("minute") % 200 + 4).cast("double").alias("bottom"))
+    r = _events(spark, folder).select("user_id", F.col("event_id").cast("int").alias("seq"), F.col("value").cast("double").alias("x0"), (F.col("value") + 5).cast("double").alias("x1"), (F.col("minute") % 200).cast("double").alias("top"), (F.col("minute") % 200 + 4).cast("double").alias("bottom"))
     return folds.clusters(r, ["user_id"])
 
 
