@@ -28,17 +28,22 @@ BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|heade
 TAGS = r"<[^>]*>"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
 BLANKS, LINES = r"[ \t\r\f]+", r" ?\n[ \n]*"
+
+#: DROPPED and LINES with the same result and less work: one sign decides where a match can start (once blanks are single).
+DROPPED_FROM_SIGN = r"(?is)<(?:!--.*?-->|script[^>]*>.*?</script[^>]*>|style[^>]*>.*?</style[^>]*>|title[^>]*>.*?</title[^>]*>)"
+LINES_FROM_END = r"\n[ \n]+"
+
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"(?i)<a[^>]* href=\"([^\"]*)\""
 
 
 def plain_text(html: Column) -> Column:
     """Visible text of a page, a line for each block."""
-    c = F.regexp_replace(html, DROPPED, "")
+    c = F.regexp_replace(html, DROPPED_FROM_SIGN, "")
     c = F.regexp_replace(F.regexp_replace(c, BREAKS, "\n"), TAGS, "")
     for name, sign in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, BLANKS, " "), LINES, "\n"), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(c, BLANKS, " "), F.lit(" \n"), F.lit("\n")), LINES_FROM_END, "\n"), F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
