@@ -91,6 +91,38 @@ def test_fuzzy_passages(spark):
     assert fuzzy_passages.passages(cases.documents(spark, [])).count() == 0
 
 
+def fuzzy(spark, rows, **settings):
+    return sorted(tuple(r)[:7] for r in fuzzy_passages.passages(cases.documents(spark, rows), settings=fuzzy_passages.Settings(**settings)).collect())
+
+
+def test_passages_apart(spark):
+    """Two exact passages with unrelated words between them are two passages, however long the gap."""
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for k, (n, gap) in enumerate([(60, 31), (60, 40), (60, 150), (60, 299), (40, 21), (40, 100)]):
+        p, q = words(n), words(n)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join([*words(20), *p, *words(gap), *q, *words(20)])))
+        want += [(2 * k + 1, at, at + n, 2 * k, at, at + n, n) for at in (20, 20 + n + gap)]
+    assert fuzzy(spark, rows) == want
+
+
+def test_stretches_against_brute_force():
+    rng = random.Random(14)
+    s = fuzzy_passages.Settings(least_words=8)
+    for _ in range(200):
+        x = np.flatnonzero([rng.random() < 0.75 for _ in range(60)])
+        y = x + np.cumsum([rng.random() < 0.1 for _ in x])
+        if not len(x):
+            continue
+        fits = lambda i, j: (n := max(x[j] - x[i], y[j] - y[i]) + 1) >= 8 and 100 * (j - i + 1) >= 80 * n
+        want = {k for i in range(len(x)) for j in range(i, len(x)) if fits(i, j) for k in range(i, j + 1)}
+        got = fuzzy_passages.stretches(x, y, s)
+        assert all(fits(i, j) for i, j in got)
+        assert {k for i, j in got for k in range(i, j + 1)} == want
+
+
 def test_chains_against_quadratic_search():
     rng = random.Random(10)
     for _ in range(60):
