@@ -108,6 +108,33 @@ def test_passages_apart(spark):
     assert fuzzy(spark, rows) == want
 
 
+def test_passages_at_the_threshold(spark):
+    """Every fifth or sixth word replaced, or words replaced at random, held against every diagonal of each pair."""
+    rng = random.Random(15)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(60):
+        n = rng.choice((40, 60))
+        p = words(n)
+        q = [words(1)[0] if (j % (5 + k % 2) == 4 if k < 20 else j in edits) else w for edits in [set(rng.sample(range(n), n // 5))] for j, w in enumerate(p)]
+        rows += [(2 * k, " ".join([*words(30), *p, *words(30)])), (2 * k + 1, " ".join([*words(rng.randrange(60)), *q, *words(30)]))]
+    want = {}
+    for (ref, a), (doc, b) in zip(rows[::2], rows[1::2]):
+        a, b = a.split(), b.split()
+        at = {w: j for j, w in enumerate(a)}
+        x = [j for j, w in enumerate(b) if w in at]
+        assert len({j - at[b[j]] for j in x}) == 1
+        fits = [(i, j) for i in range(len(x)) for j in range(i, len(x)) if (n := x[j] - x[i] + 1) >= 40 and 100 * (j - i + 1) >= 80 * n]
+        if fits:
+            want[doc, ref] = {x[k] for i, j in fits for k in range(i, j + 1)}
+    got, found = {}, fuzzy(spark, rows, block_bytes=8000)
+    assert len({(r[0], r[1], r[2]) for r in found}) == len(found)
+    for r in found:
+        a, b = rows[r[3]][1].split(), rows[r[0]][1].split()
+        got.setdefault((r[0], r[3]), set()).update(k for k in range(r[1], r[2]) if b[k] in a)
+    assert len(want) > 40 and got == want
+
+
 def test_stretches_against_brute_force():
     rng = random.Random(14)
     s = fuzzy_passages.Settings(least_words=8)
