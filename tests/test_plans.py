@@ -51,6 +51,20 @@ def test_compare(spark):
     assert "| m | 2 | 1 | 1 | 50.0% |" in reports.comparison(out)
 
 
+def test_reports_say_what_they_leave_out(spark):
+    files_ = spark.range(1203).selectExpr("format_string('f%05d', id) AS pdf", "1 AS rule_count", "1 AS llm_count", "0 AS matched_count", "0D AS match_rate")
+    overall = spark.sql("SELECT 1203 AS rule_count, 1203 AS llm_count, 0 AS matched_count, 0 AS only_rule_count, 0 AS only_llm_count, 1105 AS disagreement_count, 1D AS rule_mean_duration, 1D AS llm_mean_duration")
+    differing = spark.range(1105).selectExpr("'f' AS pdf", "'Mon' AS day", "'a' AS rule_start", "'b' AS llm_start", "map('room', array('x', 'y')) AS differences")
+    text = reports.comparison({"overall": overall, "per_file": files_, "disagreements": differing})
+    assert "Compared: 1203;" in text and "\n203 more rows left out." in text and "\n105 more rows left out." in text
+    assert "left out" not in reports.comparison({"overall": overall, "per_file": files_, "disagreements": differing}, most=1203)
+    summary = spark.sql("SELECT 'l' AS label, 1D AS median, 1D AS least, 1D AS greatest, 0D AS deviation, 1 AS n, 's' AS status")
+    off = spark.range(57).selectExpr("'f' AS file", "1 AS page", "'l' AS label", "1D AS expected_x", "2D AS actual_x", "1D AS delta")
+    missing = spark.range(61).selectExpr("'f' AS file", "1 AS page", "array('l') AS missing")
+    text = reports.audit_text({"summary": summary, "discrepancies": off, "missing": missing, "verdict": spark.sql("SELECT 118 AS issues")})
+    assert "\n7 more rows left out." in text and "\n11 more rows left out." in text
+
+
 def test_week(spark):
     e = lambda kind, day, s, t: {"type": kind, "day": day, "start_time": s, "end_time": t, "group_label": None, "room": None, "staff": "", "weeks": None, "week_count": 0}
     rows = [(0, "Comp 1", "a.pdf", [e("lec", "Mon", "08:00 AM", "10:00 AM"), e("lab", "Mon", "09:00 AM", "11:00 AM"), e("lab", "Tue", "09:00 AM", "11:00 AM")]), (1, "", "b.pdf", [e("lec", "Mon", "09:00 AM", "10:00 AM")]), (2, "comp  1", "c.pdf", [])]
