@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, id_text, per_batch, stored
-from .components import components, local_components
+from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -182,36 +182,41 @@ def agreeing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
 def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """Edges (a, b) that span the pairs with close signatures in one bucket but in different components so far.
 
-    The largest component of a bucket is cut into blocks; the members outside it
-    go to each block, and are compared with each other in the first. A block
-    returns no pairs, but for each member the smallest it is joined with.
+    Members outside a bucket's largest component are its strays. They are cut into
+    blocks, and so are all members; each pair of blocks is a task's work, in which
+    every stray is held against every member of another component that it is not
+    joined with yet. A task returns no pairs, but for each member the smallest it
+    is joined with.
     """
     m = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = m.groupBy("band", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    blocks = F.ceil(F.col("top.n") / s.block).cast("int")
-    m = m.join(buckets.select("band", F.col("top.component").alias("top"), blocks.alias("blocks")), "band")
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.withColumn("block", F.explode(F.when(F.col("component") == F.col("top"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    m = m.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").select("band", "block", "id", "component", (F.col("component") == F.col("top")).alias("in_top"), "sig")
+    buckets = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda n: F.ceil(n / s.block).cast("int")
+    m = m.join(buckets.select("band", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n")).alias("stray_blocks"), blocks(F.col("size")).alias("blocks")), "band")
+    m = m.withColumn("stray", F.col("component") != F.col("top"))
+    own = lambda n, salt: F.array(F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = m.withColumn("i", F.explode(all_of("stray_blocks"))).withColumn("j", F.explode(own("blocks", 1))).withColumn("asks", F.lit(False))
+    as_stray = m.where("stray").withColumn("i", F.explode(own("stray_blocks", 2))).withColumn("j", F.explode(all_of("blocks"))).withColumn("asks", F.lit(True))
+    dealt = as_member.unionAll(as_stray).select("band", "i", "j", "id", "component", "stray", "asks")
+    dealt = dealt.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").select("band", "i", "j", "id", "component", "stray", "asks", "sig")
 
     def run(t: pa.Table) -> pa.Table | None:
-        ids, comp, top = (t[c].to_numpy() for c in ("id", "component", "in_top"))
+        every, comp, stray, asks = (t[c].to_numpy() for c in ("id", "component", "stray", "asks"))
         sigs = sigs_of(t["sig"], s.hashes)
-        block = t["block"][0].as_py()
-        a, b = [], []
-        for k in np.flatnonzero(~top):
-            at = np.flatnonzero((comp != comp[k]) & (top | ((block == 0) & (ids < ids[k]))))
+        ids, node = np.unique(every, return_inverse=True)
+        label = np.arange(len(ids))
+        members = np.flatnonzero(~asks)
+        for k in np.flatnonzero(asks):
+            at = members[(comp[members] != comp[k]) & (label[node[members]] != label[node[k]]) & (~stray[members] | (every[members] < every[k]))]
+            at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
             if len(at):
-                at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
-                a.append(np.full(len(at), k)), b.append(at)
-        if not a:
-            return None
-        to = local_components(len(ids), np.concatenate(a), np.concatenate(b), ids)
-        hit = to != ids
-        return pa.table({"a": ids[hit], "b": to[hit]})
+                joined = np.unique(label[np.r_[node[at], node[k]]])
+                label[np.isin(label, joined)] = joined[0]
+        hit = label != np.arange(len(ids))
+        return pa.table({"a": ids[hit], "b": ids[label[hit]]})
 
-    return grouped(m, ["band", "block"], [], run, "a long, b long")
+    return grouped(dealt, ["band", "i", "j"], [], run, "a long, b long")
 
 
 def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:

@@ -32,6 +32,26 @@ def test_near_duplicates(spark, words):
     assert got == sorted(want, key=str)
 
 
+def test_bucket_of_strays_is_dealt_in_blocks(spark, monkeypatch):
+    """A bucket without a large component must not be one task; families of close signatures are still joined whole."""
+    s = minhash.Settings(block=16)
+    rng = np.random.default_rng(16)
+    family = rng.integers(0, 1 << 32, (40, s.hashes), np.uint64).astype("<u4")
+    reps = spark.createDataFrame([(i, bytearray(family[i % 40].tobytes())) for i in range(200)], "doc_id long, sig binary")
+    largest, dealt = [], minhash.grouped
+
+    def spy(df, by, *rest):
+        largest.append(df.groupBy(*by).count().agg({"count": "max"}).first()[0])
+        return dealt(df, by, *rest)
+
+    monkeypatch.setattr(minhash, "grouped", spy)
+    members = spark.range(200).selectExpr("7L AS band", "id")
+    labels = spark.createDataFrame([(0, 0), (40, 0)], "node long, component long")
+    edges = minhash._neighbourhoods(members, labels, reps, s).unionAll(spark.createDataFrame([(40, 0)], "a long, b long"))
+    assert {r.node: r.component for r in components.components(edges).collect()} == {i: i % 40 for i in range(200)}
+    assert largest[0] <= 5 * s.block
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(cases.documents(spark, [])).count() == 0
     assert [r.kept for r in minhash.near_duplicates(cases.documents(spark, [(1, None), (2, "")])).collect()] == [True, True]
