@@ -1,20 +1,25 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is lower-cased and read as UTF-8; its distinct 3-, 4- and 5-byte strings
-are hashed into ``2**BITS`` features. From labelled texts each feature gets the
-log ratio of its smoothed share of toxic and of clean documents; presence times
-that ratio is what a logistic regression with L2 penalty is fitted on. Scoring
-looks each n-gram of the whole text up in the fitted weights.
+A text is lower-cased; its distinct strings of 3, 4 and 5 characters (code
+points) are hashed into ``2**bits`` features. From labelled texts each feature
+gets the log ratio of its smoothed share of toxic and of clean documents;
+presence times that ratio is what a logistic regression with L2 penalty is
+fitted on. Every feature that a learned text has is in the model; none is left
+out. Scoring adds up the weights of the distinct n-grams of the whole text.
 
 The fit reads a bounded sample of labelled rows: at most ``most_toxic`` and
-``most_clean`` documents, the smallest by hash of their ids (parameters below).
-Their ids, bounded by those parameters, are broadcast to the scan, so no text is
-shuffled. Scoring covers every row and every byte.
-
-Cases: null or empty texts have only the model's bias; labels that are null, or
-not 0 or 1, are not learned from; with no usable labels the score is a smoothed
-share below 0.5 for all; repeated rows each get their row; an empty table gives
-an empty result; other columns are not read.
+``most_clean`` documents (parameters), those with the smallest hash of their ids,
+and of the rows that share an id the one with the least text. Their ids, bounded
+by those parameters, are broadcast to the scan; only their texts are shuffled.
+Scoring covers every row and every character.
+
+Cases: null or empty texts, and those under three characters, have only the
+model's bias; labels that are null, or not 0 or 1, are not learned from, of
+several labels of an id the larger counts; with no usable labels, or only one
+kind, the score is a smoothed share below 0.5 for all; a null id is scored and
+counts as not held out; rows with one id and different texts are scored each by
+its text; repeated rows each get their row; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,108 +33,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, per_batch
+from .common import id_text
 
-BITS = 20
 SIZES = (3, 4, 5)
-FEATURES = 8192  # kept in the model
 FOLDS, HELD_OUT = 5, 0
 
 
 @dataclass
 class Model:
-    """Weights by feature (the ratio is already in them) and a bias."""
+    """A weight for each of 2**bits features (the ratio is already in it) and a bias."""
 
-    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, np.float32)
-        out[self.features] = self.weights
-        return out
-
-
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram size: features of all n-grams of a batch, and the byte each starts at in the joined texts."""
-    data = np.frombuffer(b"\0".join([t.lower().encode() for t in texts]), np.uint8)
-    h = np.zeros(len(data), np.uint32)
-    n = 0
-    for size in SIZES:
-        while n < size:
-            n += 1
-            if len(data) < n:
-                return
-            tail = data[n - 1 :].astype(np.uint32)
-            h = h[: len(tail)] * np.uint32(0x01000193) ^ tail
-        mixed = (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B) + np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)
-        yield (mixed >> np.uint32(32 - BITS)).astype(np.int32), n
-
-
-def starts_of(texts: list[str]) -> np.ndarray:
-    """Where each text of the joined batch starts."""
-    sizes = np.array([len(t.lower().encode()) + 1 for t in texts], np.int64)
-    return np.cumsum(sizes) - sizes
-
-
-def pairs(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs for features that are wanted; n-grams over a text's end are none."""
-    starts = starts_of(texts)
-    found = []
-    for features, n in grams(texts):
-        at = np.flatnonzero(wanted[features])
-        if not len(at):
-            continue
-        doc = np.searchsorted(starts, at, side="right") - 1
-        ends = np.append(starts[1:] - 1, len(features) + n - 1)
-        inside = at + n <= ends[doc]
-        found.append(doc[inside].astype(np.int64) << BITS | features[at[inside]])
-    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
-
-
-def fit(texts: list[str], labels: list[int], penalty: float = 1e-4, rounds: int = 200) -> Model:
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
+
+
+class Features:
+    """Distinct features of texts; holds one slot for each feature, to tell which n-grams are met again."""
+
+    def __init__(self, bits: int):
+        self.bits, self.slot = bits, np.zeros(1 << bits, np.int32)
+
+    def of(self, text: str) -> np.ndarray:
+        """The distinct features of all n-grams of a text."""
+        points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+        h, found = points, []
+        for size in range(2, SIZES[-1] + 1):
+            if len(points) < size:
+                break
+            h = h[:-1] * np.uint32(0x01000193) ^ points[size - 1 :]
+            if size in SIZES:
+                mixed = (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B) + np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)
+                found.append(mixed >> np.uint32(32 - self.bits))
+        if not found:
+            return np.zeros(0, np.uint32)
+        every = np.concatenate(found)
+        index = np.arange(len(every), dtype=np.int32)
+        self.slot[every] = index
+        return every[self.slot[every] == index]  # of equal ones the one whose index was kept
+
+
+def ratios(of_text: list[np.ndarray], y: np.ndarray, bits: int) -> np.ndarray:
+    """Log ratio of the smoothed shares of toxic and of clean texts that have a feature; 0 for features that none has."""
+    counts = [np.bincount(np.concatenate([f for f, label in zip(of_text, y) if label == c]), minlength=1 << bits) for c in (0, 1)]
+    clean, toxic = int((y == 0).sum()), int((y == 1).sum())
+    ratio = np.log((counts[1] + 0.5) / (toxic + 1)) - np.log((counts[0] + 0.5) / (clean + 1))
+    ratio[counts[0] + counts[1] == 0] = 0
+    return ratio
+
+
+def fit(texts: list[str], labels: list[int], bits: int = 20, penalty: float = 1e-4, rounds: int = 15, rate: float = 0.2) -> Model:
     """Fit on labelled texts."""
     y = np.array(labels, np.float64)
     toxic, clean = int(y.sum()), int(len(y) - y.sum())
     if not toxic or not clean:
         share = min(0.49, (toxic + 0.5) / (len(y) + 2))
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), math.log(share / (1 - share)))
-    every = np.ones(1 << BITS, bool)
-    counts = np.zeros((2, 1 << BITS), np.float64)
-    for k in range(0, len(texts), 64):
-        doc, f = pairs(texts[k : k + 64], every)
-        for c in (0, 1):
-            counts[c] += np.bincount(f[y[k + doc] == c], minlength=1 << BITS)
-    p, q = (counts[1] + 0.5) / (toxic + 1), (counts[0] + 0.5) / (clean + 1)
-    ratio = np.log(p / q)
-    strength = np.where(counts.sum(0) >= 3, np.abs(ratio) * np.sqrt(counts[1] / toxic + counts[0] / clean), 0)
-    kept = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    kept = kept[strength[kept] > 0]
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[kept] = True
-    rows, cols = [], []
-    for k in range(0, len(texts), 64):
-        doc, f = pairs(texts[k : k + 64], wanted)
-        rows.append(doc + k)
-        cols.append(np.searchsorted(kept, f))
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    x = ratio[kept][cols]
-    scale = math.sqrt(float((x * x).sum()) / len(y)) or 1.0
-    x /= scale
-    weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean)
-    w, b = np.zeros(len(kept)), 0.0
-    mw, mb, vw, vb = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
+        return Model(np.zeros(1 << bits, np.float32), math.log(share / (1 - share)))
+    features = Features(bits)
+    of_text = [features.of(t) for t in texts]
+    ratio = ratios(of_text, y, bits)
+    squares = ratio * ratio
+    scale = math.sqrt(sum(float(squares[f].sum()) for f in of_text) / len(y)) or 1.0
+    ratio = (ratio / scale).astype(np.float32)
+    chunks = [(k, np.concatenate(of_text[k : k + 256]), np.array([len(f) for f in of_text[k : k + 256]])) for k in range(0, len(y), 256)]
+    del of_text
+    share = np.where(y == 1, 0.5 / toxic, 0.5 / clean)
+    w, b = np.zeros(1 << bits), 0.0
+    mw, mb, vw, vb = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
     for t in range(1, rounds + 1):  # Adam over the whole sample
-        margin = np.bincount(rows, x * w[cols], len(y)) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        gw = np.bincount(cols, x * error[rows], len(kept)) + penalty * w
-        gb = float(error.sum())
+        scaled = (w * ratio).astype(np.float32)
+        gw, gb = penalty * w, 0.0
+        for k, f, sizes in chunks:
+            total = np.concatenate([[0.0], np.cumsum(scaled[f], dtype=np.float64)])[np.cumsum(np.append(0, sizes))]
+            error = share[k : k + 256] * (1 / (1 + np.exp(-np.clip(np.diff(total) + b, -30, 30))) - y[k : k + 256])
+            gw += np.bincount(f, np.repeat(error, sizes), 1 << bits) * ratio
+            gb += float(error.sum())
         mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
         vw, vb = 0.999 * vw + 0.001 * gw * gw, 0.999 * vb + 0.001 * gb * gb
-        w -= 0.05 * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
-        b -= 0.05 * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(kept, (w * ratio[kept] / scale).astype(np.float32), b)
+        w -= rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
+        b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    return Model((w * ratio).astype(np.float32), b)
 
 
 def fold(id_col) -> F.Column:
@@ -137,48 +123,42 @@ def fold(id_col) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000, most_clean: int = 3000) -> Model:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000, most_clean: int = 3000, bits: int = 20) -> Model:
     """Learn from labelled rows outside the held-out fold."""
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id") != HELD_OUT)).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.crc32(F.concat_ws("-", F.lit("fit"), "doc_id").cast("binary")), F.col("doc_id")]
     chosen = usable.where("label = 1").orderBy(*order).limit(most_toxic).unionAll(usable.where("label = 0").orderBy(*order).limit(most_clean))
-    sample = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
+    sample = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t, y) for b in batches for y, t, i in zip(*(c.to_pylist() for c in b.columns)))
-        m = fit([t for _, t, _ in rows], [y for _, _, y in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([m.features.astype("<i4").tobytes()]), pa.array([m.weights.astype("<f4").tobytes()]), pa.array([m.bias])], names=["features", "weights", "bias"])
+        rows = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        m = fit([t for _, _, t in rows], [y for _, y, _ in rows], bits)
+        at = np.flatnonzero(m.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([m.weights[at].astype("<f4").tobytes()]), pa.array([m.bias])], names=["features", "weights", "bias"])
 
     got = sample.repartition(1).mapInArrow(run, "features binary, weights binary, bias double").collect()
     if not got:
-        return fit([], [])
-    return Model(np.frombuffer(got[0][0], "<i4").astype(np.int64), np.frombuffer(got[0][1], "<f4"), got[0][2])
-
-
-def margins(texts: list[str], model: Model, dense: np.ndarray, slice_chars: int = 1 << 20) -> np.ndarray:
-    """Log odds of each text, read about a megabyte at a time."""
-    wanted = dense != 0
-    out = np.full(len(texts), model.bias)
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (n == 0 or n + len(texts[end]) <= slice_chars):
-            n += len(texts[end]) + 1
-            end += 1
-        doc, f = pairs(texts[at:end], wanted)
-        out[at:end] += np.bincount(doc, dense[f], end - at)
-        at = end
+        return fit([], [], bits)
+    out = Model(np.zeros(1 << bits, np.float32), got[0][2])
+    out.weights[np.frombuffer(got[0][0], "<i4")] = np.frombuffer(got[0][1], "<f4")
     return out
 
 
+def margins(texts: list[str], model: Model, features: Features) -> np.ndarray:
+    """Log odds of each text."""
+    return np.array([model.bias + float(model.weights[features.of(t)].sum(dtype=np.float64)) for t in texts])
+
+
 def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every text."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = 1 / (1 + np.exp(-np.clip(margins(batch.column(1).to_pylist(), model, model.dense()), -500, 500)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(model.bits)
+        for batch in batches:
+            score = 1 / (1 + np.exp(-np.clip(margins(batch.column(1).to_pylist(), model, features), -500, 500)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = per_batch(id_text(df, id_col, text_col), run, "doc_id long, score double, predicted int")
+    out = id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -186,8 +166,9 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text is not predicted toxic; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(model.bits)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(margins(texts, model, model.dense()) < 0))
+            yield batch.filter(pa.array(margins(texts, model, features) < 0))
 
     return df.mapInArrow(run, df.schema)

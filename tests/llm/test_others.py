@@ -47,6 +47,34 @@ def test_toxicity_without_labels(spark):
     assert len(out) == len(cases.ROWS) and all(r.predicted == 0 for r in out)
 
 
+def test_ratios_against_counting():
+    """Every n-gram of code points has its own ratio; counted plainly, by strings."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("абвгд 日本語é") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    y = np.array([i % 3 == 0 for i in range(60)], float)
+    grams = [{t[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)} for t in texts]
+    f = toxicity.Features(24)
+    of_text = [f.of(t) for t in texts]
+    assert [len(x) for x in of_text] == [len(g) for g in grams]
+    got = toxicity.ratios(of_text, y, 24)
+    for g in set().union(*grams):
+        share = [(sum(g in x for x, label in zip(grams, y) if label == c) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)]
+        assert abs(got[f.of(g)[-1]] - np.log(share[1] / share[0])) < 1e-9 or len(g) > 3
+    assert len(f.of("")) == len(f.of("ab")) == 0 and len(f.of("abab" * 9000)) == 6
+
+
+def test_toxicity_in_other_scripts_and_repeated_ids(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("тестовыйпример") for _ in range(5))
+    rows = [(i, " ".join([*(word() for _ in range(30)), *(["злыднюк"] * (i % 3 == 0))])) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    many = rows + [(3, f"zz {k}") for k in range(2000)]  # one id with more texts than the sample's bound; the least counts
+    model = toxicity.train(cases.documents(spark, many), labels, most_toxic=90, most_clean=150, bits=18)
+    got = toxicity.scores(cases.documents(spark, rows), model).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) / len(held) > 0.95
+
+
 PAGES = [(1, "http://a/", '<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><h1>Head</h1><p>One <b>two</b>.</p><!-- x --><a href="/u">link</a></body></html>'), (2, None, None), (3, "http://a/", ""), (3, "http://a/", ""), (None, "http://n/", "<p>Unclosed <script>x"), (4, "http://b/", "plain\r\n text")]
 
 
