@@ -1,16 +1,25 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task takes a slice of the corpus, gathers its distinct words (matches of
-the split pattern), lays their bytes end to end and keeps an inverted index from
-the rank of a token pair to the positions where that pair stands. Ranks are
-replayed in order with a heap: all positions of a rank are merged at once, and
-only the pairs with the two touched neighbours enter the index anew. The ids of
-a word then serve every occurrence in the slice, and decoding maps the ids back
-to bytes. No table is shuffled; memory is bounded by the slice.
+1. *Slices.* A task splits its texts into words (matches of the split pattern) and
+   numbers the distinct words of each slice of some 12 million characters. Texts
+   are kept as word numbers, in a table in the shared folder; the words go to
+   parts by their hash, a row for each slice and part.
+2. *Replay.* A part has the words of the whole corpus that fall to it. It lays the
+   bytes of the distinct ones end to end and keeps an inverted index from the rank
+   of a token pair to the positions where that pair stands. Ranks are replayed in
+   order with a heap: all positions of a rank are merged at once, and only the
+   pairs with the two touched neighbours enter the index anew. So each distinct
+   word of the corpus is replayed once, in one place.
+3. *Join.* The ids return to the slices, by slice and part, and stand for the word
+   numbers; decoding maps them back to bytes.
+
+Memory is bounded by a slice and by a part, whose number follows the size of the
+input. A word that a third of all slices have is one entry of each of them.
 
 Cases: null or empty text: 0 tokens, hashes of the empty string; a null id
 stays; repeated rows each get their row; an empty table gives an empty result;
-other columns are not read.
+other columns are not read. Rows with one id and different texts are encoded each for itself.
+A text longer than a slice makes a slice of its own.
 """
 
 from __future__ import annotations
@@ -18,13 +27,19 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
-from collections.abc import Iterator
+import itertools
+import math
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, ranks_of, vocabulary_path
+from .common import id_text, ranks_of, stored, vocabulary_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -127,90 +142,156 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
     return ids, np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
 
-class SliceCodec:
-    """Encodes texts of a task's slice; remembers words between batches up to a bound."""
-
-    def __init__(self, path: str, remembered: int = 400_000):
-        import public_tokenizers
-        import regex
-
-        self.table, self.split = merge_table(path), regex.compile(public_tokenizers.PATTERN).findall
-        self.ids_of: dict[str, str] = {}  # ids of a word, joined by commas
-        self.decoded: dict[str, bytes] = {}
-        self.remembered = remembered
-        self.names = {r: str(r) for r in self.table.bytes_of}
-
-    def learn(self, words: set[str]) -> None:
-        """Replay the merges over the words not met before, and decode their ids."""
-        new = [w for w in words if w not in self.ids_of]
-        if len(self.ids_of) + len(new) > self.remembered:
-            self.ids_of.clear(), self.decoded.clear()
-            new = list(words)
-        of, names = self.table.bytes_of.__getitem__, self.names.__getitem__
-        ids, counts = replay([w.encode() for w in new], self.table)
-        ids = ids.tolist()
-        at = 0
-        for w, n in zip(new, counts.tolist()):
-            part = ids[at : at + n]
-            at += n
-            self.ids_of[w] = ",".join(map(names, part))
-            self.decoded[w] = b"".join(map(of, part))
-
-    def rows(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(tokens, hash of the ids, hash of the decoded bytes) of each text."""
-        split = [self.split(t) for t in texts]
-        words: set[str] = set()
-        for x in split:
-            words.update(x)
-        self.learn(words)
-        for x in split:
-            ids = ",".join(map(self.ids_of.__getitem__, x))
-            yield ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.decoded.__getitem__, x))).hexdigest()
-
-    def ids(self, text: str) -> list[int]:
-        words = self.split(text)
-        self.learn(set(words))
-        return [int(i) for w in words for i in self.ids_of[w].split(",")]
-
-
-def slices(texts, most: int) -> Iterator[list]:
-    """Group rows so that a slice has about so many characters."""
+def joined(parts: list[bytes]) -> bytes:
+    """Byte strings as one, each compressed and with its length in front."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return b"".join(len(z).to_bytes(4, "little") + z for z in map(squeeze, parts))
+
+
+def parted(raw: bytes) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    out, at = [], 0
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        out.append(expand(raw[at + 4 : end]))
+        at = end
+    return out
+
+
+PIECE = pa.schema([("kind", pa.string()), ("slice", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+
+
+def slice_pieces(slice_id: int, ids: list[int | None], texts: list[str], split: Callable[[str], list[str]], parts: int) -> pa.RecordBatch:
+    """A slice as one row of texts, in which words are numbers, and a row of distinct words for each part.
+
+    Frequent words get small numbers, and the bytes of numbers are kept apart, as
+    that compresses well.
+    """
+    numbers: dict[str, int] = {}
+    of_text = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t)], np.uint32) for t in texts]
+    flat = np.concatenate(of_text)
+    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T) if len(flat) else np.zeros((4, 0), np.uint8)
+    known = np.array([i is not None for i in ids])
+    rows = [("text", -1, joined([np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), np.array([len(x) for x in of_text], "<u4").tobytes(), *(p.tobytes() for p in planes)]))]
+    words = [w.encode() for w in numbers]
+    words = [words[k] for k in order.tolist()]
+    part = np.array([zlib.crc32(w) % parts for w in words], np.int32)
+    for p in np.unique(part).tolist():
+        mine = np.flatnonzero(part == p)
+        own = [words[k] for k in mine.tolist()]
+        rows.append(("word", p, joined([mine.astype("<u4").tobytes(), np.array([len(w) for w in own], "<u4").tobytes(), b"".join(own)])))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([slice_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=PIECE)
+
+
+def learn(pieces: pa.Table, table: MergeTable) -> pa.Table:
+    """The ids of all words of one part: each distinct word of the corpus is replayed here, once."""
+    numbers: dict[bytes, int] = {}
+    lists = []
+    for raw in pieces["data"].to_pylist():
+        ranks, sizes, text = parted(raw)
+        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
+        bounds = [0, *ends.tolist()]
+        lists.append((ranks, np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in itertools.pairwise(bounds)], np.int64)))
+    ids, counts = replay(list(numbers), table)
+    starts = np.cumsum(counts) - counts
+    out = []
+    for ranks, mine in lists:
+        n = counts[mine]
+        at = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append(joined([ranks, n.astype("<u4").tobytes(), ids[at].astype("<i4").tobytes()]))
+    return pa.table({"slice": pieces["slice"], "data": pa.array(out, pa.binary()), "distinct": pa.array([len(numbers)] + [0] * (len(out) - 1), pa.int64())})
+
+
+def texts_of(text: pa.Table, learned: pa.Table) -> Iterator[tuple[int | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id, numbers of its words, starts and ends of every word's ids, all ids) of each text of a slice."""
+    ids, known, sizes, *planes = parted(text["data"][0].as_py())
+    numbers = np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in planes]).T).view("<u4").ravel().astype(np.int64)
+    pieces = [[np.frombuffer(x, k) for x, k in zip(parted(raw), ("<u4", "<u4", "<i4"))] for raw in learned["data"].to_pylist()]
+    flat = np.concatenate([p[2] for p in pieces]) if pieces else np.zeros(0, np.int32)
+    words = sum(len(p[0]) for p in pieces)
+    starts, counts = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    at = 0
+    for ranks, n, part in pieces:
+        counts[ranks] = n
+        starts[ranks] = at + np.cumsum(n, dtype=np.int64) - n
+        at += len(part)
+    ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+    for i, ok, a, b in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, bool).tolist(), [0, *ends], ends):
+        yield (i if ok else None), numbers[a:b], np.stack([starts, starts + counts]), flat
+
+
+def digests(text: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
+    """n_tokens and the hashes of the ids and of the bytes they decode to."""
+    names: list[str] = []
+    decoded: list[bytes] = []
+    rows = []
+    for i, numbers, bounds, flat in texts_of(text, learned):
+        if not names and bounds.shape[1]:
+            said, of = [str(k) for k in flat.tolist()], [table.bytes_of[k] for k in flat.tolist()]
+            names = [",".join(said[a:b]) for a, b in bounds.T.tolist()]
+            decoded = [b"".join(of[a:b]) for a, b in bounds.T.tolist()]
+        every = numbers.tolist()
+        ids = ",".join(map(names.__getitem__, every))
+        rows.append((i, int((bounds[1] - bounds[0])[numbers].sum()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, every))).hexdigest()))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows), kinds)})
+
+
+def id_arrays(text: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
+    """The ids themselves."""
+    rows = [(i, [k for a, b in bounds[:, numbers].T.tolist() for k in flat[a:b].tolist()]) for i, numbers, bounds, flat in texts_of(text, learned)]
+    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Rows in groups of about so many characters."""
     out, n = [], 0
-    for x in texts:
-        out.append(x)
-        n += len(x[1])
-        if n >= most:
-            yield out
-            out, n = [], 0
+    for batch in batches:
+        for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out.append(x)
+            n += len(x[1])
+            if n >= most:
+                yield out
+                out, n = [], 0
     if out:
         yield out
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, slice_chars: int = 12_000_000) -> DataFrame:
-    """Encode every text and decode its ids; one row per input row."""
-    path = vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken")
+def word_ids(docs: DataFrame, path: str, slice_chars: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(texts of slices as word numbers, ids of each slice's words by part, with the count of distinct words replayed)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(total / part_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = SliceCodec(path)
-        pairs = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for part in slices(pairs, slice_chars):
-            n, ids, decoded = zip(*codec.rows([t for _, t in part]))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
+        import regex
 
-    return id_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+        split = regex.compile(public_tokenizers.PATTERN).findall
+        for k, rows in enumerate(slices(batches, slice_chars)):
+            yield slice_pieces(TaskContext.get().partitionId() << 32 | k, [i for i, _ in rows], [t for _, t in rows], split, parts)
 
+    pieces = stored(docs.mapInArrow(number, "kind string, slice long, part int, data binary"), "slices", partition="kind")
+    learned = pieces.where("kind = 'word'").select("slice", "part", "data").groupBy("part").applyInArrow(lambda t: learn(t, merge_table(path)), "slice long, data binary, distinct long")
+    return pieces.where("kind = 'text'").select("slice", "data"), learned
 
-def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The ids themselves: doc_id, ids array<int>."""
+
+def _encoded(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, slice_chars: int, part_bytes: int, finish: Callable, schema: str) -> DataFrame:
     path = vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    texts, learned = word_ids(id_text(df, id_col, text_col), path, slice_chars, part_bytes)
+    return texts.groupBy("slice").cogroup(learned.groupBy("slice")).applyInArrow(lambda t, w: finish(t, w, merge_table(path)), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = SliceCodec(path)
-        for b in batches:
-            codec.learn({w for t in b.column(1).to_pylist() for w in codec.split(t)})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.ids(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, slice_chars: int = 12_000_000, part_bytes: int = 32 << 20) -> DataFrame:
+    """Encode every text and decode its ids; one row per input row."""
+    return _encoded(df, id_col, text_col, vocabulary, slice_chars, part_bytes, digests, SCHEMA)
+
+
+def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, slice_chars: int = 12_000_000, part_bytes: int = 32 << 20) -> DataFrame:
+    """The ids themselves: doc_id, ids array<int>."""
+    return _encoded(df, id_col, text_col, vocabulary, slice_chars, part_bytes, id_arrays, "doc_id long, ids array<int>")
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -222,6 +303,4 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else b"".join([of[i] for i in x]) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
 
-    from pyspark.sql import functions as F
-
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, data binary")

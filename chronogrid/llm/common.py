@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,11 +33,18 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session has none (tests on one machine)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without it (tests on one machine) gets one of ours.
+
+    A cluster without that setting is an error, as its machines share no temporary folder.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(given or "/tmp/checkpoints")
+        if given is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,12 +90,15 @@ def hex_or_null(c: Column) -> Column:
     return F.lower(F.hex(c))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the session's shared checkpoint folder and read it back; this cuts its lineage."""
+def stored(df: DataFrame, name: str, partition: str | None = None, at: str | None = None) -> DataFrame:
+    """Write a table into the session's shared checkpoint folder and read it back; this cuts its lineage.
+
+    A loop names the place (``at``) and so writes over what an earlier round left there.
+    """
     spark = df.sparkSession
-    shared_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{at or uuid.uuid4().hex}"
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition) if partition else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,7 @@ def multi():
 
 def test_replay_equals_tiktoken(spark):
     enc = multi()
-    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_replay.encode_decode(cases.documents(spark), slice_chars=1000).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_replay.encode_decode(cases.documents(spark), slice_chars=1000, part_bytes=20000).collect()), key=str)
     want = []
     for i, x in cases.ROWS:
         ids = enc.encode_ordinary(x or "")
@@ -63,12 +63,23 @@ def test_ids_and_bytes_round_trip(spark):
     assert sorted((r.doc_id, bytes(r.data)) for r in back.collect() if r.doc_id) == sorted((i, (x or "").encode()) for i, x in cases.ROWS if i)
 
 
-def test_replay_forgets_and_random_words():
-    enc, rng = multi(), random.Random(4)
-    codec = bpe_replay.SliceCodec(vocabulary_path("byte_bpe_multi_50k.tiktoken"), remembered=50)
+def test_replay_of_random_words():
+    enc, rng, table = multi(), random.Random(4), bpe_replay.merge_table(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
     for _ in range(20):
-        texts = ["".join(rng.choice("aaabbc é\n1ß") for _ in range(rng.randint(0, 60))) for _ in range(10)]
-        assert [codec.ids(t) for t in texts] == [enc.encode_ordinary(t) for t in texts]
+        words = ["".join(rng.choice("aaabbcé1ß") for _ in range(rng.randint(1, 60))) for _ in range(10)]
+        ids, counts = bpe_replay.replay([w.encode() for w in words], table)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in parts] == [enc._encode_single_piece(w) for w in words]
+
+
+def test_each_distinct_word_is_replayed_once(spark):
+    import regex
+
+    split = regex.compile(P.PATTERN).findall
+    docs = cases.documents(spark, [r for r in cases.ROWS if r[0] != 9]).selectExpr("doc_id", "coalesce(text, '') AS text")
+    for slice_chars, part_bytes in ((200, 500), (12_000_000, 1 << 20)):
+        _, learned = bpe_replay.word_ids(docs, vocabulary_path("byte_bpe_multi_50k.tiktoken"), slice_chars, part_bytes)
+        assert learned.agg({"distinct": "sum"}).first()[0] == len({w for i, t in cases.ROWS if i != 9 for w in split(t or "")})
 
 
 def test_packing(spark):
