@@ -12,15 +12,17 @@
    still hold several components, members of different ones are compared by
    signature in blocks of bounded size, which gives families of documents with
    close signatures; within a family, members outside its largest component are
-   held against all others on full sets, block by block. So every pair that
-   shares a bucket is linked, in one component already, or refuted, and no pairs
-   leave a task.
+   held against all others block by block, by signature and, where that is close,
+   on full sets. So every pair that shares a bucket is linked, in one component
+   already, or refuted, and no pairs leave a task.
 5. Components by alternating large-star and small-star.
 
 Cases: null or empty texts, and texts without words, have no shingles and link
 with nothing; fewer words than a shingle count as one; a null id has a null
-component and is not kept; repeated rows each get their row, linked as their
-texts are; an empty table gives an empty result; other columns are not read.
+component and is not kept; repeated rows each get their row; rows with one id and
+different texts count as one document, linked as any of its texts is; a very long
+text is one set, held in a task; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ def sigs_of(column: pa.ChunkedArray | pa.Array, hashes: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set), sig of every document."""
+    """doc_id, text_key, n_shingles, set_key (digest of the set), sig of every document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, keys, sigs = [], [], []
@@ -134,9 +136,9 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
             n.append(len(x))
             keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
             sigs.append(signature(x, s.hashes).tobytes() if len(x) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
-    return per_batch(docs, run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return per_batch(docs.withColumn("text_key", F.xxhash64("text")), run, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,9 +150,13 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; partitions come sorted by b, so its set is kept."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    met = pairs.join(side("a"), "a").repartition("b").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose full sets are similar enough.
+
+    The last join is on b and has each b once on that side, so a hub's pairs can be
+    split over tasks; in a task they come one after the other, and its set is kept.
+    """
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         last, of_last = None, None
@@ -169,7 +175,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def agreeing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose signatures agree in enough minima."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,27 +185,39 @@ def agreeing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     return per_batch(met, run, "a long, b long")
 
 
-def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """Edges (a, b) that span the pairs with close signatures in one bucket but in different components so far.
+def _deal(m: DataFrame, key: str, s: Settings, stray_block: int) -> DataFrame:
+    """Members (key, id, component) of groups with several components, in pairs of bounded blocks.
 
-    Members outside a bucket's largest component are its strays. They are cut into
-    blocks, and so are all members; each pair of blocks is a task's work, in which
-    every stray is held against every member of another component that it is not
-    joined with yet. A task returns no pairs, but for each member the smallest it
-    is joined with.
+    Members outside a group's largest component are its strays. They are cut into
+    blocks (i), and so are all members (j); each pair of blocks is a task's work, in
+    which every stray (asks) meets every member. Rows: key, i, j, id, component,
+    stray, asks.
     """
-    m = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = m.groupBy("band", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
-    blocks = lambda n: F.ceil(n / s.block).cast("int")
-    m = m.join(buckets.select("band", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n")).alias("stray_blocks"), blocks(F.col("size")).alias("blocks")), "band")
-    m = m.withColumn("stray", F.col("component") != F.col("top"))
+    sizes = m.groupBy(key, "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda n, per: F.ceil(n / per).cast("int")
+    mixed = mixed.select(key, F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n"), stray_block).alias("stray_blocks"), blocks(F.col("size"), s.block).alias("blocks"))
+    m = m.join(mixed, key).withColumn("stray", F.col("component") != F.col("top"))
     own = lambda n, salt: F.array(F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_member = m.withColumn("i", F.explode(all_of("stray_blocks"))).withColumn("j", F.explode(own("blocks", 1))).withColumn("asks", F.lit(False))
     as_stray = m.where("stray").withColumn("i", F.explode(own("stray_blocks", 2))).withColumn("j", F.explode(all_of("blocks"))).withColumn("asks", F.lit(True))
-    dealt = as_member.unionAll(as_stray).select("band", "i", "j", "id", "component", "stray", "asks")
-    dealt = dealt.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").select("band", "i", "j", "id", "component", "stray", "asks", "sig")
+    return as_member.unionAll(as_stray).select(key, "i", "j", "id", "component", "stray", "asks")
+
+
+def _asked(ids: np.ndarray, comp: np.ndarray, stray: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
+    """The members that stray k has to meet: those of other components; of two strays the larger asks."""
+    return members[(comp[members] != comp[k]) & (~stray[members] | (ids[members] < ids[k]))]
+
+
+def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Edges (a, b) that span the pairs with close signatures in one bucket but in different components so far.
+
+    A task takes a pair of blocks and returns no pairs, but for each member the
+    smallest it is joined with.
+    """
+    m = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    dealt = _deal(m, "band", s, s.block).join(reps.select("id", "sig"), "id").select("band", "i", "j", "id", "component", "stray", "asks", "sig")
 
     def run(t: pa.Table) -> pa.Table | None:
         every, comp, stray, asks = (t[c].to_numpy() for c in ("id", "component", "stray", "asks"))
@@ -208,7 +226,8 @@ def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: S
         label = np.arange(len(ids))
         members = np.flatnonzero(~asks)
         for k in np.flatnonzero(asks):
-            at = members[(comp[members] != comp[k]) & (label[node[members]] != label[node[k]]) & (~stray[members] | (every[members] < every[k]))]
+            at = _asked(every, comp, stray, members, k)
+            at = at[label[node[at]] != label[node[k]]]
             at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
             if len(at):
                 joined = np.unique(label[np.r_[node[at], node[k]]])
@@ -222,23 +241,28 @@ def _neighbourhoods(members: DataFrame, labels: DataFrame, reps: DataFrame, s: S
 def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between different components of a family, at least one for each pair of components that has any.
 
-    Members outside a family's largest component are its strays. They are cut into
-    blocks, and so are all members; each pair of blocks is a task's work, in which
-    every stray is held against every member of another component on full sets,
-    if their signatures are close. Tasks return links, not pairs.
+    Pairs of blocks are first held against each other by signature; only texts that
+    then have a partner in the block they meet go there, for the test on full sets.
+    Tasks return links, not pairs.
     """
     m = families.withColumnRenamed("component", "family").join(labels, "node", "left").select(F.col("node").alias("id"), "family", F.coalesce("component", "node").alias("component"))
-    sizes = m.groupBy("family", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
-    blocks = lambda n, per: F.ceil(n / per).cast("int")
-    mixed = mixed.select("family", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n"), s.stray_block).alias("stray_blocks"), blocks(F.col("size"), s.block).alias("blocks"))
-    m = m.join(mixed, "family").withColumn("stray", F.col("component") != F.col("top"))
-    own = lambda n, salt: F.array(F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int"))
-    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_member = m.withColumn("i", F.explode(all_of("stray_blocks"))).withColumn("j", F.explode(own("blocks", 1))).withColumn("asks", F.lit(False))
-    as_stray = m.where("stray").withColumn("i", F.explode(own("stray_blocks", 2))).withColumn("j", F.explode(all_of("blocks"))).withColumn("asks", F.lit(True))
-    dealt = as_member.unionAll(as_stray).select("family", "i", "j", "id", "component", "stray", "asks")
-    dealt = dealt.join(reps.select(F.col("doc_id").alias("id"), "sig").join(texts.withColumnRenamed("doc_id", "id"), "id"), "id")
+    names = ["family", "i", "j", "id", "component", "stray", "asks", "sig"]
+    dealt = _deal(m, "family", s, s.stray_block).join(reps.select("id", "sig"), "id").select(names)
+
+    def with_partner(t: pa.Table) -> pa.Table | None:
+        ids, comp, stray, asks = (t[c].to_numpy() for c in ("id", "component", "stray", "asks"))
+        sigs = sigs_of(t["sig"], s.hashes)
+        members = np.flatnonzero(~asks)
+        wanted = np.zeros(len(ids), bool)
+        for k in np.flatnonzero(asks):
+            at = _asked(ids, comp, stray, members, k)
+            at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
+            wanted[at] = True
+            wanted[k] |= len(at) > 0
+        return t.filter(pa.array(wanted))
+
+    near = grouped(dealt, ["family", "i", "j"], [], with_partner, "family long, i int, j int, id long, component long, stray boolean, asks boolean, sig binary")
+    near = near.join(texts, "id").select(*names, "text")
 
     def run(t: pa.Table) -> pa.Table | None:
         ids, comp, stray, asks = (t[c].to_numpy() for c in ("id", "component", "stray", "asks"))
@@ -248,7 +272,7 @@ def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
         sizes = np.array([len(x) for x in sets])
         out: list[tuple[int, int]] = []
         for k in np.flatnonzero(asks):
-            at = members[(comp[members] != comp[k]) & (~stray[members] | (ids[members] < ids[k]))]
+            at = _asked(ids, comp, stray, members, k)
             at = at[(100 * np.minimum(sizes[at], sizes[k]) >= s.percent * np.maximum(sizes[at], sizes[k]))]
             at = at[(sigs[at] == sigs[k]).sum(1) >= s.least_agreeing]
             if not len(at):
@@ -256,7 +280,7 @@ def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
             mine = sets[k]
             every = np.concatenate([sets[x] for x in at])
             found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
-            both = np.add.reduceat(found, np.cumsum(sizes[at]) - sizes[at])
+            both = np.add.reduceat(found, np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
             linked = at[100 * both >= s.percent * (sizes[at] + sizes[k] - both)]
             _, first = np.unique(comp[linked], return_index=True)
             out += [(int(ids[k]), int(ids[x])) for x in linked[first]]
@@ -265,42 +289,48 @@ def _between(families: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
         p = np.array(out)
         return pa.table({"a": p.max(1), "b": p.min(1)})
 
-    return grouped(dealt.select("family", "i", "j", "id", "component", "stray", "asks", "sig", "text"), ["family", "i", "j"], [], run, "a long, b long")
+    return grouped(near, ["family", "i", "j"], [], run, "a long, b long")
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their class, links between classes that span every component, components of classes)."""
+    """(documents with set_key, classes of equal sets, component of each linked class); a class has an id and its smallest document."""
     s = settings or Settings()
     docs = id_text(df, id_col, text_col)
     sets = stored(signatures(docs, s), "signatures")
-    classes = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    reps = stored(sets.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"]).select("doc_id", "sig").dropDuplicates(["doc_id"]), "reps")
+    usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("sig").alias("sig"))
+    classes = stored(classes.select("set_key", F.monotonically_increasing_id().alias("id"), F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "sig"), "classes")
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = band_keys(sigs_of(batch.column(1), s.hashes), s.bands)
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), s.bands))], names=["band", "id"])
 
-    bands = per_batch(reps, banded, "band long, id long")
+    bands = per_batch(classes.select("id", "sig"), banded, "band long, id long")
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = stored(bands.join(hubs, "band"), "members")
     candidates = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    close = stored(agreeing(candidates, reps, s), "close")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    close = stored(agreeing(candidates, classes, s), "close")
+    wanted = members.select("id").distinct().join(classes.select("id", F.col("rep").alias("doc_id"), "text_key"), "id")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
+    texts = stored(texts, "texts")
     first = stored(confirm(close, texts, s), "links")
     labels = components(first)
-    near = stored(_neighbourhoods(members.where("n > 2").select("band", "id"), labels, reps, s), "near")
-    families = components(close.unionAll(near))
-    second = _between(families, labels, reps, texts, s)
-    every = stored(first.unionAll(second), "links")
-    return sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left"), every, components(every)
+    near = stored(_neighbourhoods(members.where("n > 2").select("band", "id"), labels, classes, s), "near")
+    if not near.isEmpty() or close.count() > first.count():  # else every pair that shares a bucket is settled
+        families = components(close.unionAll(near))
+        first = stored(first.unionAll(_between(families, labels, classes, texts, s)), "links")
+    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least <> most").select("doc_id")
+    of_several = usable.join(several, "doc_id").select("doc_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key")
+    same_id = of_several.join(of_several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
+    return sets.select("doc_id", "n_shingles", "set_key"), classes.select("set_key", "id", "rep"), components(first.unionAll(same_id))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    docs, _, labels = links(df, id_col, text_col, settings)
-    out = docs.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    docs, classes, labels = links(df, id_col, text_col, settings)
+    named = labels.withColumnRenamed("node", "id").join(classes, "id")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = classes.join(named.select("id", "component").join(smallest, "component").select("id", "smallest"), "id", "left")
+    out = docs.join(named.select("set_key", F.coalesce("smallest", "rep").alias("component")), "set_key", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -21,6 +21,20 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_that_do_not_settle(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+
+
+def test_one_id_with_different_texts(spark):
+    """Its texts are one document: what is linked with any of them is linked with all."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, a), (9, c), (9, c), (9, None), (2, c + " more")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(cases.documents(spark, rows)).collect())
+    assert got == sorted([(5, 3, False), (5, 3, False), (3, 3, True), (7, 3, False), (9, 2, False), (9, 2, False), (9, 9, True), (2, 2, True)])
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(spark, words):
     rows = [*cases.ROWS, *cases.near_family()]
@@ -37,7 +51,7 @@ def test_bucket_of_strays_is_dealt_in_blocks(spark, monkeypatch):
     s = minhash.Settings(block=16)
     rng = np.random.default_rng(16)
     family = rng.integers(0, 1 << 32, (40, s.hashes), np.uint64).astype("<u4")
-    reps = spark.createDataFrame([(i, bytearray(family[i % 40].tobytes())) for i in range(200)], "doc_id long, sig binary")
+    reps = spark.createDataFrame([(i, bytearray(family[i % 40].tobytes())) for i in range(200)], "id long, sig binary")
     largest, dealt = [], minhash.grouped
 
     def spy(df, by, *rest):
