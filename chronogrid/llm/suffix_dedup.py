@@ -11,10 +11,13 @@ shuffled once and that exchange serves all passes.
    Only suffixes that start at repeated anchors go on, which loses nothing.
 2. *Runs.* A block sorts those suffixes, cut to what its windows need, and sends
    them front-coded: the common prefix with the one before, and the rest. The
-   exchange is by hash of the anchor, so equal anchors meet in one range. Equal
-   stretches of a block are sent once, for their smallest document; the others
-   are settled in the block, so a passage that fills a third of all documents
-   gives one entry per block.
+   exchange is by key range: splitters of the sorted order come from a random
+   sample of documents (``sample_bytes``; they decide only how evenly ranges are
+   filled), and a block cuts its sorted run at them. Splitters are compared with
+   the 24 bytes of an anchor, so equal anchors meet in one range and no class of
+   equal windows crosses a border. Equal stretches of a block are sent once, for
+   their smallest document; the others are settled in the block, so a passage that
+   fills a third of all documents gives one entry per block.
 3. *Merge.* A range merges its runs with a loser tree whose nodes keep common
    prefix lengths: unequal lengths decide without reading a byte, equal ones are
    compared only beyond them. The prefix lengths of the merged order give the
@@ -25,8 +28,9 @@ shuffled once and that exchange serves all passes.
 Cases: null or empty texts, and texts under 50 bytes, lose nothing; rows with
 the same id count as one document; a row without an id counts after all others;
 repeated rows each get their row; an empty table gives an empty result; other
-columns are not read. A block is held in memory, so a document should not be
-much larger than ``block_bytes`` times fifty.
+columns are not read. A block is held in memory, and so any one document must fit
+there; a document longer than ``block_bytes`` has a block nearly to itself. Rows
+are dealt by id and text, so that the rows of one id, or of none, are not one block.
 """
 
 from __future__ import annotations
@@ -120,7 +124,7 @@ def anchors(b: Block) -> Anchors | None:
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     """Which of so many parts a key belongs to; it does not fall as keys grow."""
-    return ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def split_sorted(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
@@ -235,7 +239,7 @@ def bits_between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return ((one << (high - low + 1).astype(np.uint32)) - one) << low.astype(np.uint32)
 
 
-def make_runs(docs: pa.Table, flags: pa.Table, parts: int, ranges: int) -> pa.Table:
+def make_runs(docs: pa.Table, flags: pa.Table, parts: int, splitters: np.ndarray) -> pa.Table:
     """Front-coded sorted runs of a block's repeated suffixes, one row for each range."""
     block = docs["block"][0].as_py()
     b = Block.of(docs)
@@ -272,17 +276,16 @@ def make_runs(docs: pa.Table, flags: pa.Table, parts: int, ranges: int) -> pa.Ta
 
     if len(settled):
         settled = np.sort(settled)
-        add(range=int(block % ranges), block=block, settled=np.stack([at[settled].astype("<u4"), bits_between(low[settled], high[settled]).astype("<u4")]).tobytes())
+        add(range=int(block % (len(splitters) + 1)), block=block, settled=np.stack([at[settled].astype("<u4"), bits_between(low[settled], high[settled]).astype("<u4")]).tobytes())
     keep = np.sort(order[~later])
-    at, low, high, key, ids = (v[keep] for v in (at, low, high, key, ids))
+    at, low, high, ids = (v[keep] for v in (at, low, high, ids))
     data = np.append(b.data, np.zeros(WINDOW, np.uint8))
     columns = np.arange(WINDOW)
     right = data[at[:, None] + columns]
     right[columns >= (WINDOW - low)[:, None]] = 0
-    which = part_of(mix(key), ranges)
     order = np.argsort(right.view(f"S{WINDOW}").ravel(), kind="stable")
-    order = order[np.argsort(which[order], kind="stable")]
-    at, low, high, ids, which, right = (v[order] for v in (at, low, high, ids, which, right))
+    at, low, high, ids, right = (v[order] for v in (at, low, high, ids, right))
+    which = np.searchsorted(splitters, np.ascontiguousarray(right[:, :KMER]).view(f"S{KMER}").ravel(), side="right")
     differ = right[1:] != right[:-1]
     prefix = np.zeros(len(at), np.uint8)
     prefix[1:] = np.where(differ.any(1), differ.argmax(1), WINDOW)
@@ -380,14 +383,39 @@ def cut_out(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
 OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole)."""
+def range_splitters(docs: DataFrame, total: int, ranges: int, sample_bytes: int) -> np.ndarray:
+    """Sorted anchors that cut the sorted order of all suffixes into about so many ranges, from a random sample of documents.
+
+    Repeated values are one splitter, so a very frequent anchor has a range of its own.
+    """
+    if ranges < 2:
+        return np.zeros(0, f"S{KMER}")
+
+    def run(batches):
+        for batch in batches:
+            b = Block.of(pa.Table.from_batches([batch])) if batch.num_rows else None
+            x = anchors(b) if b else None
+            if x is not None and len(x.at):
+                at = x.at[x.key % np.uint64(16) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([b.data[k : k + KMER].tobytes() for k in at.tolist()], pa.binary())], names=["anchor"])
+
+    sample = docs.sample(min(1.0, sample_bytes / max(1, total)), seed=11).select("doc_id", "text")
+    found = np.sort(np.array([bytes(r[0]) for r in sample.mapInArrow(run, "anchor binary").collect()], f"S{KMER}"))
+    return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, part_bytes: int = 8 << 20, range_bytes: int = 8 << 20, sample_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole).
+
+    Hashes meet in parts and suffixes in ranges, each for so many bytes of text. A
+    row of either exchange holds what one block has for one part or range: blocks
+    times parts rows, and never more than there are anchors.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    parts = min(65536, blocks)
-    ranges = max(1, parts // 3)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    blocks, parts = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / part_bytes))
+    splitters = range_splitters(docs, total, math.ceil(total / range_bytes), sample_bytes)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def send_keys(t: pa.Table) -> pa.Table:
         x = anchors(Block.of(t))
@@ -402,7 +430,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return got if got is not None else pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
 
     flags = keys.groupBy("part").applyInArrow(flag, "block long, part int, bits binary")
-    runs = by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: make_runs(d, f, parts, ranges) if d.num_rows else RUN.empty_table(), RUN_DDL)
+    runs = by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: make_runs(d, f, parts, splitters) if d.num_rows else RUN.empty_table(), RUN_DDL)
     found = runs.groupBy("range").applyInArrow(settle, "block long, windows binary")
     nothing = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))})
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(lambda d, f: cut_out(d, f, with_text) if d.num_rows else nothing, OUT_DDL)
