@@ -2,8 +2,8 @@
 
 1. *Slices.* A task splits its texts into words (matches of the split pattern) and
    numbers the distinct words of each slice of some 12 million characters. Texts
-   are kept as word numbers, in a table in the shared folder; the words go to
-   parts by their hash, a row for each slice and part.
+   are shuffled once, as word numbers, and that exchange serves both ends; the
+   words go to parts by their hash, a row for each slice and part.
 2. *Replay.* A part has the words of the whole corpus that fall to it. It lays the
    bytes of the distinct ones end to end and keeps an inverted index from the rank
    of a token pair to the positions where that pair stands. Ranks are replayed in
@@ -31,15 +31,16 @@ import itertools
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import id_text, ranks_of, stored, vocabulary_path
+from .common import id_text, ranks_of, vocabulary_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -158,32 +159,46 @@ def parted(raw: bytes) -> list[bytes]:
     return out
 
 
-PIECE = pa.schema([("kind", pa.string()), ("slice", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+def planes(x: np.ndarray) -> list[bytes]:
+    """The bytes of 32-bit numbers, lowest first, each kept apart, as that compresses well."""
+    return [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, k]).tobytes() for k in range(4)]
 
 
-def slice_pieces(slice_id: int, ids: list[int | None], texts: list[str], split: Callable[[str], list[str]], parts: int) -> pa.RecordBatch:
-    """A slice as one row of texts, in which words are numbers, and a row of distinct words for each part.
+def from_planes(parts: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in parts]).T).view("<u4").ravel().astype(np.int64)
 
-    Frequent words get small numbers, and the bytes of numbers are kept apart, as
-    that compresses well.
-    """
+
+def number_slice(slice_id: int, ids: list[int | None], texts: list[str], split: Callable[[str], list[str]], parts: int) -> pa.RecordBatch:
+    """A slice as one row: its texts as word numbers, and its distinct words by part. Frequent words get small numbers."""
     numbers: dict[str, int] = {}
     of_text = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t)], np.uint32) for t in texts]
     flat = np.concatenate(of_text)
     order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T) if len(flat) else np.zeros((4, 0), np.uint8)
-    known = np.array([i is not None for i in ids])
-    rows = [("text", -1, joined([np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), np.array([len(x) for x in of_text], "<u4").tobytes(), *(p.tobytes() for p in planes)]))]
     words = [w.encode() for w in numbers]
     words = [words[k] for k in order.tolist()]
-    part = np.array([zlib.crc32(w) % parts for w in words], np.int32)
+    check = np.array([zlib.crc32(w) for w in words], np.int64)
+    known = np.array([i is not None for i in ids])
+    text = joined([np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), *planes(np.array([len(x) for x in of_text])), int(check.sum()).to_bytes(8, "little"), *planes(rank[flat])])
+    part = check % parts
+    lists = []
     for p in np.unique(part).tolist():
         mine = np.flatnonzero(part == p)
         own = [words[k] for k in mine.tolist()]
-        rows.append(("word", p, joined([mine.astype("<u4").tobytes(), np.array([len(w) for w in own], "<u4").tobytes(), b"".join(own)])))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([slice_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=PIECE)
+        lists += [p.to_bytes(8, "little"), b"".join(planes(np.diff(mine, prepend=0))), b"".join(planes(np.array([len(w) for w in own]))), b"".join(own)]
+    return pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int64()), pa.array([text], pa.binary()), pa.array([joined(lists)], pa.binary())], names=["slice", "text", "words"])
+
+
+def by_part(pieces: pa.Table) -> pa.Table:
+    """The words of slices, a row for each part."""
+    rows = [(i, int.from_bytes(p, "little"), joined(data)) for i, raw in zip(pieces["slice"].to_pylist(), pieces["words"].to_pylist()) for p, *data in itertools.batched(parted(raw), 4)]
+    return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def four(raw: bytes) -> np.ndarray:
+    n = len(raw) // 4
+    return from_planes([raw[k * n : (k + 1) * n] for k in range(4)])
 
 
 def learn(pieces: pa.Table, table: MergeTable) -> pa.Table:
@@ -191,59 +206,74 @@ def learn(pieces: pa.Table, table: MergeTable) -> pa.Table:
     numbers: dict[bytes, int] = {}
     lists = []
     for raw in pieces["data"].to_pylist():
-        ranks, sizes, text = parted(raw)
-        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-        bounds = [0, *ends.tolist()]
-        lists.append((ranks, np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in itertools.pairwise(bounds)], np.int64)))
+        steps, sizes, text = parted(raw)
+        bounds = [0, *np.cumsum(four(sizes)).tolist()]
+        words = [text[a:b] for a, b in itertools.pairwise(bounds)]
+        lists.append((steps, sum(map(zlib.crc32, words)), np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
     ids, counts = replay(list(numbers), table)
     starts = np.cumsum(counts) - counts
     out = []
-    for ranks, mine in lists:
+    for steps, check, mine in lists:
         n = counts[mine]
         at = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out.append(joined([ranks, n.astype("<u4").tobytes(), ids[at].astype("<i4").tobytes()]))
+        out.append(joined([steps, check.to_bytes(8, "little"), b"".join(planes(n)), b"".join(planes(ids[at]))]))
     return pa.table({"slice": pieces["slice"], "data": pa.array(out, pa.binary()), "distinct": pa.array([len(numbers)] + [0] * (len(out) - 1), pa.int64())})
 
 
-def texts_of(text: pa.Table, learned: pa.Table) -> Iterator[tuple[int | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, numbers of its words, starts and ends of every word's ids, all ids) of each text of a slice."""
-    ids, known, sizes, *planes = parted(text["data"][0].as_py())
-    numbers = np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in planes]).T).view("<u4").ravel().astype(np.int64)
-    pieces = [[np.frombuffer(x, k) for x, k in zip(parted(raw), ("<u4", "<u4", "<i4"))] for raw in learned["data"].to_pylist()]
-    flat = np.concatenate([p[2] for p in pieces]) if pieces else np.zeros(0, np.int32)
-    words = sum(len(p[0]) for p in pieces)
-    starts, counts = np.zeros(words, np.int64), np.zeros(words, np.int64)
-    at = 0
-    for ranks, n, part in pieces:
-        counts[ranks] = n
-        starts[ranks] = at + np.cumsum(n, dtype=np.int64) - n
-        at += len(part)
-    ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
-    for i, ok, a, b in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, bool).tolist(), [0, *ends], ends):
-        yield (i if ok else None), numbers[a:b], np.stack([starts, starts + counts]), flat
-
-
-def digests(text: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
+@dataclass
+class Slice:
+    """A slice's texts as word numbers, and the ids of each word."""
+
+    doc_ids: list[int | None]
+    texts: list[np.ndarray]
+    starts: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, piece: pa.Table, learned: pa.Table) -> Slice:
+        ids, known, *rest = parted(piece["text"][0].as_py())
+        sizes, numbers = from_planes(rest[:4]), from_planes(rest[5:])
+        lists = []
+        check = 0
+        for raw in learned["data"].to_pylist():
+            steps, own, n, part = parted(raw)
+            check += int.from_bytes(own, "little")
+            lists.append((np.cumsum(four(steps)), four(n), four(part)))
+        if check != int.from_bytes(rest[4], "little"):
+            raise RuntimeError("the words of a slice are not those of its texts: the input was read in another order when a task ran again")
+        starts, counts = (np.zeros(sum(len(r) for r, _, _ in lists), np.int64) for _ in range(2))
+        at = 0
+        for ranks, n, part in lists:
+            counts[ranks] = n
+            starts[ranks] = at + np.cumsum(n) - n
+            at += len(part)
+        doc_ids = [i if ok else None for i, ok in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, bool).tolist())]
+        return cls(doc_ids, np.split(numbers, np.cumsum(sizes)[:-1]), starts, counts, np.concatenate([p for _, _, p in lists]) if lists else np.zeros(0, np.int64))
+
+    def of_words(self, one: Callable[[int], object], join: Callable[[list], object]) -> list:
+        """For each word number, what its ids give, joined."""
+        every = [one(k) for k in self.ids.tolist()]
+        return [join(every[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist())]
+
+
+def digests(piece: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
     """n_tokens and the hashes of the ids and of the bytes they decode to."""
-    names: list[str] = []
-    decoded: list[bytes] = []
+    x = Slice.of(piece, learned)
+    names, decoded = x.of_words(str, ",".join), x.of_words(table.bytes_of.__getitem__, b"".join)
     rows = []
-    for i, numbers, bounds, flat in texts_of(text, learned):
-        if not names and bounds.shape[1]:
-            said, of = [str(k) for k in flat.tolist()], [table.bytes_of[k] for k in flat.tolist()]
-            names = [",".join(said[a:b]) for a, b in bounds.T.tolist()]
-            decoded = [b"".join(of[a:b]) for a, b in bounds.T.tolist()]
+    for i, numbers in zip(x.doc_ids, x.texts):
         every = numbers.tolist()
-        ids = ",".join(map(names.__getitem__, every))
-        rows.append((i, int((bounds[1] - bounds[0])[numbers].sum()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, every))).hexdigest()))
+        rows.append((i, int(x.counts[numbers].sum()), hashlib.sha256(",".join([names[k] for k in every]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded[k] for k in every])).hexdigest()))
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows), kinds)})
 
 
-def id_arrays(text: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
+def id_arrays(piece: pa.Table, learned: pa.Table, table: MergeTable) -> pa.Table:
     """The ids themselves."""
-    rows = [(i, [k for a, b in bounds[:, numbers].T.tolist() for k in flat[a:b].tolist()]) for i, numbers, bounds, flat in texts_of(text, learned)]
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+    x = Slice.of(piece, learned)
+    of_word = x.of_words(int, list)
+    return pa.table({"doc_id": pa.array(x.doc_ids, pa.int64()), "ids": pa.array([[i for k in t.tolist() for i in of_word[k]] for t in x.texts], pa.list_(pa.int32()))})
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -260,8 +290,8 @@ def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[
         yield out
 
 
-def word_ids(docs: DataFrame, path: str, slice_chars: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(texts of slices as word numbers, ids of each slice's words by part, with the count of distinct words replayed)."""
+def word_ids(docs: DataFrame, path: str, slice_chars: int, part_bytes: int) -> tuple[GroupedData, DataFrame]:
+    """(slices: texts as word numbers and distinct words, by slice; the ids of each slice's words by part, with the count of distinct words replayed)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
 
@@ -271,17 +301,17 @@ def word_ids(docs: DataFrame, path: str, slice_chars: int, part_bytes: int) -> t
 
         split = regex.compile(public_tokenizers.PATTERN).findall
         for k, rows in enumerate(slices(batches, slice_chars)):
-            yield slice_pieces(TaskContext.get().partitionId() << 32 | k, [i for i, _ in rows], [t for _, t in rows], split, parts)
+            yield number_slice(TaskContext.get().partitionId() << 32 | k, [i for i, _ in rows], [t for _, t in rows], split, parts)
 
-    pieces = stored(docs.mapInArrow(number, "kind string, slice long, part int, data binary"), "slices", partition="kind")
-    learned = pieces.where("kind = 'word'").select("slice", "part", "data").groupBy("part").applyInArrow(lambda t: learn(t, merge_table(path)), "slice long, data binary, distinct long")
-    return pieces.where("kind = 'text'").select("slice", "data"), learned
+    by_slice = docs.mapInArrow(number, "slice long, text binary, words binary").groupBy("slice")
+    words = by_slice.applyInArrow(by_part, "slice long, part long, data binary")
+    return by_slice, words.groupBy("part").applyInArrow(lambda t: learn(t, merge_table(path)), "slice long, data binary, distinct long")
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, slice_chars: int, part_bytes: int, finish: Callable, schema: str) -> DataFrame:
     path = vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken")
-    texts, learned = word_ids(id_text(df, id_col, text_col), path, slice_chars, part_bytes)
-    return texts.groupBy("slice").cogroup(learned.groupBy("slice")).applyInArrow(lambda t, w: finish(t, w, merge_table(path)), schema)
+    by_slice, learned = word_ids(id_text(df, id_col, text_col), path, slice_chars, part_bytes)
+    return by_slice.cogroup(learned.groupBy("slice")).applyInArrow(lambda t, w: finish(t, w, merge_table(path)), schema)
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, slice_chars: int = 12_000_000, part_bytes: int = 32 << 20) -> DataFrame:
