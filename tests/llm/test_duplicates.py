@@ -142,6 +142,72 @@ def test_passages_apart(spark):
     assert fuzzy(spark, rows) == want
 
 
+def joined(pairs):
+    """Components of a list of pairs, as a set of frozensets."""
+    groups = {}
+    for a, b in pairs:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        for x in both:
+            groups[x] = both
+    return {frozenset(g) for g in groups.values()}
+
+
+def brute_pairs(rows, least=40):
+    """(doc, ref) of all pairs of different ids with a stretch of enough words on one diagonal of which 80 % are equal."""
+    out = set()
+    texts = [(i, t.lower().split()) for i, t in rows if i is not None and t]
+    for k, (i, a) in enumerate(texts):
+        at = {}
+        for p, w in enumerate(a):
+            at.setdefault(w, []).append(p)
+        for j, b in texts[:k]:
+            diagonals = {}
+            for q, w in enumerate(b):
+                for p in at.get(w, ()):
+                    diagonals.setdefault(p - q, []).append(p)
+            for x in diagonals.values():
+                if i != j and len(x) >= 0.8 * least and any(x[e] - x[f] + 1 >= least and 100 * (e - f + 1) >= 80 * (x[e] - x[f] + 1) for f in range(len(x)) for e in range(f, len(x))):
+                    out.add((max(i, j), min(i, j)))
+    return out
+
+
+def test_no_link_is_lost_to_other_holders(spark):
+    """Fragments of a passage, rows that share an id, and blocks of any size do not hide a passage."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, r = words(70), words(60), words(90)
+    text = lambda *parts: " ".join(x for part in parts for x in part)
+    rows = [(1, text(words(30), p, words(30))), (500, text(words(20), p, words(25)))]
+    rows += [(10 + k, text(words(30), p[7 * k : 7 * k + 14], words(30))) for k in range(9)]
+    rows += [(30, text(q, words(40))), (39, text(words(40), q))] + [(31 + k, text(words(30), q[20 * k : 20 * k + 20], words(30))) for k in range(3)]
+    rows += [(2, "aaa"), (2, text(words(5), p)), (40, text(r)), (40, text(words(9), r)), (41, text(r, words(3))), (41, text(words(50))), (None, text(p)), (9, cases.LONG), (8, cases.LONG + " end"), (7, text(words(50), cases.LONG.split()[500:600], words(50)))]
+    want = brute_pairs([x for x in rows if x[0] not in (7, 8, 9)]) | {(9, 8), (8, 7)}
+    seen = set()
+    for block_bytes in (1500, 20000, 2 << 20):
+        found = fuzzy(spark, rows, block_bytes=block_bytes, part_bytes=2 * block_bytes)
+        assert joined((x[0], x[3]) for x in found) == joined(want)
+        assert all(x[0] > x[3] for x in found) and {(x[0], x[3]) for x in found if 7 not in x and 8 not in x and 9 not in x} <= want
+        seen.add(frozenset(cover for x in found for cover in (*((x[0], k) for k in range(x[1], x[2])), *((x[3], k) for k in range(x[4], x[5])))))
+    assert len(seen) == 1  # the words that are in passages
+
+
+def test_families_of_edited_passages(spark):
+    """An original, many copies with 12 % of their words changed and one with 16 %; families whose members differ from each other more than from the original."""
+    rng = random.Random(18)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for f, (members, low, high) in enumerate([(50, 0.12, 0.16), (12, 0.05, 0.2), (5, 0.15, 0.18), (30, 0.02, 0.1)]):
+        p = [word() for _ in range(60)]
+        for k in range(members):
+            share = 0 if k == 0 else high if k == members - 1 else low
+            edits = set(rng.sample(range(60), round(60 * share)))
+            rows.append((100 * f + k, " ".join([*(word() for _ in range(30)), *(word() if j in edits else w for j, w in enumerate(p)), *(word() for _ in range(30))])))
+    want = brute_pairs(rows)
+    found = {(x[0], x[3]) for x in fuzzy(spark, rows, block_bytes=6000)}
+    assert found <= want and (49, 0) in found
+    assert joined(found) == joined(want)
+
+
 def test_passages_at_the_threshold(spark):
     """Every fifth or sixth word replaced, or words replaced at random, held against every diagonal of each pair."""
     rng = random.Random(15)
@@ -161,7 +227,7 @@ def test_passages_at_the_threshold(spark):
         fits = [(i, j) for i in range(len(x)) for j in range(i, len(x)) if (n := x[j] - x[i] + 1) >= 40 and 100 * (j - i + 1) >= 80 * n]
         if fits:
             want[doc, ref] = {x[k] for i, j in fits for k in range(i, j + 1)}
-    got, found = {}, fuzzy(spark, rows, block_bytes=8000)
+    got, found = {}, fuzzy(spark, rows, block_bytes=8000, words=4, window=1)
     assert len({(r[0], r[1], r[2]) for r in found}) == len(found)
     for r in found:
         a, b = rows[r[3]][1].split(), rows[r[0]][1].split()
