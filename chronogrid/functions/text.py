@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Types looked for in a block, its labels, and what ends a value.
 ACTIVITY_TYPES = ("Lecture", "Lab", "Tutorial", "Postgraduate")
 FIELD = r"(?s)(Course|Staff|Room):\s*(.*?)(?=(?:Course|Staff|Room):|$)"
 NOISE = r"(?s)\s*(?:Wks|\[=|\(L\d).*$"
@@ -20,7 +21,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def block_text(words: Column) -> Column:
-    """Text of a block's words: lines by rounded top, words of a line by (top, x0).
+    """Text of a block's words, as they stand: lines by rounded top, words of a line by (top, x0).
 
     words: array of structs with top, x0, seq and text.
     """
@@ -30,7 +31,7 @@ def block_text(words: Column) -> Column:
         F.struct(F.lit(None).cast("double").alias("line"), F.lit("").alias("text")),
         lambda acc, w: F.struct(w["line"].alias("line"), F.when(acc["line"].isNull(), w["text"]).otherwise(F.concat(acc["text"], F.when(acc["line"] == w["line"], F.lit(" ")).otherwise(F.lit("\n")), w["text"])).alias("text")),
     )
-    return repair_weeks(joined["text"])
+    return joined["text"]
 
 
 def repair_weeks(t: Column) -> Column:
@@ -48,7 +49,7 @@ def activity_type(t: Column, types: Column | None = None) -> Column:
 
 
 def weeks(t: Column) -> Column:
-    return F.coalesce(blank_to_null(F.regexp_extract(t, r"S\d+W\d+-S\d+W\d+", 0)), blank_to_null(F.regexp_extract(t, r"SUM\s*W\d+-SUM\s*W\d+", 0)))
+    return F.coalesce(blank_to_null(F.regexp_extract(t, r"S\d+W\d+-S\d+W\d+", 0)), blank_to_null(F.regexp_extract(t, r"SUM W\d+-SUM W\d+", 0)))
 
 
 def week_count(t: Column) -> Column:
@@ -73,11 +74,15 @@ def room_name(v: Column) -> Column:
 
 
 def parse_block(t: Column, types: Column | None = None) -> Column:
-    """All fields of a block's text as a struct."""
-    t = repair_weeks(t)
+    """All fields of a block's text as a struct.
+
+    Fields are read from the lines joined by blanks, with week ranges repaired, so
+    none holds a line break; raw_text is the text as it stands, with its lines.
+    """
+    raw, t = t, repair_weeks(F.replace(t, F.lit("\n"), F.lit(" ")))
     return F.struct(
         activity_type(t, types).alias("type"), weeks(t).alias("weeks"), week_count(t).alias("week_count"), labelled_field(t, "Course").alias("course"),
-        labelled_field(t, "Staff").alias("staff"), room_name(labelled_field(t, "Room")).alias("room"), group_label(t).alias("group_label"), t.alias("raw_text"),
+        labelled_field(t, "Staff").alias("staff"), room_name(labelled_field(t, "Room")).alias("room"), group_label(t).alias("group_label"), raw.alias("raw_text"),
     )
 
 
@@ -95,6 +100,11 @@ def shortened(c: Column, most: int = 30) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 2), F.lit(".."))).otherwise(c)
 
 
+def tag_text(html: Column, tag: str) -> Column:
+    """Text of the first such element that holds no other; empty if there is none."""
+    return F.regexp_extract(html, f"<{tag}>([^<]*)</{tag}>", 1)
+
+
 def is_semester(c: Column) -> Column:
     return c.startswith("Semester_") | c.startswith("Summer_")
 

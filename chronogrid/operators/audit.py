@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import EXPECTED_LABELS
@@ -17,9 +17,25 @@ def header_words(words: DataFrame, low: float = 85, high: float = 120) -> DataFr
     return words.where(F.col("top").between(low, high) & F.col("text").rlike(LABEL)).select("file", "page", F.col("text").alias("label"), two("x0"), two("x1"), two("top"), two("bottom"))
 
 
-def expected_positions(values: DataFrame, label: str, value: str) -> DataFrame:
-    """Exact median of each label."""
-    return values.groupBy(label).agg(F.median(value).alias("expected"))
+def expected_positions(values: DataFrame, label: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median of each label, without a label's values in one task.
+
+    A quantile sketch gives two values between which the middle must lie (its rank
+    error is at most 1 / accuracy, and they stand ten times as far apart). One
+    aggregate counts what is below them, and only the distinct values between them,
+    some thousandth of all, are put in order.
+    """
+    some = values.where(F.col(value).isNotNull()).select(F.col(label).alias("_l"), F.col(value).alias("_v"))
+    far = 10 / accuracy
+    ends = some.groupBy("_l").agg(F.percentile_approx("_v", [0.5 - far, 0.5 + far], accuracy).alias("_ends"), F.count("*").alias("_n")).select(F.col("_l").alias("_label"), F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"), "_n")
+    met = some.join(ends, F.col("_l").eqNullSafe(F.col("_label")))
+    place = F.when(F.col("_v") < F.col("_low"), F.lit(None)).otherwise(F.col("_v"))
+    counts = met.where(F.col("_v") <= F.col("_high")).groupBy("_l", place.alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy("_l").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_upto", upto)
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    middle = (at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor((F.col("_n") + 2) / 2))) / 2
+    return ranked.groupBy("_l").agg(middle.cast("double").alias("expected")).withColumnRenamed("_l", label)
 
 
 def outliers(values: DataFrame, label: str, value: str, tolerance: float = TOLERANCE) -> DataFrame:
@@ -45,7 +61,8 @@ def expected_labels(spark: SparkSession, labels: tuple[str, ...] = EXPECTED_LABE
 
 def spread(values: DataFrame, expected: DataFrame, label: str, value: str, tolerance: float = TOLERANCE) -> DataFrame:
     """Median, least, greatest, population deviation and count of each expected label; 'no data' where there is none."""
-    stats = values.groupBy(label).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.stddev_pop(value).alias("deviation"), F.count(value).alias("n"))
+    stats = values.groupBy(label).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.stddev_pop(value).alias("deviation"), F.count(value).alias("n"))
+    stats = stats.join(expected_positions(values, label, value).withColumnRenamed("expected", "median"), label, "left").select(label, "median", "least", "greatest", "deviation", "n")
     status = F.when(F.col("n").isNull(), F.lit("no data")).when(F.col("greatest") - F.col("least") <= 2 * tolerance, F.lit("ok")).otherwise(F.lit("spread"))
     return expected.join(stats, label, "left").withColumn("status", status).withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -10,6 +10,7 @@ from ..functions.text import confidence_class
 from ..functions.times import bare_time, minutes
 from ..schemas import CONFIG, DAYS
 
+# What a configuration has where nothing better is known.
 ROOM_PATTERN = r"[A-Z0-9]{2,5}\.\d{2}\.\d{2}[A-Z]?"
 STAFF_PATTERN = r"[A-Z][a-z]+,\s*[A-Z]\."
 CODE_PATTERN = r"[A-Z]{2,4}\d{4}"
@@ -83,7 +84,7 @@ def config_documents(df: DataFrame, config_id: Column, course_code: Column, sess
     """
     code = F.upper(F.coalesce(course_code, F.lit("unknown")))
     none = F.lit(None).cast("string")
-    out = df.select(config_id.alias("config_id"), F.lower(code).alias("course_id"), code.alias("course_code"), F.lit("draft").alias("status"), F.lit("llm").alias("generated_by"), (session_id if session_id is not None else none).alias("llm_session_id"), "config", none.alias("rejection_reason"))
+    out = df.select(config_id.alias("config_id"), F.lower(code).alias("course_id"), code.alias("course_code"), F.lit("draft").alias("status"), F.lit("llm").alias("generated_by"), (session_id if session_id is not None else none).alias("llm_session_id"), "config", none.alias("rejection_reason"), F.current_timestamp().alias("created_at"))
     return out.withColumn("version", F.row_number().over(Window.partitionBy("course_code").orderBy("config_id")))
 
 

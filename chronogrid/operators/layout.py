@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import day_of_label
+from ..functions.times import display_time
 from ..schemas import BANDS, SLOTS
 from .folds import cluster_boxes
 from .overlap import next_lower
@@ -15,9 +16,10 @@ LABEL = r"^\d{2}:\d{2}[AP]M"
 WORK_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday")
 
 
-def column_edges(config: Column, side: str) -> Column:
-    """Left or right edges, as page fractions, of the work days that a configuration has."""
-    return F.filter(F.array(*(config["day_columns"][d][side] for d in WORK_DAYS)), lambda x: x.isNotNull())
+def column_edges(config: Column, side: str, whole: bool = True) -> Column:
+    """Left or right edges, as page fractions, of the work days that a configuration has; whole takes only days with both edges."""
+    days = F.filter(F.array(*(config["day_columns"][d] for d in WORK_DAYS)), lambda c: c["left"].isNotNull() & c["right"].isNotNull() if whole else c[side].isNotNull())
+    return F.transform(days, lambda c: c[side])
 
 
 def with_limits(pages: DataFrame, config: str | None = None) -> DataFrame:
@@ -29,20 +31,21 @@ def with_limits(pages: DataFrame, config: str | None = None) -> DataFrame:
     if config is None:
         return pages.select(*PAGE, "width", "height", F.lit(90.0).alias("slot_low"), F.lit(115.0).alias("slot_high"), F.lit(60.0).alias("day_max"), F.lit(50.0).alias("rect_left"), F.lit(60.0).alias("word_left"), F.lit(None).cast("double").alias("word_right"))
     c = F.col(config)
-    slots = F.coalesce(c["time_slot_map"], F.array().cast("array<struct<label:string,top:double,bottom:double>>"))
+    slots = F.filter(F.coalesce(c["time_slot_map"], F.array().cast("array<struct<label:string,top:double,bottom:double>>")), lambda s: s["top"].isNotNull() & s["bottom"].isNotNull())
+    first = F.array_min(column_edges(c, "left", whole=False)) * F.col("width")
     left, right = F.array_min(column_edges(c, "left")) * F.col("width"), F.array_max(column_edges(c, "right")) * F.col("width")
     edge = lambda f: F.when(F.size(slots) > 0, f(F.transform(slots, lambda s: F.least(s["top"], s["bottom"]) if f is F.array_min else F.greatest(s["top"], s["bottom"]))) * F.col("height"))
     return pages.select(
-        *PAGE, "width", "height", F.coalesce(edge(F.array_min), F.lit(90.0)).alias("slot_low"), F.coalesce(edge(F.array_max), F.lit(115.0)).alias("slot_high"), F.least(F.lit(60.0), left - 5).alias("day_max"),
+        *PAGE, "width", "height", F.coalesce(edge(F.array_min), F.lit(90.0)).alias("slot_low"), F.coalesce(edge(F.array_max), F.lit(115.0)).alias("slot_high"), F.least(F.lit(60.0), first - 5).alias("day_max"),
         F.coalesce(left, F.lit(50.0)).alias("rect_left"), F.coalesce(left, F.lit(60.0)).alias("word_left"), right.alias("word_right"),
     )
 
 
 def slot_rows(words: DataFrame, limits: DataFrame) -> DataFrame:
-    """Hour slots as rows: each ends where the next starts, the last 50 points after its label."""
+    """Hour slots as rows, labelled as 08:00 AM: each ends where the next starts, the last 50 points after its label."""
     w = words.join(limits.select(*PAGE, "slot_low", "slot_high"), PAGE).where(F.col("top").between(F.col("slot_low"), F.col("slot_high")) & F.col("text").rlike(LABEL))
     order = Window.partitionBy(*PAGE).orderBy("x0", "seq")
-    return w.select(*PAGE, F.col("x0").alias("x_start"), F.coalesce(F.lead("x0").over(order), F.col("x1") + 50).alias("x_end"), F.col("text").alias("label"), (F.row_number().over(order) - 1).alias("idx"))
+    return w.select(*PAGE, F.col("x0").alias("x_start"), F.coalesce(F.lead("x0").over(order), F.col("x1") + 50).alias("x_end"), display_time(F.col("text")).alias("label"), (F.row_number().over(order) - 1).alias("idx"))
 
 
 def slots(words: DataFrame, limits: DataFrame) -> DataFrame:

@@ -13,9 +13,12 @@ BAND_OFFSET = 50.0
 
 
 def nearest_slot(x: Column, slots: Column) -> Column:
-    """The slot struct (x_start, x_end, label, idx) whose start is nearest to x; ties go to the first; null without slots."""
-    ranked = F.transform(slots, lambda s: F.struct(F.abs(x - s["x_start"]).alias("d"), s["idx"].alias("idx"), s.alias("slot")))
-    return F.array_min(ranked)["slot"]
+    """The slot struct (x_start, x_end, label, idx) whose start is nearest to x; ties go to the smallest idx; null without slots.
+
+    Only distances and places are compared; the slot itself is taken once.
+    """
+    ranked = F.transform(slots, lambda s, i: F.struct(F.abs(x - s["x_start"]).alias("d"), s["idx"].alias("idx"), i.alias("i")))
+    return F.get(slots, F.array_min(ranked)["i"])
 
 
 def nearest_label(x: Column, slots: Column) -> Column:
@@ -42,44 +45,72 @@ def day_at(y: Column, bands: Column, offset: float = BAND_OFFSET) -> Column:
     return F.coalesce(hit["day"], F.get(ordered, F.lit(0))["day"], F.lit("Unknown"))
 
 
-def nearest_in_table(left: DataFrame, x: str, points: DataFrame, at: str, label: str, cell: float, tie: str | None = None) -> DataFrame:
-    """left with nearest_label and nearest_distance, among points that are at most one cell away.
+def _nearest(left: DataFrame, right: DataFrame, keys: list[str], x: str, cell: float) -> DataFrame:
+    """Each row of left, as a struct under its own number, with its nearest row of right (_at, _tie, _id) at most a cell away, or null.
 
-    Both sides are dealt by cell of width ``cell``; a left row looks into its own
-    and the two next cells, so the join has an equality key at any size.
+    Both sides are dealt by cells of that width; a left row looks into its own and
+    the two next cells, so the join has an equality key at any size, and a hot key
+    is spread over its cells. The row's number is given once, before anything is
+    shuffled, so equal rows stay apart.
     """
-    tie = tie or at
-    p = points.select(F.col(at).alias("_at"), F.col(label).alias("_label"), F.col(tie).alias("_tie")).withColumn("_cell", F.floor(F.col("_at") / cell))
-    keyed = left.withColumn("_row", F.monotonically_increasing_id())
-    probes = keyed.select("_row", F.col(x).alias("_x")).withColumn("_cell", F.explode(F.array(*(F.floor(F.col("_x") / cell) + k for k in (-1, 0, 1)))))
-    best = probes.join(p, "_cell").where(F.abs(F.col("_x") - F.col("_at")) <= cell).groupBy("_row").agg(F.min(F.struct(F.abs(F.col("_x") - F.col("_at")).alias("d"), F.col("_tie").alias("t"), F.col("_label").alias("label"))).alias("best"))
-    return keyed.join(best, "_row", "left").withColumn("nearest_label", F.col("best.label")).withColumn("nearest_distance", F.col("best.d")).drop("_row", "best")
+    place = lambda c: F.floor(F.col(c) / cell).cast("long")
+    cells = F.array(*(place(x) + k for k in (-1, 0, 1)))
+    l = left.select(*keys, F.struct(*left.columns).alias("_left"), F.col(x).alias("_x"), cells.alias("_cells"), F.monotonically_increasing_id().alias("_row"))  # noqa: E741
+    l = l.withColumn("_cell", F.explode("_cells")).drop("_cells")  # noqa: E741
+    met = l.join(right.withColumn("_cell", place("_at")), [*keys, "_cell"], "left")
+    gap = F.abs(F.col("_x") - F.col("_at"))
+    best = F.min(F.when(gap <= cell, F.struct(gap.alias("d"), F.col("_tie").alias("t"), F.col("_id").alias("id"))))
+    return met.groupBy("_row").agg(F.first("_left").alias("_left"), best.alias("_best"))
+
+
+def nearest_in_table(left: DataFrame, x: str, points: DataFrame, at: str, label: str, cell: float, tie: str | None = None) -> DataFrame:
+    """left with nearest_label and nearest_distance, among points that are at most one cell away; null where there is none."""
+    p = points.select(F.col(at).alias("_at"), F.col(label).alias("_id"), F.col(tie or at).alias("_tie"))
+    return _nearest(left, p, [], x, cell).select("_left.*", F.col("_best.id").alias("nearest_label"), F.col("_best.d").alias("nearest_distance"))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, most: float, left_id: str, right_id: str) -> DataFrame:
-    """For each left row the right row of the same keys nearest in ``at``, at most ``most`` away; ties to the smallest id.
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, most: float, right_id: str) -> DataFrame:
+    """For each left row the id of the right row of the same keys nearest in ``at``, at most ``most`` away, and its distance; ties to the smallest id.
 
-    Not exclusive: a right row may serve several left rows. Buckets of width
-    ``most`` join the keys, so a hot key is spread over its buckets.
+    Both are null where there is none. Not exclusive: a right row may serve several
+    left rows.
     """
-    bucket = lambda c: F.floor(F.col(c) / most).cast("long")
-    l = left.withColumn("_b", F.explode(F.array(*(bucket(left_at) + k for k in (-1, 0, 1)))))  # noqa: E741
-    r = right.select(*keys, F.col(right_at).alias("_at"), F.col(right_id).alias("_id")).withColumn("_b", bucket("_at"))
-    gap = F.abs(F.col(left_at) - F.col("_at"))
-    met = l.join(r, [*keys, "_b"]).where(gap <= most)
-    return met.groupBy(*left.columns).agg(F.min(F.struct(gap.alias("d"), F.col("_id").alias("id"))).alias("m")).select(*left.columns, F.col("m.id").alias(right_id), F.col("m.d").alias("distance"))
+    r = right.select(*keys, F.col(right_at).alias("_at"), F.col(right_id).alias("_id"), F.col(right_id).alias("_tie"))
+    return _nearest(left, r, keys, left_at, most).select("_left.*", F.col("_best.id").alias(right_id), F.col("_best.d").alias("distance"))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, offset: float = 0, default_first: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, offset: float = 0, default_first: bool = False, bucket: float | None = None) -> DataFrame:
     """left with the value of the last right row of its keys at or before ``left_at + offset``.
 
     One union and one window over the keys; default_first takes the key's first
-    right row where none is early enough.
+    right row where none is early enough. With a bucket (a width of ``at``) the
+    window is over keys and bucket, so a hot key is not one task's sort, and a value
+    is carried into a bucket from the last one before that has any: a window over
+    one row for each key and bucket.
     """
     l = left.select("*", (F.col(left_at) + offset).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))  # noqa: E741
-    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if default_first:
-        both = both.withColumn(value, F.coalesce(value, F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return both.where("_side = 1").select(*left.columns, value)
+    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v")).where("_at IS NOT NULL")
+    both = l.unionByName(r, allowMissingColumns=True)
+    parts = list(keys)
+    if bucket:
+        both, parts = both.withColumn("_b", F.floor(F.col("_at") / bucket)), [*keys, "_b"]
+    upto = Window.partitionBy(*parts).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
+    found = F.col("_last")
+    if bucket or default_first:
+        if bucket:
+            r = r.withColumn("_b", F.floor(F.col("_at") / bucket))
+        of = r.where("_v IS NOT NULL").groupBy(*parts).agg(F.max_by("_v", "_at").alias("_latest"), F.min_by("_v", "_at").alias("_first"), F.min("_at").alias("_from"))
+        same = lambda d, names: d.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *names)
+        if default_first:
+            firsts = same(of.groupBy(*keys).agg(F.min_by("_first", "_from").alias("_first")), ["_first"])
+            out = out.join(firsts, [out[k].eqNullSafe(firsts[f"_k{i}"]) for i, k in enumerate(keys)], "left")
+        if bucket:
+            before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            places = both.select(*parts).distinct().join(of.select(*(F.col(k).alias(f"_p{i}") for i, k in enumerate(parts)), "_latest"), [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(parts)], "left")
+            carried = same(places.withColumn("_carried", F.last("_latest", ignorenulls=True).over(before)), [F.col("_b").alias("_kb"), "_carried"])
+            out = out.join(carried, [*(out[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)), out["_b"] == carried["_kb"]], "left")
+            found = F.coalesce(found, "_carried")
+        if default_first:
+            found = F.coalesce(found, "_first")
+    return out.select(*left.columns, found.alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes
@@ -29,9 +29,9 @@ def filter_resources(df: DataFrame, res_type: str | None = None, faculty: str |
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; null keys are equal."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key; null keys are equal. One aggregate, so a hot key leaves a row a task before the shuffle."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
+    return df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(first).select("_first.*")
 
 
 def latest(df: DataFrame, key: str, value: str, by: list[str]) -> DataFrame:
@@ -45,25 +45,42 @@ def active_config(configs: DataFrame, course_code: str) -> DataFrame:
 
 
 def configs(df: DataFrame, status: str | None = None, course_code: str | None = None) -> DataFrame:
+    """Configurations by status and course, the latest made first; those made before times were kept come last."""
     if status:
         df = df.where(F.col("status") == status)
     if course_code:
         df = df.where(F.upper("course_code") == course_code.upper())
-    return df
+    return df.orderBy(F.desc_nulls_last("created_at"), "config_id")
+
+
+def config_summaries(df: DataFrame) -> DataFrame:
+    """What lists show of configurations."""
+    return df.select("config_id", "course_code", "status", "generated_by", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("config.confidence", F.lit(0.0)).alias("confidence"), "created_at")
+
+
+def active_count(df: DataFrame) -> DataFrame:
+    """One row: how many configurations there are, and how many of them are active."""
+    return df.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
 
 
 def activate(df: DataFrame, config_id: str) -> DataFrame:
     """A snapshot in which a configuration is active and the course's other active ones are superseded; unknown ids change nothing."""
     target = df.where(F.col("config_id") == config_id).select(F.upper("course_code").alias("_course")).distinct()
-    out = df.join(F.broadcast(target), F.upper("course_code") == F.col("_course"), "left")  # an id names one row
+    out = df.join(target, F.upper("course_code") == F.col("_course"), "left")
     status = F.when(F.col("config_id") == config_id, F.lit("active")).when(F.col("_course").isNotNull() & (F.col("status") == "active"), F.lit("superseded")).otherwise(F.col("status"))
     return out.withColumn("status", status).select(df.columns)
 
 
 def supersede(df: DataFrame, key: str, order: list[str], status: str, active: str, superseded: str) -> DataFrame:
-    """Every key keeps one active row, its latest; its other active rows are superseded."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
-    return df.withColumn("_n", last).withColumn(status, F.when(F.col("_n") == 1, F.lit(active)).when(F.col(status) == active, F.lit(superseded)).otherwise(F.col(status))).drop("_n")
+    """Every key's latest row becomes active (rows equal in order all do); its other active rows are superseded.
+
+    The latest is an aggregate joined back, one row for each key, so a hot key's
+    rows are not sorted in one task. Rows without a key keep their status.
+    """
+    last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
+    out = df.join(last, key, "left")
+    now = F.struct(*order) == F.col("_last")
+    return out.select(*(F.when(now, F.lit(active)).when((F.col(status) == active) & now.isNotNull(), F.lit(superseded)).otherwise(F.col(status)).alias(status) if c == status else F.col(c) for c in df.columns))
 
 
 def cascade(keys: DataFrame, key: str, configs: DataFrame, config: str, default: Column) -> DataFrame:
@@ -134,6 +151,11 @@ def outer_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return met.select(key, "before", "after", change.alias("change"))
 
 
+def without(df: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are not among those used."""
+    return df.join(used.select(*keys), keys, "left_anti")
+
+
 def match_rate(matched: Column, rule: Column, llm: Column) -> Column:
     return matched / F.greatest(rule, llm, F.lit(1))
 

@@ -24,8 +24,26 @@ def sessions(events: DataFrame) -> DataFrame:
     return fold_events(events, "session_id", "seq", fields).join(times, "session_id").join(phases, "session_id", "left")
 
 
+def recent_sessions(events: DataFrame, course_code: str | None = None, limit: int = 20) -> DataFrame:
+    """Summaries of the latest sessions, of one course (spelt exactly so) or of all."""
+    s = sessions(events)
+    if course_code:
+        s = s.where(F.col("course_code") == course_code)
+    return session_summaries(s.orderBy(F.desc("created_at"), "session_id").limit(limit))
+
+
+def session_summaries(sessions: DataFrame) -> DataFrame:
+    """What lists show of sessions."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return sessions.select("session_id", blank("course_code"), blank("status"), "confidence", "config_id", F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("created_at"))
+
+
 class Calibration:
-    """Runs the phases for one document; each step is an event, and a failure is recorded and raised again."""
+    """Runs the phases for one document; each step is an event, and a failure is recorded and raised again.
+
+    A version is the one after the highest that is stored, so of one course only one
+    run at a time may append.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, provider: providers.Provider, generate=configs.generate, report=None):
         self.spark, self.folder, self.provider, self.generate, self.report = spark, folder, provider, generate, report

@@ -75,7 +75,7 @@ def audit_verdict(spark, folder):
 @query("""WITH s AS (SELECT i AS idx, i * 5000.0 AS x, 'S' || i AS label FROM range(20) t(i))
 SELECT l_orderkey, l_linenumber, l_extendedprice, arg_min(label, struct_pack(d := abs(l_extendedprice - x), i := idx)) AS label FROM (SELECT *, row_number() OVER () AS r FROM lineitem), s GROUP BY r, 1, 2, 3""")
 def nearest_slot(spark, folder):
-    slots = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((i * 5000.0).alias("x_start"), ((i + 1) * 5000.0).alias("x_end"), F.concat(F.lit("S"), i.cast("string")).alias("label"), i.alias("idx")))
+    slots = F.array(*(F.struct(F.lit(i * 5000.0).alias("x_start"), F.lit((i + 1) * 5000.0).alias("x_end"), F.lit(f"S{i}").alias("label"), F.lit(i).alias("idx")) for i in range(20)))
     return load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", nearest.nearest_label(F.col("l_extendedprice"), slots).alias("label"))
 
 
@@ -86,19 +86,19 @@ def nearest_price(spark, folder):
 
 
 @query(f"""WITH m AS (SELECT c.event_id, min(struct_pack(d := abs(c.sec - p.sec), k := p.event_id)) AS m FROM {E} c JOIN {E} p ON c.user_id = p.user_id AND abs(c.sec - p.sec) <= 5400 WHERE c.event_type = 'click' AND p.event_type = 'purchase' GROUP BY 1)
-SELECT event_id, m.k AS purchase_id, m.d AS distance FROM m""")
+SELECT event_id, m.k AS purchase_id, m.d AS distance FROM events LEFT JOIN m USING (event_id) WHERE event_type = 'click'""")
 def nearest_within_tolerance(spark, folder):
     e = _events(spark, folder)
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "sec")
     bought = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "sec")
-    return nearest.nearest_within(clicks, bought, ["user_id"], "sec", "sec", 5400, "event_id", "purchase_id").select("event_id", "purchase_id", "distance")
+    return nearest.nearest_within(clicks, bought, ["user_id"], "sec", "sec", 5400, "purchase_id").select("event_id", "purchase_id", "distance")
 
 
 @query(f"""SELECT c.event_id, v.event_id AS view_id FROM (SELECT *, us + 50000000 AS at FROM {E} WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM {E} WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.at >= v.us""")
 def asof_offset(spark, folder):
     e = _events(spark, folder)
     views = e.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "us")
-    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 50_000_000).select("event_id", "view_id")
+    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 50_000_000, bucket=86_400_000_000).select("event_id", "view_id")
 
 
 @query(f"""WITH v AS (SELECT * FROM {E} WHERE event_type = 'view'), f AS (SELECT user_id, arg_min(event_id, us) AS first_id FROM v GROUP BY 1)
@@ -138,7 +138,7 @@ def keyed_band_join(spark, folder):
     l = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")  # noqa: E741
     q = F.explode(F.sequence(F.lit(0), F.lit(4)))
     boxes = l.select("l_returnflag").distinct().withColumn("band", q).select("l_returnflag", F.col("band").cast("long"), (F.col("band") * 10.0).alias("low"), (F.col("band") * 10.0 + 15).alias("high"))
-    return overlap.band_join(l, boxes, ["l_returnflag"], [("l_quantity", "low", "high", True)]).select("l_orderkey", "l_linenumber", "band")
+    return overlap.binned_band_join(l, boxes, "l_quantity", "low", "high", 10.0, ["l_returnflag"], closed=True).select("l_orderkey", "l_linenumber", "band")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size, p_retailprice, CAST(p_partkey AS DOUBLE) AS h FROM part),
@@ -236,9 +236,9 @@ def download_counters(spark, folder):
     return records.download_counters(load(spark, folder, "orders").select(outcome.alias("outcome")))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
 def only_left(spark, folder):
-    return load(spark, folder, "part").select("p_partkey").join(load(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return records.without(load(spark, folder, "part").select("p_partkey"), load(spark, folder, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
 
 
 # -- comparison -------------------------------------------------------------------------------
@@ -246,11 +246,11 @@ def only_left(spark, folder):
 
 @query("""WITH j AS (SELECT c_custkey AS k, c_name, s_name, c_nationkey, s_nationkey, c_mktsegment FROM customer JOIN supplier ON c_custkey = s_suppkey)
 SELECT k, 'room' AS field, c_name AS rule, s_name AS llm FROM j WHERE upper(trim(c_name)) <> upper(trim(s_name))
-UNION ALL SELECT k, 'staff', c_name, upper(c_name) || ' ,' FROM j WHERE false
+UNION ALL SELECT k, 'staff', c_name, CASE WHEN k % 3 = 0 THEN s_name ELSE upper(c_name) || ' ,' END FROM j WHERE k % 3 = 0 AND upper(c_name) <> upper(s_name)
 UNION ALL SELECT k, 'nation', CAST(c_nationkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM j WHERE c_nationkey <> s_nationkey""")
 def field_diff(spark, folder):
     c, s = load(spark, folder, "customer"), load(spark, folder, "supplier")
-    j = c.join(s, c.c_custkey == s.s_suppkey).select(F.col("c_custkey").alias("k"), F.struct(F.col("c_name").alias("room"), F.col("c_name").alias("staff"), F.col("c_nationkey").alias("nation")).alias("rule"), F.struct(F.col("s_name").alias("room"), F.concat(F.upper("c_name"), F.lit(" ,")).alias("staff"), F.col("s_nationkey").alias("nation")).alias("llm"))
+    j = c.join(s, c.c_custkey == s.s_suppkey).select(F.col("c_custkey").alias("k"), F.struct(F.col("c_name").alias("room"), F.col("c_name").alias("staff"), F.col("c_nationkey").alias("nation")).alias("rule"), F.struct(F.col("s_name").alias("room"), F.when(F.col("c_custkey") % 3 == 0, F.col("s_name")).otherwise(F.concat(F.upper("c_name"), F.lit(" ,"))).alias("staff"), F.col("s_nationkey").alias("nation")).alias("llm"))
     return records.field_diff(j, ["k"], fields=("room", "staff", "nation"))
 
 
@@ -272,11 +272,11 @@ def match_summary(spark, folder):
 _BLOCK_SQL = """['Lecture', 'lab', 'Tutorial', 'Talk'][CAST(p_partkey % 4 + 1 AS BIGINT)] || ', Wks S2W' || (p_size % 9 + 1) || '- S2W' || (p_size % 9 + 3) || ' [=' || p_size || '] Course: ' || p_brand || ' (L' || (p_partkey % 5) || ') Staff: ' || p_name || ' Room: ' || p_type || ' W'"""
 
 
-@query(f"""WITH t AS (SELECT p_partkey, regexp_replace({_BLOCK_SQL}, '(S\\d+W\\d+)-\\s+(S\\d+W\\d+)', '\\1-\\2', 'g') AS t FROM part)
+@query(f"""WITH t AS (SELECT p_partkey, {_BLOCK_SQL} AS raw, regexp_replace({_BLOCK_SQL}, '(S\\d+W\\d+)-\\s+(S\\d+W\\d+)', '\\1-\\2', 'g') AS t FROM part)
 SELECT p_partkey, CASE WHEN regexp_matches(t, '(?i)\\bLecture\\b') THEN 'Lecture' WHEN regexp_matches(t, '(?i)\\bLab\\b') THEN 'Lab' WHEN regexp_matches(t, '(?i)\\bTutorial\\b') THEN 'Tutorial' END AS type,
   nullif(regexp_extract(t, 'S\\d+W\\d+-S\\d+W\\d+'), '') AS weeks, TRY_CAST(regexp_extract(t, '\\[=(\\d+)\\]', 1) AS INTEGER) AS week_count,
   trim(regexp_replace(regexp_extract(t, '.*Course:\\s*(.*?)\\s*Staff:', 1), '\\s*\\(L\\d.*$', '')) AS course, trim(regexp_extract(t, '.*Staff:\\s*(.*?)\\s*Room:', 1)) AS staff,
-  trim(regexp_replace(regexp_extract(t, '.*Room:\\s*(.*)$', 1), '\\s+[A-Z0-9]\\s*$', '')) AS room, 'L' || regexp_extract(t, '\\(L(\\d+)\\)', 1) AS group_label, t AS raw_text FROM t""")
+  trim(regexp_replace(regexp_extract(t, '.*Room:\\s*(.*)$', 1), '\\s+[A-Z0-9]\\s*$', '')) AS room, 'L' || regexp_extract(t, '\\(L(\\d+)\\)', 1) AS group_label, raw AS raw_text FROM t""")
 def parse_block(spark, folder):
     kind = F.get(F.array(*map(F.lit, ("Lecture", "lab", "Tutorial", "Talk"))), (F.col("p_partkey") % 4).cast("int"))
     s = lambda c: c.cast("string")
@@ -308,7 +308,7 @@ def json_extract(spark, folder):
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def html_title(spark, folder):
-    return load(spark, folder, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return load(spark, folder, "pages").select("page_id", text.tag_text(F.col("html"), "title").alias("title"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS class, CASE WHEN length(o_orderpriority) > 8 THEN left(o_orderpriority, 6) || '..' ELSE o_orderpriority END AS short FROM (SELECT *, (o_orderkey % 100) / 100.0 AS c FROM orders)")
@@ -319,7 +319,8 @@ def confidence_and_ellipsis(spark, folder):
 @query(f"""WITH d AS (SELECT user_id, lower(dayname(ts)) AS day, min(event_id) AS f FROM {E} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM d)
 SELECT user_id, day, round((i - 1) / n, 4) AS "left", round(i / n, 4) AS "right" FROM r""")
 def derive_columns(spark, folder):
-    e = _events(spark, folder).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.date_format(F.col("ts").cast("timestamp"), "EEEE").alias("day")))).alias("entries"))
+    days = _events(spark, folder).groupBy("user_id", F.date_format(F.col("ts").cast("timestamp"), "EEEE").alias("day")).agg(F.min("event_id").alias("event_id"))  # at most seven for each user
+    e = days.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "day"))).alias("entries"))
     return e.select("user_id", F.explode(configs.derived_columns(F.col("entries"))).alias("c")).select("user_id", "c.*")
 
 
@@ -339,27 +340,27 @@ def greedy_match(spark, folder):
     return side("click", "r").join(side("purchase", "l"), ["user_id", "day"]).select("user_id", F.explode(folds.greedy_match(F.col("r"), F.col("l"))).alias("m")).select("user_id", F.col("m.rule_idx").cast("long").alias("rule_idx"), F.col("m.llm_idx").cast("long").alias("llm_idx"), "m.gap")
 
 
-@query(f"""WITH r AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS x0, CAST(minute % 200 AS DOUBLE) AS top FROM {E}),
-g AS (SELECT user_id, list(struct_pack(x0 := x0, x1 := x0 + 5, top := top, bottom := top + 4) ORDER BY top, x0, event_id) AS l, count(*) AS n FROM r GROUP BY 1),
-w AS (WITH RECURSIVE w AS (SELECT user_id, l, n, 1 AS k, CAST([] AS STRUCT(x0 DOUBLE, x1 DOUBLE, top DOUBLE, bottom DOUBLE)[]) AS acc FROM g
-  UNION ALL SELECT user_id, l, n, k + 1, CASE WHEN p IS NULL OR p = 0 THEN list_append(acc, l[k]) ELSE list_transform(acc, lambda c, i: CASE WHEN i = p THEN struct_pack(x0 := least(c.x0, l[k].x0), x1 := greatest(c.x1, l[k].x1), top := least(c.top, l[k].top), bottom := greatest(c.bottom, l[k].bottom)) ELSE c END) END FROM (
+@query(f"""WITH r AS (SELECT user_id, day, event_id, CAST(value AS DOUBLE) AS x0, CAST(minute % 200 AS DOUBLE) AS top FROM {E}),
+g AS (SELECT user_id, day, list(struct_pack(x0 := x0, x1 := x0 + 5, top := top, bottom := top + 4) ORDER BY top, x0, event_id) AS l, count(*) AS n FROM r GROUP BY 1, 2),
+w AS (WITH RECURSIVE w AS (SELECT user_id, day, l, n, 1 AS k, CAST([] AS STRUCT(x0 DOUBLE, x1 DOUBLE, top DOUBLE, bottom DOUBLE)[]) AS acc FROM g
+  UNION ALL SELECT user_id, day, l, n, k + 1, CASE WHEN p IS NULL OR p = 0 THEN list_append(acc, l[k]) ELSE list_transform(acc, lambda c, i: CASE WHEN i = p THEN struct_pack(x0 := least(c.x0, l[k].x0), x1 := greatest(c.x1, l[k].x1), top := least(c.top, l[k].top), bottom := greatest(c.bottom, l[k].bottom)) ELSE c END) END FROM (
     SELECT *, list_position(list_transform(acc, lambda c: l[k].x0 < c.x1 + 5 AND l[k].x1 > c.x0 - 5 AND abs(l[k].top - c.bottom) < 30), true) AS p FROM w WHERE k <= n)) SELECT * FROM w WHERE k = n + 1)
-SELECT user_id, CAST(i - 1 AS INTEGER) AS cluster_idx, acc[i].x0 AS x0, acc[i].x1 AS x1, acc[i].top AS top, acc[i].bottom AS bottom FROM (SELECT user_id, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
+SELECT user_id, day, CAST(i - 1 AS INTEGER) AS cluster_idx, acc[i].x0 AS x0, acc[i].x1 AS x1, acc[i].top AS top, acc[i].bottom AS bottom FROM (SELECT user_id, day, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
 def box_cluster(spark, folder):
-    r = _events(spark, folder).select("user_id", F.col("event_id").cast("int").alias("seq"), F.col("value").cast("double").alias("x0"), (F.col("value") + 5).cast("double").alias("x1"), (F.col("minute") % 200).cast("double").alias("top"), (F.col("minute") % 200 + 4).cast("double").alias("bottom"))
-    return folds.clusters(r, ["user_id"])
+    r = _events(spark, folder).select("user_id", "day", F.col("event_id").cast("int").alias("seq"), F.col("value").cast("double").alias("x0"), (F.col("value") + 5).cast("double").alias("x1"), (F.col("minute") % 200).cast("double").alias("top"), (F.col("minute") % 200 + 4).cast("double").alias("bottom"))
+    return folds.clusters(r, ["user_id", "day"])
 
 
-@query(f"""WITH s AS (SELECT user_id, event_type, list(struct_pack(q := event_id, d := day, s := minute, e := minute + 120) ORDER BY event_id) AS c FROM {E} GROUP BY 1, 2),
-g AS (SELECT user_id, list(c ORDER BY event_type) AS l, count(*) AS n FROM s GROUP BY 1),
-w AS (WITH RECURSIVE w AS (SELECT user_id, l, n, 1 AS k, CAST([] AS STRUCT(q BIGINT, d VARCHAR, s INTEGER, e INTEGER)[]) AS acc FROM g
-  UNION ALL SELECT user_id, l, n, k + 1, list_append(acc, list_filter(l[k], lambda x: x.q = b.q)[1]) FROM (
+@query(f"""WITH s AS (SELECT user_id, substr(day, 1, 7) AS month, event_type, list(struct_pack(q := event_id, d := day, s := minute, e := minute + 120) ORDER BY event_id) AS c FROM {E} GROUP BY 1, 2, 3),
+g AS (SELECT user_id, month, list(c ORDER BY event_type) AS l, count(*) AS n FROM s GROUP BY 1, 2),
+w AS (WITH RECURSIVE w AS (SELECT user_id, month, l, n, 1 AS k, CAST([] AS STRUCT(q BIGINT, d VARCHAR, s INTEGER, e INTEGER)[]) AS acc FROM g
+  UNION ALL SELECT user_id, month, l, n, k + 1, list_append(acc, list_filter(l[k], lambda x: x.q = b.q)[1]) FROM (
     SELECT *, list_min(list_transform(l[k], lambda x: struct_pack(o := len(list_filter(acc, lambda p: p.d = x.d AND p.s < x.e AND x.s < p.e)), q := x.q))) AS b FROM w WHERE k <= n)) SELECT * FROM w WHERE k = n + 1)
-SELECT user_id, CAST(i - 1 AS INTEGER) AS seq, CAST(acc[i].q AS VARCHAR) AS "key" FROM (SELECT user_id, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
+SELECT user_id, month, CAST(i - 1 AS INTEGER) AS seq, CAST(acc[i].q AS VARCHAR) AS "key" FROM (SELECT user_id, month, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
 def auto_place(spark, folder):
-    e = _events(spark, folder)
+    e = _events(spark, folder).withColumn("month", F.substring("day", 1, 7))
     streams = F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("key"), "day", F.col("minute").alias("start"), (F.col("minute") + 120).alias("end"))))
-    by_type = e.groupBy("user_id", "event_type").agg(streams.alias("streams"))
-    plans = by_type.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "streams"))).alias("g"))
+    by_type = e.groupBy("user_id", "month", "event_type").agg(streams.alias("streams"))
+    plans = by_type.groupBy("user_id", "month").agg(F.sort_array(F.collect_list(F.struct("event_type", "streams"))).alias("g"))
     numbered = F.transform(F.col("g"), lambda g, i: F.struct(i.alias("seq"), g["streams"].alias("streams")))
-    return plans.select("user_id", F.explode(folds.auto_place(numbered)).alias("p")).select("user_id", "p.seq", "p.key")
+    return plans.select("user_id", "month", F.explode(folds.auto_place(numbered)).alias("p")).select("user_id", "month", "p.seq", "p.key")

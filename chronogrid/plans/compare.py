@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import greedy_match
-from ..operators.records import DIFF_FIELDS, field_diff, match_rate, nest_differences
+from ..operators.records import DIFF_FIELDS, field_diff, match_rate, nest_differences, without
 
 
 def indexed(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -32,7 +32,7 @@ def run(rule: DataFrame, llm: DataFrame, key: str = "pdf", most: int = 90, times
     full = pairs.join(r, [key, "rule_idx"]).join(l, [key, "llm_idx"])
     diff = nest_differences(field_diff(full, [key, "rule_idx", "llm_idx"], times_as_minutes=times_as_minutes), [key, "rule_idx", "llm_idx"])
     disagreements = full.join(diff, [key, "rule_idx", "llm_idx"]).select(key, F.col("rule.day").alias("day"), F.col("rule.start_time").alias("rule_start"), F.col("llm.start_time").alias("llm_start"), F.col("gap").alias("time_diff_min"), F.col("rule.course").alias("rule_course"), "differences")
-    only = lambda df, idx: df.join(pairs.select(key, F.col(idx).alias("idx")), [key, "idx"], "left_anti")
+    only = lambda df, idx: without(df, pairs.withColumn("idx", F.col(idx)), [key, "idx"])
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
     lasting = lambda df, name: df.where("duration_minutes > 0").groupBy(key).agg(F.sum("duration_minutes").alias(f"{name}_minutes"), F.count("*").alias(f"{name}_lasting"))
     per_file = rule.select(key).unionAll(llm.select(key)).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, times
@@ -35,13 +35,14 @@ def streams(courses: DataFrame) -> DataFrame:
     return first_wins(out, ["course_id", "stream_id"], ["seq"])
 
 
-def place(streams: DataFrame, plan: list[str] | None = None) -> DataFrame:
-    """One stream per course and type, with the fewest overlaps so far, for each plan (all streams are one plan if none is named).
+def place(streams: DataFrame, plan: list[str]) -> DataFrame:
+    """One stream per course and type, with the fewest overlaps so far, for each plan.
 
     A plan is a sequential fold, so its streams are gathered in one row; plans are
-    spread over tasks.
+    spread over tasks. So the columns that name a plan must be given.
     """
-    plan = plan or []
+    if not plan:
+        raise ValueError("name the columns of a plan")
     rank = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
     s = F.struct("seq", F.concat_ws("|", "course_id", "type", "stream_id").alias("key"), "day", times.minutes_ui(F.col("start_time")).alias("start"), times.minutes_ui(F.col("end_time")).alias("end"))
     groups = streams.withColumn("rank", rank).groupBy(*plan, "course_id", "course_seq", "rank").agg(F.sort_array(F.collect_list(s)).alias("streams"))
@@ -74,12 +75,41 @@ def find_conflicts(events: DataFrame, plan: list[str] | None = None) -> DataFram
     return conflicts(e, [*(plan or []), "day"], "_s", "_e", "seq", "course_id")
 
 
-def placements_at(log: DataFrame, upto: int | None = None) -> DataFrame:
-    """Placements after a log of events (seq, action move or remove, course_id, stream_type, selected_stream_id); upto is where undo has gone back to."""
+def placements_at(log: DataFrame, upto: int | None = None, plan: list[str] | None = None) -> DataFrame:
+    """Placements after a log of edits (seq, action move or remove, course_id, stream_type, selected_stream_id) up to a point; see edits_in_force for undo and redo."""
     if upto is not None:
         log = log.where(F.col("seq") <= upto)
-    last = log.withColumn("_n", F.row_number().over(Window.partitionBy("course_id", "stream_type").orderBy(F.desc("seq")))).where("_n = 1")
-    return last.where("action = 'move'").select("course_id", "stream_type", "selected_stream_id")
+    keys = [*(plan or []), "course_id", "stream_type"]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct("action", "selected_stream_id"), "seq").alias("e"))
+    return last.where("e.action = 'move'").select(*keys, "e.selected_stream_id")
+
+
+def edits_in_force(log: DataFrame, plan: list[str], most: int = 50) -> DataFrame:
+    """The moves and removals of each plan's log that undo and redo have left in force, in order.
+
+    log: plan, seq, action (move, remove, undo, redo) and what the edits name. An
+    edit ends what could be redone; the last ``most`` edits can be undone; undo or
+    redo with nothing to take does nothing. One plan's log is folded in one row.
+    """
+    state = "struct<done:array<long>,undone:array<long>,depth:int>"
+    make = lambda done, undone, depth: F.struct(done.alias("done"), undone.alias("undone"), depth.alias("depth"))
+
+    def step(acc: Column, e: Column) -> Column:
+        without_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+        last = lambda a: F.array(F.try_element_at(a, F.lit(-1)))
+        undo = make(without_last(acc["done"]), F.concat(acc["undone"], last(acc["done"])), acc["depth"] - 1)
+        redo = make(F.concat(acc["done"], last(acc["undone"])), without_last(acc["undone"]), acc["depth"] + 1)
+        edit = make(F.concat(acc["done"], F.array(e["seq"])), F.array().cast("array<long>"), F.least(acc["depth"] + 1, F.lit(most)))
+        return (
+            F.when(e["action"] == "undo", F.when(acc["depth"] > 0, undo).otherwise(acc))
+            .when(e["action"] == "redo", F.when(F.size(acc["undone"]) > 0, redo).otherwise(acc))
+            .otherwise(edit)
+        )
+
+    start = make(F.array().cast("array<long>"), F.array().cast("array<long>"), F.lit(0)).cast(state)
+    events = F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "action")))
+    done = log.groupBy(*plan).agg(F.aggregate(events, start, step)["done"].alias("done")).select(*plan, F.explode("done").alias("seq"))
+    return done.join(log.withColumn("seq", F.col("seq").cast("long")), [*plan, "seq"])
 
 
 def undo_points(log: DataFrame, most: int = 50) -> DataFrame:

@@ -17,7 +17,7 @@ REGIONS = "struct<header_top:double,header_bottom:double,table_top:double,table_
 COLUMN = "struct<left:double,right:double>"
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 CONFIG = f"struct<page_regions:{REGIONS},day_columns:struct<{','.join(f'{d}:{COLUMN}' for d in DAYS)}>,time_slot_map:array<struct<label:string,top:double,bottom:double>>,text_patterns:struct<module_code_regex:string,room_pattern:string,staff_pattern:string,activity_types:array<string>>,confidence:double,layout_signature:string>"
-CONFIG_DOCUMENT = f"config_id string, course_id string, course_code string, version int, status string, generated_by string, llm_session_id string, config {CONFIG}, rejection_reason string"
+CONFIG_DOCUMENT = f"config_id string, course_id string, course_code string, version int, status string, generated_by string, llm_session_id string, config {CONFIG}, rejection_reason string, created_at timestamp"
 SESSION_EVENT = "session_id string, seq long, course_code string, status string, phase string, phase_state string, config_id string, confidence double, report string, anomalies array<string>, at timestamp"
 LLM_EXTRACTION = "struct<course_code:string,course_name:string,semester:string,entries:array<struct<day:string,start_time:string,end_time:string,room:string,activity_type:string,staff:string>>,layout_notes:string,confidence:double>"
 STREAM = "course_id string, stream_id string, type string, type_key string, day string, start_time string, end_time string, room string, staff string, group_label string, weeks string, week_count int"

@@ -32,7 +32,9 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFra
 def decode(docs: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(words, rects, pages, errors): a document that fails is an error row, with the pages before it kept.
 
-    Documents are decoded where they lie, one at a time.
+    Documents are decoded where they lie, one at a time, and once: what the decoder
+    gives is kept in the session's checkpoint folder, if it has one, and all four
+    are read from there. Without one each of the four decodes again.
     """
 
     def rows(file: str, content: bytes) -> Iterator[tuple]:
@@ -54,5 +56,7 @@ def decode(docs: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame, Dat
                 yield out.astype({"page": "Int32", "seq": "Int32", "fill": "boolean", **{c: "float64" for c in ("x0", "x1", "top", "bottom", "width", "height")}})
 
     every = docs.select("file", "content").mapInPandas(run, _DECODED)
+    if docs.sparkSession.sparkContext.getCheckpointDir():
+        every = every.checkpoint()
     pick = lambda kind, schema: every.where(F.col("kind") == kind).select(*(c.split()[0] for c in schema.split(", ")))
     return pick("word", WORDS), pick("rect", RECTS), pick("page", PAGES), pick("error", SCAN_ERRORS)

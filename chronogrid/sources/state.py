@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import CONFIG_DOCUMENT, PLACEMENT, SESSION_EVENT
@@ -11,11 +12,12 @@ TABLES = {"course_configs": CONFIG_DOCUMENT, "session_events": SESSION_EVENT, "p
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table, empty if nothing has been stored."""
-    path = f"{folder}/{name}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    try:
+        return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], TABLES[name])
-    return spark.read.schema(TABLES[name]).parquet(path)
 
 
 def append(df: DataFrame, folder: str, name: str) -> None:

@@ -46,6 +46,13 @@ def test_parse_block(spark, block, want):
     assert (p.type, p.weeks, p.week_count, p.course, p.staff, p.room, p.group_label) == want
 
 
+def test_fields_over_several_lines(spark):
+    t = "Lab, S2W7-\nS2W12 SUMW1-SUMW2 [=6]\nCourse: COMP\n2603\nStaff: A,\nB\nRoom: FST\nCSL1\nW"
+    p = one(spark, t, text.parse_block)
+    assert (p.weeks, p.course, p.staff, p.room, p.raw_text) == ("S2W7-S2W12", "COMP 2603", "A, B", "FST CSL1", t)
+    assert one(spark, "SUMW1-SUMW2", text.weeks) is None and one(spark, "SUM W1-SUM W2", text.weeks) == "SUM W1-SUM W2"
+
+
 def test_listed_types_come_in_list_order(spark):
     assert one(spark, "Lab and Lecture (C+)", lambda c: text.activity_type(c, F.array(F.lit("Studio"), F.lit("Lab"), F.lit("Lecture")))) == "Lab"
     assert one(spark, "Lab and Lecture", lambda c: text.activity_type(c, F.array().cast("array<string>"))) == "Lecture"

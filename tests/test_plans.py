@@ -26,7 +26,7 @@ def test_extract(spark):
     r = extract.results(words.repartition(3), rects, pages).collect()
     assert len(r) == 1 and r[0].semester == "Semester_1" and r[0].course_title == "Course timetable COMP"
     got = [(e.day, e.start_time, e.end_time, e.type, e.weeks, e.week_count, e.course, e.room) for e in r[0].entries]
-    assert got == [("Monday", "08:00AM", "09:00AM", "Lecture", "S1W1-S1W12", 12, "COMP 1600", "FST"), ("Wednesday", "09:00AM", "10:00AM", "Lab", None, None, "COMP 1601", None)]
+    assert got == [("Monday", "08:00 AM", "09:00 AM", "Lecture", "S1W1-S1W12", 12, "COMP 1600", "FST"), ("Wednesday", "09:00 AM", "10:00 AM", "Lab", None, None, "COMP 1601", None)]
 
 
 def test_audit_and_reports(spark, tmp_path):
@@ -71,12 +71,12 @@ def test_week(spark):
     kind = "array<struct<type:string,day:string,start_time:string,end_time:string,group_label:string,room:string,staff:string,weeks:string,week_count:int>>"
     courses = week.courses(spark.createDataFrame(rows, f"seq int, course_title string, source_file string, entries {kind}"))
     assert sorted(r.course_id for r in courses.collect()) == ["BPDF", "COMP-1"]
-    streams = week.streams(courses)
-    placed = week.place(streams)
+    streams = week.streams(courses).withColumn("plan", F.lit("p"))
+    placed = week.place(streams, ["plan"])
     assert [r.selected_stream_id for r in placed.orderBy("seq").collect()] == ["Lecture-Mon-0800 AM-1000 AM", "Lab-Tue-0900 AM-1100 AM", "Lecture-Mon-0900 AM-1000 AM"]
-    events = week.placed_events(placed, streams)
+    events = week.placed_events(placed, streams, ["plan"])
     assert week.find_conflicts(events).count() == 1
-    assert week.placement_details(placed, streams, "COMP-1", "Lab").first().start_time == "09:00"
+    assert week.placement_details(placed.drop("plan"), streams, "COMP-1", "Lab").first().start_time == "09:00"
     log = spark.createDataFrame([(1, "move", "A", "Lab", "x"), (2, "move", "A", "Lab", "y"), (3, "remove", "A", "Lab", None)], "seq int, action string, course_id string, stream_type string, selected_stream_id string")
     assert week.placements_at(log).count() == 0 and week.placements_at(log, 2).first().selected_stream_id == "y"
 
