@@ -17,7 +17,9 @@ for each vector, how many it links with and an edge of the local components.
 Cases: vectors that are null, empty, zero or hold null or non-finite parts link
 with nothing and are their own component; vectors of different dimensions never
 link; a null id has a null component and is not kept; repeated rows each get
-their row; an empty table gives an empty result; other columns are not read.
+their row; rows with one id and different vectors each have their own count of
+links and one component; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -215,10 +217,11 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """vec_id, n_links, component_id and kept of every row."""
     s = settings or Settings()
     rows = stored(canonical(df, id_col, vector_col), "vectors")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    classes = stored(classes, "classes")
-    reps = rows.join(classes.where("id IS NOT NULL").select("key", F.col("id").alias("vec_id"), "n"), ["key", "vec_id"]).dropDuplicates(["key"]).select(F.col("vec_id").alias("id"), "n", "dim", "vec")
-    reps = stored(reps, "reps")
+    usable = rows.where("key IS NOT NULL")
+    classes = usable.groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))  # of equal keys the vectors are equal
+    reps = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = reps.select("key", "id", "rep", "n")
+    reps = reps.select("id", "n", "dim", "vec")
     cells = stored(assign(reps, s), "cells")
     heavy = cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > s.cell_rows)
     sized = cells.join(heavy.select("cell", F.ceil(F.col("size") / s.cell_rows).cast("int").alias("parts")), "cell", "left")
@@ -229,10 +232,14 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dealt = sized.withColumn("pair", F.explode(pairs)).select("cell", "table", "id", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "pair.side")
     dealt = dealt.join(reps, "id").select("cell", "i", "j", "side", "table", "id", "n", "dim", "vec")
     found = stored(grouped(dealt, ["cell", "i", "j"], [], lambda t: link_cell(t, s), "id long, links long, to long"), "links")
-    labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    several = usable.groupBy("vec_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most AND vec_id IS NOT NULL").select("vec_id")
+    of_several = usable.join(several, "vec_id").select("vec_id", "key").distinct().join(classes.select("key", "id"), "key")
+    same_id = of_several.join(of_several.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").select(F.col("id").alias("a"), "b")
+    labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).unionAll(same_id)).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "links", "component")
+    smallest = labels.join(classes, "id").groupBy("component").agg(F.min("rep").alias("smallest"))
+    per_class = classes.join(counts, "id", "left").join(labels.join(smallest, "component").select("id", "smallest"), "id", "left").select("key", "rep", "n", "links", "smallest")
     out = rows.select("vec_id", "key").join(per_class, "key", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "id", "vec_id"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("smallest", "rep", "vec_id"))
     out = out.select("vec_id", F.coalesce(F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
