@@ -8,12 +8,15 @@ a part through that is dropped and counted as broken.
 
 Cases: null, empty or foreign bytes give no packets and a probe of zeros; a
 stream without a known sample rate has null timestamps; repeated rows each get
-their rows; an empty table gives an empty result; other columns are not read.
+their rows, and so does each of several media with one id; a medium is held whole in
+a task, one at a time beside the Arrow batch it came in; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -95,15 +98,17 @@ def make_page(serial: int, sequence: int, flags: int, granule: int, lacing: byte
 
 
 def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[bytes]:
-    """Pages of one logical stream; each packet comes with its granule position."""
+    """Pages of one logical stream; each packet comes with its granule position. The first packet, a head, has the first page for itself."""
     segments = [(n, i, k == len(data) // 255) for i, (data, _) in enumerate(packets) for k, n in enumerate([255] * (len(data) // 255) + [len(data) % 255])]
     body = b"".join(data for data, _ in packets)
     out, at = [], 0
-    for first in range(0, len(segments), 255):
-        part = segments[first : first + 255]
-        ends = [i for _, i, end in part if end]
+    head = len(packets[0][0]) // 255 + 1 if packets else 0
+    bounds = [*range(0, head, 255), *range(head, len(segments), 255), len(segments)]
+    for first, end in itertools.pairwise(bounds):
+        part = segments[first:end]
+        ends = [i for _, i, last in part if last]
         flags = CONTINUED if first and not segments[first - 1][2] else 0
-        flags |= (FIRST if not first else 0) | (LAST if first + 255 >= len(segments) else 0)
+        flags |= (FIRST if not first else 0) | (LAST if end == len(segments) else 0)
         size = sum(n for n, _, _ in part)
         out.append(make_page(serial, len(out), flags, packets[ends[-1]][1] if ends else NO_GRANULE, bytes(n for n, _, _ in part), body[at : at + size]))
         at += size

@@ -7,8 +7,10 @@ digests of their own. Everything is a DataFrame expression: no Python runs on
 the executors, nothing is shuffled, and each record is made from its own row.
 
 Cases: a null page body is an empty payload; a null URL gives records without a
-target URI; repeated rows each get their records; an empty table gives an empty
-result; other columns are not read.
+target URI; a null id gives records with a null source_id; repeated rows each get
+their records, with equal ids; rows with one id and different pages have different
+record ids where their URLs differ; a very long page is one value in its row's task;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ DROPPED_FROM_SIGN = r"(?is)<(?:!--.*?-->|script[^>]*>.*?</script[^>]*>|style[^>]
 LINES_FROM_END = r"\n[ \n]+"
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r"(?i)<a[^>]* href=\"([^\"]*)\""
+LINK = r"(?i)<a[^>]* href=[\"']([^\"']*)[\"']"
 
 
 def plain_text(html: Column) -> Column:
@@ -84,8 +86,11 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def record_text(df: DataFrame) -> DataFrame:
-    """Derived records as they stand in a file, without the two line ends that close one: column record."""
-    lines = [F.lit("WARC/1.1"), *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))) for name, c in (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")))]
+    """Derived records as they stand in a file, without the two line ends that close one: column record.
+
+    The payload of a derived record is its block; the response's digests have headers of their own.
+    """
+    lines = [F.lit("WARC/1.1"), *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))) for name, c in (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "block_digest"), ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")))]
     return df.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), F.col("block")).alias("record"))
 
 
@@ -104,7 +109,7 @@ def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_records(spark, path: str) -> DataFrame:
-    """Records of WARC files: type, record id, refers-to, target URI, date and block; a file is the unit of work."""
+    """Records of WARC files: type, record id, refers-to, target URI, date and block; a file is the unit of work, and is held whole (files of up to 2 GB)."""
     import zlib
 
     names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type"}

@@ -1,5 +1,6 @@
 """Toxicity, WARC, Ogg and the pipeline."""
 
+import hashlib
 import random
 import zlib
 
@@ -91,6 +92,10 @@ def test_warc_against_sql(spark):
     assert text[1] == "Head\nOne two.\nlink"
 
 
+def test_warc_of_nothing(spark):
+    assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     got = warc.derive(warc.responses(spark.createDataFrame(PAGES, "page_id long, url string, html string")))
     warc.write_records(got, str(tmp_path / "w"))
@@ -108,6 +113,12 @@ def test_ogg_round_trip(spark):
             raw = (t or "").encode()
             padded = raw + b" " * (-len(raw) % 192 if raw else 192)
             assert (by[i].n_bytes, by[i].payload_bytes, by[i].tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-16:]))
+            stored = ogg.store_samples(padded)
+            assert (by[i].payload_sha256, by[i].media_bytes, by[i].media_sha256) == (hashlib.sha256(padded).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest())
+            heads = [p for p in ogg.parse_pages(stored) if p.flags & ogg.FIRST]
+            assert len(heads) == 2 and all(len(p.lacing) == 1 for p in heads)
+    assert len({tuple(r)[1:] for r in rows if r.doc_id in (1, 2)}) == 1  # equal texts, equal values
+    assert ogg.round_trip(cases.documents(spark, [])).count() == 0
     media = ogg.store_texts(cases.documents(spark))
     packets = ogg.read_packets(media.where("media_id = 9").limit(1), "media_id", "media")
     long = b"".join(r.data for r in packets.orderBy("packet").collect() if r.n_bytes and r.data[:4] != b"PCMR" and r.data[:5] != b"INDEX" and r.n_bytes != 12)
@@ -176,6 +187,19 @@ def test_pipeline(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
 
 
+def test_pipeline_of_nothing_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = cases.documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0, name
+    docs = cases.documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == cases.documents(spark).columns, name
+    assert {None, 1, 4, 5, 6, 7, 10, 13, 15} <= {r.doc_id for r in docs.collect()}
+
+
 def docs_columns(spark, folder):
     return common.table(spark, folder, "documents").columns
 

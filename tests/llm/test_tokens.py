@@ -104,6 +104,7 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 1024
+    assert sorted(r.doc_tokens for r in by_doc[None] if r.start == 0) == sorted(len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in rows if i is None)
     assert packing.pack(cases.documents(spark, [])).count() == 0
 
 
