@@ -91,13 +91,13 @@ def extract_totals(spark, folder):
 
 
 @query("""WITH l AS (SELECT *, 'm' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, unnest([0, 1, 2, 3]) AS i FROM part)
-SELECT file, page, CASE WHEN i = 0 AND p_partkey % 97 = 0 THEN 120.0 ELSE 100.0 + 100 * i END AS x_start, CASE WHEN i = 3 THEN 470.0 ELSE 200.0 + 100 * i END AS x_end, ['08:00 AM', '09:00 AM', '10:00 AM', '01:00 PM'][i + 1] AS label, i AS idx FROM l""")
+SELECT file, page, CASE WHEN i = 0 AND p_partkey % 97 = 0 THEN 120e0 ELSE 100e0 + 100 * i END AS x_start, CASE WHEN i = 3 THEN 470e0 ELSE 200e0 + 100 * i END AS x_end, ['08:00 AM', '09:00 AM', '10:00 AM', '01:00 PM'][i + 1] AS label, i AS idx FROM l""")
 def hour_slots(spark, folder):
     words, _, pages = _laid_out(spark, folder)
     return layout.slot_rows(words, layout.with_limits(_cast(pages, PAGES)))
 
 
-@query("""SELECT 'm' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, 0 AS cluster_idx, 100.0 + 100 * (p_size % 3) AS x0, 200.0 + 100 * (p_size % 3) AS x1, 152.0 + 150 * (p_partkey % 3) AS y_top, CAST(8 AS INTEGER) AS n_words, 130.0 + 150.0 + 150 * (p_partkey % 3) AS y_bottom FROM part""")
+@query("""SELECT 'm' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, 0 AS cluster_idx, 100e0 + 100 * (p_size % 3) AS x0, 200e0 + 100 * (p_size % 3) AS x1, 152e0 + 150 * (p_partkey % 3) AS y_top, CAST(8 AS INTEGER) AS n_words, 280e0 + 150 * (p_partkey % 3) AS y_bottom FROM part""")
 def page_blocks(spark, folder):
     words, rects, pages = _laid_out(spark, folder)
     limits = layout.with_limits(_cast(pages, PAGES))
@@ -106,7 +106,7 @@ def page_blocks(spark, folder):
     return held.join(boxes.select("file", "page", "cluster_idx", "y_bottom"), ["file", "page", "cluster_idx"])
 
 
-@query("""SELECT 'm' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, '08:00AM' AS label, 100.0 AS expected_x, 120.0 AS actual_x, 20.0 AS delta, 100.0 AS top FROM part WHERE p_partkey % 97 = 0""")
+@query("""SELECT 'm' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, '08:00AM' AS label, 100e0 AS expected_x, 120e0 AS actual_x, 20e0 AS delta, 100e0 AS top FROM part WHERE p_partkey % 97 = 0""")
 def header_discrepancies(spark, folder):
     words, _, pages = _laid_out(spark, folder)
     return audit.run(words, _cast(pages, PAGES))["discrepancies"]
@@ -119,7 +119,7 @@ def header_missing(spark, folder):
 
 
 @query("""SELECT p_partkey, arg_min(a.label, struct_pack(d := abs(p_size * 7.0 - a.x), i := a.i)) AS "start", arg_min(a.label, struct_pack(d := abs(p_size * 7.0 + 35 - a.x), i := a.i)) AS "end", arg_min(a.i, struct_pack(d := abs(p_size * 7.0 - a.x), i := a.i)) AS start_idx, arg_min(a.x + 60, struct_pack(d := abs(p_size * 7.0 + 35 - a.x), i := a.i)) AS end_limit
-FROM part, (SELECT CAST(i AS INTEGER) AS i, i * 60.0 AS x, 'S' || i AS label FROM range(6) t(i)) a GROUP BY 1""")
+FROM part, (SELECT CAST(i AS INTEGER) AS i, i * 60e0 AS x, 'S' || i AS label FROM range(6) t(i)) a GROUP BY 1""")
 def range_slots(spark, folder):
     slots = F.array(*(F.struct(F.lit(i * 60.0).alias("x_start"), F.lit(i * 60.0 + 60).alias("x_end"), F.lit(f"S{i}").alias("label"), F.lit(i).alias("idx")) for i in range(6))).cast(SLOTS)
     x = F.col("p_size") * 7.0
@@ -142,19 +142,19 @@ def _extractions(spark, folder) -> tuple[DataFrame, DataFrame]:
     return records.normalise(r, "rule"), records.normalise(l, "llm")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS pdf, i AS idx, day, start_time, end_time, s AS start_minutes, e AS end_minutes, e - s AS duration_minutes, room, 'Doe, J' AS staff, kind AS activity_type, 'C' AS course, NULL AS weeks, CAST(NULL AS INTEGER) AS week_count, NULL AS group_label FROM (
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS pdf, i AS idx, day, start_time, end_time, s AS start_minutes, e AS end_minutes, e - s AS duration_minutes, room, 'Doe, J' AS staff, kind AS activity_type, 'C' AS course, CAST(NULL AS VARCHAR) AS weeks, CAST(NULL AS INTEGER) AS week_count, CAST(NULL AS VARCHAR) AS group_label FROM (
 SELECT p_partkey, 0 AS i, 'Monday' AS day, '01:00 PM' AS start_time, '02:00 PM' AS end_time, 780 AS s, 840 AS e, p_brand AS room, 'Lecture' AS kind FROM part UNION ALL SELECT p_partkey, 1, 'Friday', '08:00 AM', '09:30 AM', 480, 570, p_brand, 'Lab' FROM part)""")
 def normalised_entries(spark, folder):
     return _extractions(spark, folder)[0]
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS pdf, 2 AS rule_count, 1 AS llm_count, CAST(p_partkey % 2 = 0 AS INTEGER) AS matched_count, CAST(p_partkey % 2 = 0 AS INTEGER) AS disagreement_count, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS only_rule_count, CAST(p_partkey % 2 AS INTEGER) AS only_llm_count, CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0.0 END AS match_rate FROM part""")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS pdf, 2 AS rule_count, 1 AS llm_count, CAST(p_partkey % 2 = 0 AS INTEGER) AS matched_count, CAST(p_partkey % 2 = 0 AS INTEGER) AS disagreement_count, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS only_rule_count, CAST(p_partkey % 2 AS INTEGER) AS only_llm_count, CASE WHEN p_partkey % 2 = 0 THEN 0.5e0 ELSE 0e0 END AS match_rate FROM part""")
 def compare_per_file(spark, folder):
     names = ("rule_count", "llm_count", "matched_count", "disagreement_count", "only_rule_count", "only_llm_count")
     return compare.run(*_extractions(spark, folder))["per_file"].select("pdf", *(F.col(n).cast("int").alias(n) for n in names), F.col("match_rate").cast("double").alias("match_rate"))
 
 
-@query("""SELECT 2 * count(*) AS rule_count, count(*) AS llm_count, CAST(count(*) FILTER (p_partkey % 2 = 0) AS BIGINT) AS matched_count, CAST(count(*) FILTER (p_partkey % 2 = 0) AS BIGINT) AS disagreement_count, 2 * count(*) - count(*) FILTER (p_partkey % 2 = 0) AS only_rule_count, count(*) FILTER (p_partkey % 2 = 1) AS only_llm_count, 75.0 AS rule_mean_duration,
+@query("""SELECT 2 * count(*) AS rule_count, count(*) AS llm_count, CAST(count(*) FILTER (p_partkey % 2 = 0) AS BIGINT) AS matched_count, CAST(count(*) FILTER (p_partkey % 2 = 0) AS BIGINT) AS disagreement_count, 2 * count(*) - count(*) FILTER (p_partkey % 2 = 0) AS only_rule_count, count(*) FILTER (p_partkey % 2 = 1) AS only_llm_count, 75e0 AS rule_mean_duration,
 round(CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN 180 ELSE 60 END) AS DOUBLE) / count(*), 6) AS llm_mean_duration FROM part""")
 def compare_overall(spark, folder):
     return compare.run(*_extractions(spark, folder))["overall"].withColumn("llm_mean_duration", F.round(F.col("llm_mean_duration").cast("double"), 6)).withColumn("rule_mean_duration", F.col("rule_mean_duration").cast("double"))
@@ -212,7 +212,7 @@ def derived_slots(spark, folder):
 
 
 @query(f"""SELECT CAST(p_partkey AS VARCHAR) AS config_id, upper(p_brand) AS course_code, 1 AS version, 'draft' AS status, 2 AS n_days, 'monday, tuesday' AS days, 2 AS n_slots, {_H} || ':00 AM - ' || {_H} || ':30 AM' AS first_slot, '02:00 PM - 03:00 PM' AS last_slot, first_slot || ', 02:00 PM - 03:00 PM' AS slots_shown, 0 AS slots_more,
-CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.0 END AS confidence, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence_class FROM part""")
+CASE WHEN p_partkey % 2 = 0 THEN 0.9e0 ELSE 0e0 END AS confidence, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence_class FROM part""")
 def configuration_summary(spark, folder):
     made = _generated(spark, folder).join(load(spark, folder, "part").select("p_partkey", "p_brand"), "p_partkey")
     return configs.summary(configs.config_documents(made, F.col("p_partkey").cast("string"), F.col("p_brand")).withColumn("version", F.lit(1)))
@@ -253,7 +253,7 @@ def _cast_documents(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS config_id, 'c' || o_custkey AS course_code, 'active' AS status, 'llm' AS generated_by, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 ELSE 1 END AS INTEGER) AS version, 0.0 AS confidence, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 7""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS config_id, 'c' || o_custkey AS course_code, 'active' AS status, 'llm' AS generated_by, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 ELSE 1 END AS INTEGER) AS version, 0e0 AS confidence, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 7""")
 def configuration_list(spark, folder):
     return records.config_summaries(records.configs(_documents(spark, folder), "active", "C7"))
 
@@ -290,7 +290,7 @@ def recent_sessions(spark, folder):
 
 def _results(spark, folder) -> DataFrame:
     """A result for each item: two streams of one type, the second of a group, and a repeat of the first."""
-    e = lambda kind, day, start, end, label, weeks: F.struct(*(F.lit(v).alias(n) for n, v in (("type", kind), ("day", day), ("start_time", start), ("end_time", end), ("group_label", label), ("room", ""), ("staff", None), ("weeks", weeks), ("week_count", 0))))
+    e = lambda kind, day, start, end, label, weeks: F.struct(*((F.lit(v) if n == "week_count" else F.lit(v).cast("string")).alias(n) for n, v in (("type", kind), ("day", day), ("start_time", start), ("end_time", end), ("group_label", label), ("room", ""), ("staff", None), ("weeks", weeks), ("week_count", 0))))
     entries = F.array(e("lec", "Monday", "08:00 AM", "10:00 AM", None, "S1"), e("lab", "Tuesday", "1:00 PM", "", "L1", ""), e("lecture", "Monday", "08:00 AM", "10:00 AM", "", "S2"))
     return load(spark, folder, "part").select(F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).otherwise("").alias("course_title"), F.concat(F.col("p_brand"), F.lit(".pdf")).alias("source_file"), entries.alias("entries"))
 
@@ -303,7 +303,7 @@ def week_courses(spark, folder):
     return week.courses(_results(spark, folder)).drop("entries")
 
 
-@query(f"""SELECT course_id, p_partkey AS course_seq, 0 AS seq, 'Lecture-Monday-0800 AM-1000 AM' AS stream_id, 'Lecture' AS type, 'Lecture' AS type_key, 'Monday' AS day, '08:00' AS start_time, '10:00' AS end_time, NULL AS room, NULL AS staff, NULL AS group_label, 'S1' AS weeks, CAST(NULL AS INTEGER) AS week_count FROM {_C}
+@query(f"""SELECT course_id, p_partkey AS course_seq, 0 AS seq, 'Lecture-Monday-0800 AM-1000 AM' AS stream_id, 'Lecture' AS type, 'Lecture' AS type_key, 'Monday' AS day, '08:00' AS start_time, '10:00' AS end_time, CAST(NULL AS VARCHAR) AS room, CAST(NULL AS VARCHAR) AS staff, CAST(NULL AS VARCHAR) AS group_label, 'S1' AS weeks, CAST(NULL AS INTEGER) AS week_count FROM {_C}
 UNION ALL SELECT course_id, p_partkey, 1, 'Lab-Tuesday-100 PM--L1', 'Lab', 'Lab-L1', 'Tuesday', '13:00', '00:00', NULL, NULL, 'L1', NULL, NULL FROM {_C}""")
 def week_streams(spark, folder):
     return week.streams(week.courses(_results(spark, folder)))
