@@ -127,3 +127,41 @@ def test_derived_configuration(spark):
     assert c.confidence == 0.0 and c.page_regions.footer_bottom == 0.92
     s = configs.summary(spark.createDataFrame([("1", "A", 1, "draft")], "config_id string, course_code string, version int, status string").crossJoin(configs.generate(df, "x", "l").select("config"))).first()
     assert (s.n_days, s.first_slot, s.confidence_class) == (2, "08:00 AM - 09:00 AM", "low")
+
+
+def test_nearest_within_keeps_every_row(spark):
+    left = spark.createDataFrame([("a", 10, {"x": 1}), ("a", 10, {"x": 1}), ("b", 5, None), (None, 1, None), ("a", None, None), ("a", 99, None)], "k string, t int, m map<string,int>").repartition(3)
+    right = spark.createDataFrame([("a", 12, 7), ("a", 8, 3), ("a", 14, 1), ("b", 50, 2), (None, 1, 9)], "k string, t int, id int")
+    got = sorted(((r.k, r.t, r.id, r.distance) for r in nearest.nearest_within(left, right, ["k"], "t", "t", 5, "id").collect()), key=str)
+    assert got == sorted([("a", 10, 3, 2), ("a", 10, 3, 2), ("b", 5, None, None), (None, 1, None, None), ("a", None, None, None), ("a", 99, None, None)], key=str)
+    points = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "at double, label string")
+    rows = nearest.nearest_in_table(spark.createDataFrame([(1.5,), (1.5,), (9.0,), (None,)], "v double"), "v", points, "at", "label", 1.0).collect()
+    assert sorted(((r.v, r.nearest_label, r.nearest_distance) for r in rows), key=str) == sorted([(1.5, "x", 0.5), (1.5, "x", 0.5), (9.0, None, None), (None, None, None)], key=str)
+
+
+@pytest.mark.parametrize("offset, default_first, bucket", [(0, False, None), (7, True, None), (0, False, 10), (7, True, 10), (-5, True, 1000)])
+def test_asof_against_loop(spark, offset, default_first, bucket):
+    rng = random.Random(23)
+    left = [(rng.choice("abc") if rng.random() < 0.9 else None, rng.randrange(100), i) for i in range(120)]
+    right = [(rng.choice("ab"), t, 1000 + t) for t in rng.sample(range(10, 100), 40)] + [(None, 50, 5000)]
+    got = {r.i: r.v for r in nearest.asof(spark.createDataFrame(left, "k string, t int, i int").repartition(4), spark.createDataFrame(right, "k string, t int, v int"), ["k"], "t", "t", "v", offset, default_first, bucket).collect()}
+    for k, t, i in left:
+        mine = sorted((u, v) for kk, u, v in right if kk == k)
+        before = [v for u, v in mine if u <= t + offset]
+        assert got[i] == (before[-1] if before else mine[0][1] if mine and default_first else None)
+    assert len(got) == len(left)
+
+
+def test_medians_against_sorting(spark):
+    import statistics
+
+    rng = random.Random(24)
+    rows = [(label, float(v)) for label, n in (("a", 1), ("b", 2), ("c", 5), ("d", 4000), ("e", 4001), (None, 6)) for v in (rng.choice((rng.randrange(10), rng.gauss(0, 1e6))) for _ in range(n))] + [("a", None), ("none", None)]
+    got = {r.l: r.expected for r in audit.expected_positions(spark.createDataFrame(rows, "l string, v double").repartition(7), "l", "v").collect()}
+    assert got == {x: statistics.median(v for label, v in rows if label == x and v is not None) for x in ("a", "b", "c", "d", "e", None)}
+
+
+def test_supersede_ties_and_missing_keys(spark):
+    df = spark.createDataFrame([("a", 1, "active"), ("a", 2, "draft"), ("a", 2, "active"), (None, 1, "active")], "k string, v int, s string")
+    got = sorted((tuple(r) for r in records.supersede(df, "k", ["v"], "s", "active", "superseded").collect()), key=str)
+    assert got == sorted([("a", 1, "superseded"), ("a", 2, "active"), ("a", 2, "active"), (None, 1, "active")], key=str)

@@ -146,3 +146,33 @@ def test_json_sink_and_stream(spark, tmp_path):
     q = landing.each_batch(stream, str(tmp_path / "cp"), lambda b, _: got.extend(b.collect()))
     q.awaitTermination()
     assert [(r.n, r.least, r.greatest) for r in got] == [(2, 1.0, 3.0)]
+
+
+def test_undo_and_redo(spark):
+    actions = "move move undo redo undo undo undo redo move redo remove".split()
+    log = spark.createDataFrame([("p", i, a) for i, a in enumerate(actions)] + [("q", 0, "undo"), ("r", 0, "move")] + [("s", i, "move") for i in range(60)] + [("s", 60 + i, "undo") for i in range(70)], "plan string, seq int, action string")
+    got = {}
+    for r in week.edits_in_force(log, ["plan"]).collect():
+        got.setdefault(r.plan, set()).add(r.seq)
+    assert got == {"p": {0, 8, 10}, "r": {0}, "s": set(range(10))}
+
+
+def test_sessions_of_a_course(spark):
+    import datetime as dt
+
+    rows = [(f"s{i}", 1, f"C{i % 2}", "completed", None, None, None, 0.5, None, None, dt.datetime(2024, 1, 1 + i)) for i in range(6)]
+    from chronogrid.schemas import SESSION_EVENT
+
+    log = spark.createDataFrame(rows, SESSION_EVENT)
+    assert [r.session_id for r in calibrate.recent_sessions(log, "C1", 2).collect()] == ["s5", "s3"]
+    assert calibrate.recent_sessions(log, "c1").count() == 0 and calibrate.recent_sessions(log).count() == 6
+
+
+def test_configuration_limits_need_both_edges(spark):
+    from chronogrid.operators import layout
+    from chronogrid.schemas import CONFIG
+
+    config = "named_struct('page_regions', null, 'day_columns', named_struct('monday', named_struct('left', 0.05D, 'right', null), 'tuesday', named_struct('left', 0.2D, 'right', 0.4D), 'wednesday', null, 'thursday', null, 'friday', null, 'saturday', null, 'sunday', null), 'time_slot_map', array(named_struct('label', 'a', 'top', 0.1D, 'bottom', null), named_struct('label', 'b', 'top', 0.3D, 'bottom', 0.2D)), 'text_patterns', null, 'confidence', 0D, 'layout_signature', '')"
+    pages = spark.sql(f"SELECT 'f' AS file, 1 AS page, 1000D AS width, 100D AS height, CAST({config} AS {CONFIG}) AS c")
+    r = layout.with_limits(pages, "c").first()
+    assert (r.slot_low, r.slot_high, r.rect_left, r.word_right, r.day_max) == (20.0, 30.0, 200.0, 400.0, 45.0)
