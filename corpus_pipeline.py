@@ -5,7 +5,8 @@ return the columns of documents, and each works on all that the one before kept.
 No stage fails on nulls, empty texts, ties, repeated rows or an empty table:
 
 - toxicity keeps rows with a null text (scored as empty) or a null id;
-- near-duplicates keeps rows with a null id and, of repeated rows, one;
+- near-duplicates keeps rows with a null id and, of repeated rows, one; rows with one id and
+  different texts are one document, which stays or goes with all its texts;
 - repeated passages are cut from the text; a document that loses all its text stays, empty;
   rows that share an id, or have none, take the least value of each other column among them;
 - packing takes a null text as empty.
@@ -32,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
     bounded_batches(spark)
-    kept = minhash.near_duplicates(docs, settings=minhash.Settings(words=5)).where("kept").select("doc_id").distinct()
+    groups = minhash.near_duplicates(docs, settings=minhash.Settings(words=5))
+    kept = groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least = doc_id").select("doc_id")
     one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one_each.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
