@@ -4,6 +4,7 @@ import random
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronogrid.llm import components, fuzzy_passages, lattice, minhash, suffix_dedup
@@ -208,6 +209,27 @@ def test_families_of_edited_passages(spark):
     assert joined(found) == joined(want)
 
 
+@pytest.mark.parametrize("n, share, least", [(40, 0.1, 1.0), (40, 0.15, 0.95), (60, 0.15, 1.0), (40, 0.2, 0.75), (120, 0.2, 0.97)])
+def test_recall_of_pairs(n, share, least):
+    """Two documents with one passage, words of it replaced at random, by the operator's own steps without Spark."""
+    rng = random.Random(20)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    s = fuzzy_passages.Settings()
+    true = found = 0
+    for _ in range(60):
+        p = [word() for _ in range(n)]
+        edits = set(rng.sample(range(n), int(n * share)))
+        texts = [" ".join([*(word() for _ in range(25)), *q, *(word() for _ in range(30))]) for q in (p, [word() if j in edits else w for j, w in enumerate(p)])]
+        if not brute_pairs(list(enumerate(texts))):
+            continue
+        true += 1
+        docs = pa.table({"doc_id": pa.array([1, 2]), "key": pa.array([1, 2]), "text": pa.array([t.encode() for t in texts], pa.binary()), "block": pa.array([0, 0], pa.int64())})
+        matches = fuzzy_passages.match(fuzzy_passages.send_seeds(docs, pa.table({"part": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())}), 1, s), 1, s)
+        chained = fuzzy_passages.make_chains(docs, matches, s) if matches.num_rows else None
+        found += bool(chained and fuzzy_passages.passages_of(docs, chained, s).num_rows)
+    assert found >= least * true > 20
+
+
 def test_passages_at_the_threshold(spark):
     """Every fifth or sixth word replaced, or words replaced at random, held against every diagonal of each pair."""
     rng = random.Random(15)
