@@ -272,6 +272,16 @@ def test_stretches_against_brute_force():
         assert {k for i, j in got for k in range(i, j + 1)} == want
 
 
+def test_covering_holds_all_words():
+    rng = random.Random(25)
+    for _ in range(500):
+        found = [(a, a + n, b, b + n, n) for a, b, n in ((rng.randrange(60), rng.randrange(60), rng.randint(1, 25)) for _ in range(rng.randint(1, 12)))]
+        for low in (0, 2):
+            words = lambda g: {k for p in g for k in range(p[low], p[low + 1])}  # noqa: B023, E731
+            assert words(fuzzy_passages.covering(found)) == words(found)
+    assert len(fuzzy_passages.covering([(401 + 2 * k, 504 + 2 * k, 275, 378, 103) for k in range(60)])) <= 4
+
+
 def test_chains_against_quadratic_search():
     rng = random.Random(10)
     for _ in range(60):
