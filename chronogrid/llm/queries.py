@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, fuzzy_passages, lattice, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_replay, fuzzy_passages, lattice, merkle, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -56,9 +56,14 @@ def op10_ogg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op10_ogg_round_trip": op10_ogg_round_trip,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op1_token_counts": op1_token_counts,
     "op3_lattice_links": op3_lattice_links,
     "op4_packing": op4_packing,
@@ -71,4 +76,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_warc_derivatives": warc.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
