@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, fuzzy_passages, lattice, merkle, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_replay, fuzzy_passages, lattice, lexical, merkle, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -56,6 +56,10 @@ def op10_ogg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op10_ogg_round_trip": op10_ogg_round_trip,
+    "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op1_token_counts": op1_token_counts,
     "op3_lattice_links": op3_lattice_links,
@@ -76,5 +81,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_warc_derivatives": warc.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
 }
