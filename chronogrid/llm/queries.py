@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, fuzzy_passages, lattice, lexical, merkle, minhash, ogg, packing, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_replay, fuzzy_passages, lattice, lexical, merkle, minhash, ogg, packing, page_text, suffix_dedup, token_counts, toxicity, warc
 from .common import bounded_batches, table
 
 
@@ -64,11 +64,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op10_ogg_round_trip": op10_ogg_round_trip,
     "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_page_text": op13_page_text,
     "op1_token_counts": op1_token_counts,
     "op3_lattice_links": op3_lattice_links,
     "op4_packing": op4_packing,
