@@ -5,13 +5,13 @@ Only terms of the items have posting lists; every document counts in the statist
 1. Heads: the ``k`` highest postings of every list (each task keeps ``k`` a list before the
    exchange) give items partial scores of documents. The k-th of an item is a lower bound of its
    k-th score.
-2. Thresholds: that bound over the item's number of lists is one threshold for all its lists.
-   A document below it in every list scores less than the bound. What lies above the lowest
-   threshold of a list is fetched, cut by document into blocks, so that a list of a third of
-   all documents is many parts, and the parts of one block lie together, each in descending
-   order. A block adds up each item's lists down to its threshold and names the documents
-   whose sum, with what the unfetched rest of each list can add, reaches the bound and the
-   block's own k-th sum.
+2. Thresholds: that bound over the item's number of lists (and over ``fineness``, so that what
+   is not fetched adds little to a sum) is one threshold for all its lists. A document below it
+   in every list scores less than the bound. What lies above the lowest threshold of a list is
+   fetched, cut by document into blocks, so that a list of a third of all documents is many
+   parts, and the parts of one block lie together. A block adds up each item's lists and names
+   the documents whose sum, with what the unfetched rest of each list can add, reaches the
+   bound and the block's own k-th sum.
 3. Candidates whose upper bound reaches the k-th sum of all blocks get their exact scores
    from the postings by (document, term).
 
@@ -46,13 +46,15 @@ FOUND = "item long, row long, doc_id long, lower long, upper long"
 class Settings:
     """k: rows an item; block_postings: postings of a block, some 32 bytes each in a task; broadcast_bytes:
     up to this size the items' terms go to every task, beyond it they are joined by exchange;
-    entries: (item, term) pairs that a pass over the lists takes along, in which items are dealt out.
+    entries: (item, term) pairs that a pass over the lists takes along, in which items are dealt out;
+    fineness: 1 fetches least and looks up most candidates.
     """
 
     k: int = 10
     block_postings: int = 1 << 20
     broadcast_bytes: int = 8 << 20
     entries: int = 1 << 19
+    fineness: int = 16
 
 
 def terms(text: Column) -> Column:
@@ -85,12 +87,12 @@ def _bounds(best: DataFrame, value: str, k: int) -> DataFrame:
     return best.groupBy("item").agg(F.min(value).alias("bound"), F.count("*").alias("got")).where(F.col("got") == k).select("item", "bound")
 
 
-def block_scorer(asked: list[tuple[int, int, int, int, int]], bounds: dict[int, int], k: int) -> Callable[[pa.Table], pa.Table]:
-    """Function of a block's postings (tid, impact descending) that names the candidates of each item.
+def block_scorer(asked: list[tuple[int, int, int, int]], bounds: dict[int, int], k: int) -> Callable[[pa.Table], pa.Table]:
+    """Function of a block's postings, by tid, that names the candidates of each item.
 
-    asked: (item, tid, mult, need, cap): impacts from need up are fetched, below it mult * impact is cap at most.
+    asked: (item, tid, mult, cap): for postings that are not fetched, mult * impact is cap at most.
     """
-    of_item: dict[int, list[tuple[int, int, int, int]]] = {}
+    of_item: dict[int, list[tuple[int, int, int]]] = {}
     for item, *entry in asked:
         of_item.setdefault(item, []).append(tuple(entry))
 
@@ -102,14 +104,13 @@ def block_scorer(asked: list[tuple[int, int, int, int, int]], bounds: dict[int,
         out: list[list[np.ndarray]] = []
         for item, entries in of_item.items():
             lower, seen_cap = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for term, mult, need, cap in entries:
+            for term, mult, cap in entries:
                 if term in span:
                     a, b = span[term]
-                    b = a + int(np.searchsorted(-impact[a:b], -need, side="right"))
                     at = place[a:b]  # a document is in a list once
                     lower[at] += mult * impact[a:b]
                     seen_cap[at] += cap
-            upper = lower + (sum(e[3] for e in entries) - seen_cap)
+            upper = lower + (sum(e[2] for e in entries) - seen_cap)
             least = bounds.get(item, 0)
             if len(rows) >= k:
                 least = max(least, int(np.partition(lower, len(rows) - k)[len(rows) - k]))
@@ -150,13 +151,13 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     # thresholds: a document under them in all of an item's lists scores lists * (threshold - 1) at most, less than the bound
     per_item = asked.groupBy("item").agg(F.count("*").alias("lists"))
-    threshold = F.expr("greatest(1, (coalesce(bound, 0) + lists - 1) div lists)")
+    threshold = F.expr(f"greatest(1, (coalesce(bound, 0) + lists * {settings.fineness} - 1) div (lists * {settings.fineness}))")
     tops = heads.where("rank = 1").select("tid", F.col("impact").alias("top"))
-    need = F.expr("(threshold + mult - 1) div mult")
-    cap = F.expr("least(threshold - 1, mult * top)")
     limits = per_item.join(bounds, "item", "left").select("item", "bound", threshold.alias("threshold"))
-    entries = stored(asked.join(limits, "item").join(hint(tops), "tid").select("item", "item_id", "tid", "mult", need.alias("need"), cap.alias("cap"), "bound"), "lexical-entries")
-    lowest = entries.groupBy("tid").agg(F.min("need").alias("least"))
+    limited = stored(asked.join(limits, "item").join(hint(tops), "tid"), "lexical-limits")
+    lowest = limited.groupBy("tid").agg(F.min(F.expr("(threshold + mult - 1) div mult")).alias("least"))
+    cap = F.expr("mult * least(least - 1, top)")
+    entries = stored(limited.join(hint(lowest), "tid").select("item", "item_id", "tid", "mult", cap.alias("cap"), "bound"), "lexical-entries")
     sizes = (found.count(), entries.count())
     blocks = max(-(-sizes[0] // settings.block_postings), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fetched = postings.join(hint(lowest), "tid").where("impact >= least").select("row", "doc_id", "tid", "impact", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
@@ -164,8 +165,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     passes = max(1, -(-sizes[1] // settings.entries))
     candidates: DataFrame | None = None
     for i in range(passes):  # one, unless the items' terms outgrow what a task takes along
-        rows = entries.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == i).select("item", "tid", "mult", "need", "cap", "bound").collect()
-        named_by = grouped(fetched, ["block"], ["tid", F.desc("impact")], block_scorer([tuple(r)[:5] for r in rows], {r.item: r.bound for r in rows if r.bound is not None}, k), FOUND) if rows else None
+        rows = entries.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == i).select("item", "tid", "mult", "cap", "bound").collect()
+        named_by = grouped(fetched, ["block"], ["tid"], block_scorer([tuple(r)[:4] for r in rows], {r.item: r.bound for r in rows if r.bound is not None}, k), FOUND) if rows else None
         if named_by is not None:
             candidates = named_by if candidates is None else candidates.unionAll(named_by)
     if candidates is None:
