@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
-from dataclasses import dataclass, field
 
 import xxhash
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
+#: A comment, a section of plain characters, a declaration, an element whose content is no markup, or a tag.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
+    r"|<((?i:script|style|textarea|title|iframe|noembed|noframes))(?=[\s/>])([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>?.*?(?:</(?i:\2)(?=[\s/>]|\Z)[^>]*+>?|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>?",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*+(?:=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]*+)))?")
+#: What of a tag tells whether its text counts, or tells its path from others.
+TELLING = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+P, KEEPS_P = frozenset(["p"]), frozenset("button table td th".split())
 #: An element that ends an open one of these kinds, unless one of the second kinds lies between.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
@@ -29,14 +37,13 @@ READERS = frozenset("comment comments disqus recommended related replies respond
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-@dataclass
 class Block:
     """Text between two block tags, references decoded; ``article``: within article or main; ``kept``: outside all that is never article text."""
 
-    path: int
-    article: bool
-    kept: bool
-    pieces: list[str] = field(default_factory=list)
+    __slots__ = ("article", "kept", "path", "pieces")
+
+    def __init__(self, path: int, article: bool, kept: bool):
+        self.path, self.article, self.kept, self.pieces = path, article, kept, []
 
     @property
     def words(self) -> list[str]:
@@ -45,10 +52,10 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("article", "headings_only", "name", "path", "skip")
+    __slots__ = ("article", "heading", "headings_only", "inline", "name", "path", "skip")
 
-    def __init__(self, name: str, path: int, skip: int, article: bool, headings_only: bool):
-        self.name, self.path, self.skip, self.article, self.headings_only = name, path, skip, article, headings_only
+    def __init__(self, name: str, path: int, skip: int, article: bool, headings_only: bool, heading: bool, inline: bool):
+        self.name, self.path, self.skip, self.article, self.headings_only, self.heading, self.inline = name, path, skip, article, headings_only, heading, inline
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -68,6 +75,22 @@ def _skipped(name: str, attributes: dict[str, str], in_article: bool) -> int:
     return 1 if name == "header" and not in_article else 0
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _opened(name: str, text: str, path: int, skip: int, article: bool, headings_only: bool, heading: bool) -> _Open:
+    """The element that a tag opens under one with the other values."""
+    attributes = _attributes(text)
+    inline = name in INLINE
+    if not inline:
+        path = xxhash.xxh3_64_intdigest(f"{path} {name} {attributes.get('class', '')} {attributes.get('id', '')}")
+    own = _skipped(name, attributes, article)
+    headings_only = headings_only or (name == "header" and article)
+    if name in ("article", "main") and own < 2 and skip < 2:
+        own, article = 0, True
+    else:
+        own = max(own, skip)
+    return _Open(name, path, own, article, headings_only, heading or name in HEADINGS, inline)
+
+
 def blocks(page: str) -> tuple[list[Block], list[int]]:
     """Blocks in page order, and the path numbers of all tags that open an element of their own line.
 
@@ -75,40 +98,51 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     """
     found: list[Block] = []
     tags: list[int] = []
-    stack = [_Open("", 0, 0, False, False)]
+    top = _Open("", 0, 0, False, False, False, False)
+    stack = [top]
     block: Block | None = None
-    at, end = 0, len(page)
+    at = 0
 
     def add(text: str, decode: bool = True) -> None:
         nonlocal block
-        top = stack[-1]
-        keep = not top.skip
+        keep = not top.skip and (top.heading or not top.headings_only)
         if block is None or block.kept != keep:
-            heading = not top.headings_only or any(o.name in HEADINGS for o in stack)
-            block = Block(top.path, top.article, keep and heading)
+            if text.isspace():
+                return
+            block = Block(top.path, top.article, keep)
             found.append(block)
         block.pieces.append(html.unescape(text) if decode and "&" in text else text)
 
     def close(k: int) -> None:
-        nonlocal block
-        if any(o.name not in INLINE for o in stack[k:]):
+        nonlocal block, top
+        if not all(o.inline for o in stack[k:]):
             block = None
         del stack[k:]
+        top = stack[-1]
 
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
+    def close_last(names: frozenset[str], outer: frozenset[str]) -> bool:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in outer:
+                return False
+            if stack[k].name in names:
+                close(k)
+                return True
+        return False
+
+    for m in TAG.finditer(page):
+        plain, raw, raw_text, end, name, text = m.groups()
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"), decode=False)
+        if name is None:
+            if plain is not None:
+                add(plain, decode=False)
+            elif raw is not None:
+                block = None
+                tags.append(_opened(raw.lower(), raw_text if TELLING.search(raw_text) else "", top.path, top.skip, top.article, top.headings_only, top.heading).path)
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     close(k)
@@ -122,39 +156,18 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                 block.pieces.append(" ")
             continue
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close(k)
-                    break
-                if stack[k].name in ("button", "table", "td", "th"):
-                    break
+            close_last(P, KEEPS_P)
         if name in ENDS:
             ends, outer = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in outer:
-                    break
-                if stack[k].name in ends:
-                    close(k)
-                    if name != "tr" or len(stack) == k and stack[-1].name != "tr":
-                        break
-        top = stack[-1]
-        inline = name in INLINE
-        attributes = _attributes(m[3])
-        path = top.path
-        if not inline:
+            while close_last(ends, outer) and name == "tr":
+                pass
+        opened = _opened(name, text if text and TELLING.search(text) else "", top.path, top.skip, top.article, top.headings_only, top.heading)
+        if not opened.inline:
             block = None
-            path = xxhash.xxh3_64_intdigest(f"{top.path} {name} {attributes.get('class', '')} {attributes.get('id', '')}")
-            tags.append(path)
-        if name in VOID or m[0].endswith("/>") and name not in RAW and name in ("svg", "path"):
-            continue
-        skip = _skipped(name, attributes, top.article)
-        article = top.article
-        if name in ("article", "main") and skip < 2 and top.skip < 2:
-            skip, article = 0, True
-        else:
-            skip = max(skip, top.skip)
-        stack.append(_Open(name, path, skip, article, top.headings_only or (name == "header" and top.article)))
-        if name in RAW:
-            closing = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = closing.start() if closing else end
+            tags.append(opened.path)
+        if name not in VOID:
+            stack.append(opened)
+            top = opened
+    if at < len(page):
+        add(page[at:])
     return found, tags

@@ -1,20 +1,21 @@
 """Main text of web pages by deducing the template of each host from equivalence classes of tokens.
 
 1. A page's tokens are its tags and the words of its text, each told apart by the block
-   elements around it (names, classes and ids), so that one word in a menu and in the
-   article are two tokens.
+   elements around it (names, classes and ids), so that one word in a menu and in a heading
+   are two tokens. In an article, of which nothing less than a block is ever left out, the
+   text of a block is one token.
 2. Tokens of one host with the same occurrence vector over its pages are one class. Vectors are
-   never gathered: a token has the number of its pages and two sums of hashes of (page, count),
+   never gathered: a token has the number of its pages and a sum of hashes of (page, count),
    which combine before the exchange, so a host with a third of all pages is not one task's.
    Only tokens of most pages of a host are kept after that.
-3. A class is valid if its tokens come in the same order in every page, and lie in the same
-   gap of the class around them, the one that every page has; again by aggregates of hashes
-   of what each page shows. Valid classes, nested in that order, are the template.
+3. The order of a class is that of its tokens' summed positions. In a page a class is valid if
+   its tokens come in that order, once or as often as the class repeats, and all in one gap of
+   the class that every page has once. Valid classes, nested in those gaps, are the template.
 4. What lies in the gaps is the slots. A slot's text is kept if it belongs to the article: not
    in menus, headers, footers, asides, forms, notices, adverts, scripts or reader comments, and
    in an ``article`` or ``main`` element if the page has one with text. Without one, words of
-   the template are left out, and what remains in slots is the text. In an article, a block is
-   left out only if all its words, two or more, are in the template of every page of the host.
+   the template are left out, and what remains in slots is the text. In an article, a block
+   of two words or more is left out if it is in the template, once on every page of the host.
 
 A host needs ``least_pages`` pages of different content for a template, as copies of one page
 have everything in common; else, and without a host in the url, only the elements count.
@@ -33,14 +34,15 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, stored
 from .page_blocks import Block, blocks
 
 HASHED = (1 << 63) - 1
-HALF = (1 << 28) - 1
+#: Hashes of (page, count) are of 30 bits, so that the sum over eight thousand million pages fits a long.
+MIXED = (1 << 30) - 1
 #: Token of the page itself, which every page of a host has once; the page's content is a token below it.
 PAGE = 0
 
@@ -57,19 +59,16 @@ class Settings:
     salts: int = 32
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 16)
 def token(path: int, word: str = "") -> int:
     """Number of a tag, or of a word under it; never that of the page."""
     return xxhash.xxh3_64_intdigest(f"{path} {word}") & HASHED | 1
 
 
-def token_counts(found: list[Block], tags: list[int]) -> Counter[int]:
-    """How often each token of a page is in it."""
-    out = Counter(map(token, tags))
-    for b in found:
-        for word, n in Counter(b.words).items():
-            out[token(b.path, word)] += n
-    return out
+def text_tokens(b: Block) -> list[int]:
+    """Tokens of a block's text, in order."""
+    words = b.words
+    return [token(b.path, " ".join(words))] if b.article and words else [token(b.path, w) for w in words]
 
 
 def _sited(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -79,60 +78,51 @@ def _sited(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """site, token, page (hash of id and content), count, for each token of a page, the page and its content."""
+    """site, token, page (hash of id and content), count, place (of the first one), for each token of a page, the page and its content."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sites, found, keys, counts = [], [], [], []
+        sites, found, keys, counts, places = [], [], [], [], []
         for i, site, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "site", "html"))):
             content = xxhash.xxh3_64_intdigest(page) & HASHED
-            held = token_counts(*blocks(page))
-            sites += [site] * (len(held) + 2)
-            keys += [xxhash.xxh3_64_intdigest(f"{i} {content}") & HASHED] * (len(held) + 2)
+            order = page_tokens(*blocks(page))
+            held = Counter(order)
+            n = len(held) + 2
+            sites += [site] * n
+            keys += [xxhash.xxh3_64_intdigest(f"{i} {content}") & HASHED] * n
             found += [PAGE, -content - 1, *held]
             counts += [1, 1, *held.values()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (sites, found, keys, counts)], names=["site", "token", "page", "count"])
+            first = dict(zip(reversed(order), range(len(order) - 1, -1, -1)))
+            places += [0, 0, *(first[t] for t in held)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (sites, found, keys, counts, places)], names=["site", "token", "page", "count", "place"])
 
-    return per_batch(pages.where("site IS NOT NULL AND html <> ''"), run, "site long, token long, page long, count long")
+    return per_batch(pages.where("site IS NOT NULL AND html <> ''"), run, "site long, token long, page long, count long, place long")
 
 
 def classes(pages: DataFrame, settings: Settings) -> DataFrame:
-    """site, token, class, everywhere: tokens of most pages of a host, by occurrence vector; everywhere: once on every page."""
+    """site, token, class, rank, everywhere: tokens of most pages of a host, by occurrence vector, in order; everywhere: once on every page."""
     seen = _occurrences(pages)
-    mixed = F.xxhash64("page", "count")
-    by_token = seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum(mixed.bitwiseAND(HALF)).alias("low"), F.sum(F.shiftrightunsigned(mixed, 28).bitwiseAND(HALF)).alias("high"), F.max("count").alias("most"))
+    mixed = F.xxhash64("page", "count").bitwiseAND(MIXED)
+    by_token = seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum(mixed).alias("mix"), F.max("count").alias("most"), F.sum("place").alias("places"))
     kept = stored(by_token.where((F.col("pages") >= settings.least_pages) | (F.col("token") < PAGE)), "page-tokens")
     hosts = kept.where(F.col("token") <= PAGE).groupBy("site").agg(F.max(F.when(F.col("token") == PAGE, F.col("pages"))).alias("all_pages"), F.count(F.when(F.col("token") < PAGE, 1)).alias("contents"))
     most = kept.where(F.col("token") > PAGE).join(hosts.where(F.col("contents") >= settings.least_pages), "site").where(F.col("pages") >= settings.share * F.col("all_pages"))
-    return most.select("site", "token", F.xxhash64("pages", "low", "high").alias("class"), ((F.col("pages") == F.col("all_pages")) & (F.col("most") == 1)).alias("everywhere"))
+    in_class = Window.partitionBy("site", "class").orderBy("places", "token")  # as many rows as a template has tokens
+    return most.withColumn("class", F.xxhash64("pages", "mix")).select("site", "token", "class", (F.row_number().over(in_class) - 1).alias("rank"), ((F.col("pages") == F.col("all_pages")) & (F.col("most") == 1)).alias("everywhere"))
 
 
 def _with_templates(pages: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """Pages with the template tokens of their host: arrays token, class, everywhere (null without a template)."""
-    one = members.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("token", "class", "everywhere"))).alias("t"))
-    per_site = one.select("site", *(F.col(f"t.{c}").alias(f"t_{c}") for c in ("token", "class", "everywhere")))
-    if members.count() * 24 <= settings.broadcast_bytes:
+    """Pages with t, the template tokens of their host (null without a template)."""
+    per_site = members.groupBy("site").agg(F.collect_list(F.struct("token", "class", "rank", "everywhere")).alias("t"))
+    per_site = per_site.select("site", *(F.col(f"t.{c}").alias(f"t_{c}") for c in ("token", "class", "rank", "everywhere")))
+    if members.count() * 32 <= settings.broadcast_bytes:
         return pages.join(F.broadcast(per_site), "site", "left")
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(settings.salts)))
     spread = per_site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1)).cast("array<long>")))
     return salted.join(spread, ["site", "salt"], "left").drop("salt")
 
 
-def shown(found: list[int], template: dict[int, tuple[int, bool]]) -> dict[int, tuple[int, int]]:
-    """class -> (hash of the order of its tokens, hash of where in the surrounding class they lie), as one page shows it."""
-    order: dict[int, list[int]] = {}
-    gaps: dict[int, set[int]] = {}
-    gap = 0  # tokens so far of what every page has once
-    for x in found:
-        if x in template:
-            group, everywhere = template[x]
-            order.setdefault(group, []).append(x)
-            gaps.setdefault(group, set()).add(gap)
-            gap += everywhere
-    return {g: (xxhash.xxh3_64_intdigest(str(seen)) & HASHED, xxhash.xxh3_64_intdigest(str(sorted(gaps[g]))) & HASHED) for g, seen in order.items()}
-
-
-def _page_order(found: list[Block], tags: list[int]) -> list[int]:
-    """Tokens of a page, each tag at the first block under it."""
+def page_tokens(found: list[Block], tags: list[int]) -> list[int]:
+    """Tokens of a page in order, each tag before the first block under it."""
     out: list[int] = []
     left = iter(tags)
     opened: set[int] = set()
@@ -140,24 +130,24 @@ def _page_order(found: list[Block], tags: list[int]) -> list[int]:
         while b.path not in opened and (tag := next(left, None)) is not None:
             opened.add(tag)
             out.append(token(tag))
-        out += [token(b.path, w) for w in b.words]
+        out += text_tokens(b)
     return out + [token(t) for t in left]
 
 
-def valid(pages: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """The members of classes that show one order and one place in all pages."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[tuple[int, int, int, int]] = []
-        for site, page, t, g, e in zip(*(batch.column(c).to_pylist() for c in ("site", "html", "t_token", "t_class", "t_everywhere"))):
-            if t:
-                seen = shown(_page_order(*blocks(page)), dict(zip(t, zip(g, e))))
-                out += [(site, group, a, b) for group, (a, b) in seen.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["site", "class", "order", "place"]) if out else None
-
-    each = per_batch(_with_templates(pages.where("html <> ''"), members, settings).where("t_token IS NOT NULL"), run, "site long, class long, order long, place long")
-    same = each.groupBy("site", "class").agg(*(f(c).alias(f"{n}_{c}") for c in ("order", "place") for n, f in (("least", F.min), ("most", F.max))))
-    return members.join(same.where("least_order = most_order AND least_place = most_place").select("site", "class"), ["site", "class"])
+def valid_here(order: list[int], members: dict[int, tuple[int, int, bool]]) -> dict[int, bool]:
+    """token -> everywhere, of the classes that are valid in a page; members: token -> (class, rank, everywhere)."""
+    ranks: dict[int, list[int]] = {}
+    gaps: dict[int, set[int]] = {}
+    size = Counter(group for group, _, _ in members.values())
+    gap = 0  # tokens so far of what every page has once
+    for t in order:
+        if t in members:
+            group, rank, everywhere = members[t]
+            ranks.setdefault(group, []).append(rank)
+            gaps.setdefault(group, set()).add(0 if everywhere else gap)
+            gap += everywhere
+    valid = {g for g, seen in ranks.items() if len(gaps[g]) == 1 and all(r == k % size[g] for k, r in enumerate(seen)) and len(seen) % size[g] == 0}
+    return {t: everywhere for t, (group, _, everywhere) in members.items() if group in valid}
 
 
 def main_text(found: list[Block], template: dict[int, bool]) -> str:
@@ -169,7 +159,7 @@ def main_text(found: list[Block], template: dict[int, bool]) -> str:
         if not template:
             out += words
         elif inside:
-            if not (len(words) > 1 and all(template.get(token(b.path, w), False) for w in words)):
+            if not (len(words) > 1 and template.get(token(b.path, " ".join(words)), False)):
                 out += words
         else:
             out += [w for w in words if token(b.path, w) not in template]
@@ -180,12 +170,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every page."""
     sited = _sited(pages, id_col, url_col, html_col)
     members = stored(classes(sited, settings), "page-classes")
-    template = stored(valid(sited, members, settings), "page-templates")
     kinds = {f.name: f.dataType.simpleString() for f in sited.schema.fields}
 
+    def text_of(page: str, t: list | None, group: list | None, rank: list | None, everywhere: list | None) -> str:
+        found, tags = blocks(page)
+        return main_text(found, valid_here(page_tokens(found, tags), dict(zip(t, zip(group, rank, everywhere)))) if t else {})
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(blocks(page)[0], dict(zip(t or (), e or ()))) for page, t, e in zip(*(batch.column(c).to_pylist() for c in ("html", "t_token", "t_everywhere")))]
+        texts = [text_of(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("html", "t_token", "t_class", "t_rank", "t_everywhere")))]
         text = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text, pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return per_batch(_with_templates(sited, template, settings), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return per_batch(_with_templates(sited, members, settings), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

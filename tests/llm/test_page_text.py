@@ -1,7 +1,7 @@
 """Page extraction: classes against vectors that are gathered, texts against what the pages were made of."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from chronogrid.llm import page_text
@@ -84,7 +84,7 @@ def test_classes_are_those_of_gathered_vectors(spark, rows):
     hosts = defaultdict(list)
     for k, r in enumerate(sited.where("site IS NOT NULL AND html <> ''").collect()):
         hosts[r.site].append(r.html)
-        for t, n in page_text.token_counts(*blocks(r.html)).items():
+        for t, n in Counter(page_text.page_tokens(*blocks(r.html))).items():
             vectors[r.site, t][k] = n
     want = defaultdict(set)
     for (s, t), v in vectors.items():
@@ -95,11 +95,18 @@ def test_classes_are_those_of_gathered_vectors(spark, rows):
 
 
 def test_a_class_out_of_order_is_not_valid(spark):
-    rows = [(k, f"http://h.example/{k}", f"<article><p>text{k} one</p><p class=y>{'alpha beta' if k % 2 else 'beta alpha'}</p></article>", "") for k in range(8)]
-    sited = page_text._sited(pages(spark, rows), "page_id", "url", "html")
-    members = page_text.classes(sited, page_text.Settings()).cache()
-    assert members.count() > 3
-    assert page_text.valid(sited, members, page_text.Settings()).count() == 0
+    rows = [(k, f"http://h.example/{k}", f"<div><p>text{k} one</p><p class=y>{'beta alpha' if k == 3 else 'alpha beta'}</p></div>", "") for k in range(8)]
+    got = {r.page_id: r.text for r in page_text.extract(pages(spark, rows)).collect()}
+    assert got == {k: "text3 one beta alpha" if k == 3 else f"text{k}" for k in range(8)}
+
+
+def test_order_repeats_and_gaps():
+    members = {1: ("all", 0, True), 2: ("all", 1, True), 3: ("row", 0, False), 4: ("row", 1, False), 5: ("one", 0, False)}
+    keep = {1: True, 2: True}
+    assert page_text.valid_here([1, 3, 9, 4, 3, 4, 2], members) == keep | {3: False, 4: False}
+    assert page_text.valid_here([1, 3, 4, 3, 2], members) == keep
+    assert page_text.valid_here([1, 3, 2, 4], members) == keep
+    assert page_text.valid_here([2, 5, 1], members) == {5: False}
 
 
 def test_empty_table(spark):
