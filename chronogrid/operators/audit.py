@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import EXPECTED_LABELS
+from ..functions.numbers import exact_round
 
 TOLERANCE = 5.0
 LABEL = r"^\d{2}:\d{2}[AP]M"
@@ -13,7 +16,7 @@ LABEL = r"^\d{2}:\d{2}[AP]M"
 
 def header_words(words: DataFrame, low: float = 85, high: float = 120) -> DataFrame:
     """Hour labels in the header band, coordinates to two places."""
-    two = lambda c: F.round(F.col(c), 2).alias(c)
+    two = lambda c: exact_round(F.col(c), 2).alias(c)
     return words.where(F.col("top").between(low, high) & F.col("text").rlike(LABEL)).select("file", "page", F.col("text").alias("label"), two("x0"), two("x1"), two("top"), two("bottom"))
 
 
@@ -48,10 +51,10 @@ def outliers(values: DataFrame, label: str, value: str, tolerance: float = TOLER
     return met.withColumn("delta", F.abs(F.col(value) - F.col("expected"))).where(F.col("delta") > tolerance)
 
 
-def discrepancies(headers: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Header labels off their median, worst first within a label, labels descending."""
-    out = outliers(headers, "label", "x0", tolerance)
-    two = lambda c, n: F.round(c, 2).alias(n)
+def discrepancies(headers: DataFrame, tolerance: float = TOLERANCE, whole: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Header labels off the median of all, worst first within a label, labels descending; whole picks the rows that can be named."""
+    out = whole(outliers(headers, "label", "x0", tolerance))
+    two = lambda c, n: exact_round(c, 2).alias(n)
     return out.select("file", "page", "label", two(F.col("expected"), "expected_x"), F.col("x0").alias("actual_x"), two(F.col("delta"), "delta"), "top").orderBy(F.desc("label"), F.desc("delta"), "file", "page")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import weekday
+from ..functions.numbers import exact_round
 from ..functions.text import confidence_class
 from ..functions.times import bare_time, minutes
 from ..schemas import CONFIG, DAYS
@@ -14,6 +15,8 @@ from ..schemas import CONFIG, DAYS
 ROOM_PATTERN = r"[A-Z0-9]{2,5}\.\d{2}\.\d{2}[A-Z]?"
 STAFF_PATTERN = r"[A-Z][a-z]+,\s*[A-Z]\."
 CODE_PATTERN = r"[A-Z]{2,4}\d{4}"
+REGIONS = ("header_top", "header_bottom", "table_top", "table_bottom", "footer_bottom")
+PATTERNS = ("module_code_regex", "room_pattern", "staff_pattern", "activity_types")
 SLOT_MAP = "array<struct<label:string,top:double,bottom:double>>"
 
 
@@ -25,11 +28,16 @@ def default_patterns() -> Column:
     return F.struct(F.lit(CODE_PATTERN).alias("module_code_regex"), F.lit(ROOM_PATTERN).alias("room_pattern"), F.lit(STAFF_PATTERN).alias("staff_pattern"), F.array(*map(F.lit, ("Lecture", "Tutorial", "Lab", "Practical", "Workshop"))).alias("activity_types"))
 
 
+def with_defaults(section: Column, defaults: Column, names: tuple[str, ...]) -> Column:
+    """A section of a reply with the default of each field that it lacks; all defaults where there is no section."""
+    return F.struct(*(F.coalesce(section[n], defaults[n]).alias(n) for n in names))
+
+
 def derived_columns(entries: Column) -> Column:
     """Equal day columns in the order in which days are first met; an array of structs (day, left, right)."""
     days = F.array_distinct(F.filter(F.transform(entries, lambda e: weekday(e["day"])), lambda d: d.isNotNull()))
     n = F.size(days)
-    return F.transform(days, lambda d, i: F.struct(d.alias("day"), F.round(i / n, 4).alias("left"), F.round((i + 1) / n, 4).alias("right")))
+    return F.transform(days, lambda d, i: F.struct(d.alias("day"), exact_round(i / n, 4).alias("left"), exact_round((i + 1) / n, 4).alias("right")))
 
 
 def day_columns(columns: Column) -> Column:
@@ -63,15 +71,17 @@ def derived_slots(entries: Column, twelve_hours: bool = True) -> Column:
 def generate(df: DataFrame, extraction: str, layout: str, twelve_hours: bool = True) -> DataFrame:
     """df with config: each section of the layout reply where it is there, else derived from the entries or the default.
 
+    Regions and patterns take the default field by field, as a reply may have some of them only.
+
     extraction: struct with entries; layout: struct of the configuration's form, may be null.
     """
     entries, l = F.col(extraction)["entries"], F.col(layout)  # noqa: E741
     entries = F.coalesce(entries, F.array().cast("array<struct<day:string,start_time:string,end_time:string,room:string,activity_type:string,staff:string>>"))
     config = F.struct(
-        F.coalesce(l["page_regions"], default_regions()).alias("page_regions"),
+        with_defaults(l["page_regions"], default_regions(), REGIONS).alias("page_regions"),
         F.coalesce(l["day_columns"], day_columns(derived_columns(entries))).alias("day_columns"),
         F.coalesce(l["time_slot_map"], derived_slots(entries, twelve_hours)).alias("time_slot_map"),
-        F.coalesce(l["text_patterns"], default_patterns()).alias("text_patterns"),
+        with_defaults(l["text_patterns"], default_patterns(), PATTERNS).alias("text_patterns"),
         F.coalesce(l["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(l["layout_signature"], F.lit("")).alias("layout_signature"),
     )
     return df.withColumn("config", config.cast(CONFIG))
@@ -108,8 +118,7 @@ def compare_days(a: Column, b: Column) -> Column:
 
 def compare(a: Column, b: Column) -> Column:
     """Region differences (a - b), slot-count difference, day comparison and the sections that changed."""
-    regions = ("header_top", "header_bottom", "table_top", "table_bottom", "footer_bottom")
-    deltas = F.struct(*(F.round(a["page_regions"][r] - b["page_regions"][r], 4).alias(r) for r in regions))
+    deltas = F.struct(*(exact_round(a["page_regions"][r] - b["page_regions"][r], 4).alias(r) for r in REGIONS))
     sections = ("page_regions", "day_columns", "time_slot_map", "text_patterns")
     changed = F.array_compact(F.array(*(F.when(~a[s].eqNullSafe(b[s]), F.lit(s)) for s in sections)))
     return F.struct(deltas.alias("region_deltas"), (F.size(a["time_slot_map"]) - F.size(b["time_slot_map"])).alias("slot_delta"), compare_days(a, b).alias("days"), changed.alias("changed"))

@@ -80,3 +80,19 @@ def test_json_and_edges(spark):
     assert one(spark, "x" * 31, text.shortened) == "x" * 28 + ".."
     assert one(spark, None, text.or_none_mark) == "_None_"
     assert one(spark, "a, ,b", text.list_argument) == ["a", "b"]
+
+
+def test_exact_round_is_that_of_the_double(spark):
+    import math
+    import random
+
+    from chronogrid.functions.numbers import exact_round
+
+    rng = random.Random(1)
+    kinds = [lambda: rng.uniform(-1000, 1000), lambda: rng.randrange(10**6) / 1000 + 0.005, lambda: rng.randrange(-(10**7), 10**7) / 1000, lambda: rng.randrange(1000) / 8, lambda: rng.uniform(0, 1) * 10 ** rng.randint(-8, 15), lambda: rng.randrange(10**8) / 10**5]
+    values = [rng.choice(kinds)() for _ in range(60_000)] + [2.675, 1.005, 0.125, 0.375, -2.675, 0.0, 1e300, 5e-324, 4503599627370497.5, 1e13 + 0.005]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 4):
+        assert [r[0] for r in df.select(exact_round(F.col("x"), places)).collect()] == [round(v, places) for v in values]
+    odd = spark.createDataFrame([(None,), (math.inf,), (math.nan,)], "x double").select(exact_round(F.col("x"), 2).alias("x")).collect()
+    assert odd[0].x is None and odd[1].x == math.inf and math.isnan(odd[2].x)
