@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.folds import greedy_match
+from ..operators.folds import greedy_pairs
 from ..operators.records import DIFF_FIELDS, field_diff, match_rate, nest_differences, without
 
 
@@ -16,9 +16,9 @@ def indexed(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def match(rule: DataFrame, llm: DataFrame, key: str = "pdf", most: int = 90) -> DataFrame:
     """key, rule_idx, llm_idx, gap of entries matched one to one; both sides carry idx."""
-    side = lambda df, name: df.groupBy(key).agg(F.collect_list(F.struct("idx", "day", F.col("start_minutes").alias("start"))).alias(name))
-    both = side(rule, "r").join(side(llm, "l"), key)
-    return both.select(key, F.explode(greedy_match(F.col("r"), F.col("l"), most)).alias("m")).select(key, "m.*")
+    side = lambda df: df.select(key, "idx", "day", F.col("start_minutes").alias("start"))
+    pairs = greedy_pairs(side(rule), side(llm), [key], most)
+    return pairs.select(key, *(F.col(c).cast("int").alias(c) for c in ("rule_idx", "llm_idx")), "gap")
 
 
 def run(rule: DataFrame, llm: DataFrame, key: str = "pdf", most: int = 90, times_as_minutes: bool = False) -> dict[str, DataFrame]:

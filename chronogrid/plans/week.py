@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, times
-from ..operators.folds import auto_place
+from ..operators.folds import place_streams
 from ..operators.overlap import conflicts
 from ..operators.records import first_wins
+from . import history
 
 TYPE_ORDER = ("Lecture", "Lab", "Tutorial", "Seminar", "Workshop", "Other")
 
@@ -36,21 +37,18 @@ def streams(courses: DataFrame) -> DataFrame:
 
 
 def place(streams: DataFrame, plan: list[str]) -> DataFrame:
-    """One stream per course and type, with the fewest overlaps so far, for each plan.
+    """One stream per course and type, with the fewest overlaps so far, for each plan, in placing order (seq).
 
-    A plan is a sequential fold, so its streams are gathered in one row; plans are
-    spread over tasks. So the columns that name a plan must be given.
+    A plan is placed in one sequence; plans are spread over tasks. So the columns that name a
+    plan must be given. Types that are not known are placed before all others.
     """
     if not plan:
         raise ValueError("name the columns of a plan")
-    rank = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
-    s = F.struct("seq", F.concat_ws("|", "course_id", "type", "stream_id").alias("key"), "day", times.minutes_ui(F.col("start_time")).alias("start"), times.minutes_ui(F.col("end_time")).alias("end"))
-    groups = streams.withColumn("rank", rank).groupBy(*plan, "course_id", "course_seq", "rank").agg(F.sort_array(F.collect_list(s)).alias("streams"))
-    ordered = groups.groupBy(*plan).agg(F.sort_array(F.collect_list(F.struct("course_seq", "rank", "course_id", "streams"))).alias("g"))
-    numbered = F.transform(F.col("g"), lambda g, i: F.struct(i.alias("seq"), g["streams"].alias("streams")))
-    placed = ordered.select(*plan, F.explode(auto_place(numbered)).alias("p"))
-    part = lambda k: F.get(F.split("p.key", r"\|"), F.lit(k))
-    return placed.select(*plan, F.col("p.seq").alias("seq"), part(0).alias("course_id"), part(1).alias("stream_type"), part(2).alias("selected_stream_id"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type")), F.lit(0))
+    rows = streams.select(*plan, "course_seq", rank.alias("rank"), "course_id", F.col("type").alias("stream_type"), "seq", F.col("stream_id").alias("key"), "day", times.minutes_ui(F.col("start_time")).alias("start"), times.minutes_ui(F.col("end_time")).alias("end"))
+    placed = place_streams(rows, plan, ["course_seq", "rank", "course_id", "stream_type"])
+    in_plan = Window.partitionBy(*plan).orderBy("course_seq", "rank", "course_id", "stream_type")
+    return placed.select(*plan, (F.row_number().over(in_plan) - 1).alias("seq"), "course_id", "stream_type", F.col("key").alias("selected_stream_id"))
 
 
 def placed_events(placements: DataFrame, streams: DataFrame, plan: list[str] | None = None) -> DataFrame:
@@ -84,34 +82,14 @@ def placements_at(log: DataFrame, upto: int | None = None, plan: list[str] | Non
     return last.where("e.action = 'move'").select(*keys, "e.selected_stream_id")
 
 
-def edits_in_force(log: DataFrame, plan: list[str], most: int = 50) -> DataFrame:
-    """The moves and removals of each plan's log that undo and redo have left in force, in order.
+def edits_in_force(log: DataFrame, plan: list[str], most: int = 50, keys: tuple[str, ...] = ("course_id", "stream_type"), block_rows: int = 1000) -> DataFrame:
+    """The edits of each plan's log that undo and redo have left in force, in order; see plans.history.
 
-    log: plan, seq, action (move, remove, undo, redo) and what the edits name. An
-    edit ends what could be redone; the last ``most`` edits can be undone; undo or
-    redo with nothing to take does nothing. One plan's log is folded in one row.
+    The last ``most`` edits can be undone. A plan's log is replayed in blocks of ``block_rows``.
     """
-    state = "struct<done:array<long>,undone:array<long>,depth:int>"
-    make = lambda done, undone, depth: F.struct(done.alias("done"), undone.alias("undone"), depth.alias("depth"))
-
-    def step(acc: Column, e: Column) -> Column:
-        without_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-        last = lambda a: F.array(F.try_element_at(a, F.lit(-1)))
-        undo = make(without_last(acc["done"]), F.concat(acc["undone"], last(acc["done"])), acc["depth"] - 1)
-        redo = make(F.concat(acc["done"], last(acc["undone"])), without_last(acc["undone"]), acc["depth"] + 1)
-        edit = make(F.concat(acc["done"], F.array(e["seq"])), F.array().cast("array<long>"), F.least(acc["depth"] + 1, F.lit(most)))
-        return (
-            F.when(e["action"] == "undo", F.when(acc["depth"] > 0, undo).otherwise(acc))
-            .when(e["action"] == "redo", F.when(F.size(acc["undone"]) > 0, redo).otherwise(acc))
-            .otherwise(edit)
-        )
-
-    start = make(F.array().cast("array<long>"), F.array().cast("array<long>"), F.lit(0)).cast(state)
-    events = F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "action")))
-    done = log.groupBy(*plan).agg(F.aggregate(events, start, step)["done"].alias("done")).select(*plan, F.explode("done").alias("seq"))
-    return done.join(log.withColumn("seq", F.col("seq").cast("long")), [*plan, "seq"])
-
-
-def undo_points(log: DataFrame, most: int = 50) -> DataFrame:
-    """The events that can still be undone: the last fifty."""
-    return log.orderBy(F.desc("seq")).limit(most)
+    return history.in_force(history.replayed(log, plan, most, keys, block_rows), log, plan)
+
+
+def undo_points(log: DataFrame, plan: list[str], most: int = 50, keys: tuple[str, ...] = ("course_id", "stream_type"), block_rows: int = 1000) -> DataFrame:
+    """plan and seq of the edits that undo can still take back, the last one first (place 0)."""
+    return history.undoable(history.replayed(log, plan, most, keys, block_rows), plan)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +21,24 @@ def session(app: str = "chronogrid", master: str | None = None, **conf: str) ->
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only a session on one machine without that setting gets a temporary folder; on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once into the shared folder and read back, so that its lineage ends and a lost task reads the same rows again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
