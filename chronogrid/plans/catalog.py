@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, times
@@ -336,8 +336,8 @@ w AS (WITH RECURSIVE w AS (SELECT user_id, day, l, c, n, 1 AS k, CAST([] AS STRU
 SELECT user_id, m.rule_idx AS rule_idx, m.llm_idx AS llm_idx, m.gap AS gap FROM (SELECT user_id, unnest(acc) AS m FROM w)""")
 def greedy_match(spark, folder):
     e = _events(spark, folder)
-    side = lambda kind, name: e.where(F.col("event_type") == kind).groupBy("user_id", "day").agg(F.collect_list(F.struct(F.col("event_id").alias("idx"), "day", F.col("minute").alias("start"))).alias(name))
-    return side("click", "r").join(side("purchase", "l"), ["user_id", "day"]).select("user_id", F.explode(folds.greedy_match(F.col("r"), F.col("l"))).alias("m")).select("user_id", F.col("m.rule_idx").cast("long").alias("rule_idx"), F.col("m.llm_idx").cast("long").alias("llm_idx"), "m.gap")
+    side = lambda kind: e.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("idx"), "day", F.col("minute").alias("start"))
+    return folds.greedy_pairs(side("click"), side("purchase"), ["user_id"])
 
 
 @query(f"""WITH r AS (SELECT user_id, day, event_id, CAST(value AS DOUBLE) AS x0, CAST(minute % 200 AS DOUBLE) AS top FROM {E}),
@@ -358,9 +358,6 @@ w AS (WITH RECURSIVE w AS (SELECT user_id, month, l, n, 1 AS k, CAST([] AS STRUC
     SELECT *, list_min(list_transform(l[k], lambda x: struct_pack(o := len(list_filter(acc, lambda p: p.d = x.d AND p.s < x.e AND x.s < p.e)), q := x.q))) AS b FROM w WHERE k <= n)) SELECT * FROM w WHERE k = n + 1)
 SELECT user_id, month, CAST(i - 1 AS INTEGER) AS seq, CAST(acc[i].q AS VARCHAR) AS "key" FROM (SELECT user_id, month, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
 def auto_place(spark, folder):
-    e = _events(spark, folder).withColumn("month", F.substring("day", 1, 7))
-    streams = F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("key"), "day", F.col("minute").alias("start"), (F.col("minute") + 120).alias("end"))))
-    by_type = e.groupBy("user_id", "month", "event_type").agg(streams.alias("streams"))
-    plans = by_type.groupBy("user_id", "month").agg(F.sort_array(F.collect_list(F.struct("event_type", "streams"))).alias("g"))
-    numbered = F.transform(F.col("g"), lambda g, i: F.struct(i.alias("seq"), g["streams"].alias("streams")))
-    return plans.select("user_id", "month", F.explode(folds.auto_place(numbered)).alias("p")).select("user_id", "month", "p.seq", "p.key")
+    e = _events(spark, folder).select("user_id", F.substring("day", 1, 7).alias("month"), "event_type", F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("key"), "day", F.col("minute").alias("start"), (F.col("minute") + 120).alias("end"))
+    placed = folds.place_streams(e, ["user_id", "month"], ["event_type"])
+    return placed.select("user_id", "month", (F.row_number().over(Window.partitionBy("user_id", "month").orderBy("event_type")) - 1).alias("seq"), "key")

@@ -7,16 +7,16 @@ the SQL gives the expected records directly.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, times
+from ..functions.numbers import exact_round
 from ..operators import configs, layout, nearest, records
 from ..schemas import CONFIG, CONFIG_DOCUMENT, PAGES, RECTS, SESSION_EVENT, SLOTS, WORDS
-from ..session import load
+from ..session import load, shared_dir
 from ..sinks import files
 from ..sources import resources
 from . import audit, calibrate, compare, extract, week
@@ -118,6 +118,21 @@ def header_missing(spark, folder):
     return audit.run(words, _cast(pages, PAGES))["missing"].withColumn("missing", F.array_join("missing", "; "))
 
 
+_PAGE = "'m' || (p_partkey // 4) || '.pdf' AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, (p_partkey // 4) % 7 = 0 AS failed"
+
+
+@query(f"""WITH p AS (SELECT *, {_PAGE} FROM part), d AS (SELECT 'discrepancy' AS kind, file, page FROM p WHERE p_partkey % 97 = 0 AND NOT failed), m AS (SELECT 'missing' AS kind, file, page FROM p WHERE NOT failed), e AS (SELECT DISTINCT 'error' AS kind, file, CAST(NULL AS INTEGER) AS page FROM p WHERE failed),
+a AS (SELECT * FROM d UNION ALL SELECT * FROM m UNION ALL SELECT * FROM e) SELECT * FROM a UNION ALL SELECT 'issues', CAST((SELECT count(*) FROM a) AS VARCHAR), NULL""")
+def audit_with_failed_files(spark, folder):
+    words, _, pages = _laid_out(spark, folder)
+    failed = F.regexp_extract("file", r"m(\d+)", 1).cast("int") % 7 == 0
+    errors = pages.where(failed).select("file", F.lit("cannot be read").alias("error")).distinct()
+    found = audit.run(words, _cast(pages, PAGES), errors)
+    at = lambda kind, df: df.select(F.lit(kind).alias("kind"), "file", "page")
+    counted = found["verdict"].select(F.lit("issues").alias("kind"), F.col("issues").cast("string").alias("file"), F.lit(None).cast("int").alias("page"))
+    return at("discrepancy", found["discrepancies"]).unionAll(at("missing", found["missing"])).unionAll(at("error", errors.withColumn("page", F.lit(None).cast("int")))).unionAll(counted)
+
+
 @query("""SELECT p_partkey, arg_min(a.label, struct_pack(d := abs(p_size * 7.0 - a.x), i := a.i)) AS "start", arg_min(a.label, struct_pack(d := abs(p_size * 7.0 + 35 - a.x), i := a.i)) AS "end", arg_min(a.i, struct_pack(d := abs(p_size * 7.0 - a.x), i := a.i)) AS start_idx, arg_min(a.x + 60, struct_pack(d := abs(p_size * 7.0 + 35 - a.x), i := a.i)) AS end_limit
 FROM part, (SELECT CAST(i AS INTEGER) AS i, i * 60e0 AS x, 'S' || i AS label FROM range(6) t(i)) a GROUP BY 1""")
 def range_slots(spark, folder):
@@ -202,6 +217,17 @@ def _generated(spark, folder) -> DataFrame:
     return configs.generate(df, "extraction", "layout").select("p_partkey", "config")
 
 
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.1 ELSE 0.0 END::DOUBLE AS header_top, 0.15::DOUBLE AS header_bottom, CASE WHEN p_partkey % 3 = 1 THEN 0.2 ELSE 0.15 END::DOUBLE AS table_top, 0.85::DOUBLE AS table_bottom, CASE WHEN p_partkey % 3 = 1 THEN 0.99 ELSE 0.92 END::DOUBLE AS footer_bottom,
+CASE WHEN p_partkey % 3 = 1 THEN 'R[0-9]+' ELSE '[A-Z0-9]{2,5}\.\d{2}\.\d{2}[A-Z]?' END AS room_pattern, '[A-Z][a-z]+,\s*[A-Z]\.' AS staff_pattern, 5 AS n_types FROM part""")
+def partial_layout_reply(spark, folder):
+    some = F.lit('{"page_regions": {"table_top": 0.2, "footer_bottom": 0.99}, "text_patterns": {"room_pattern": "R[0-9]+"}}')
+    k = F.col("p_partkey") % 3
+    reply = F.when(k == 0, F.lit('{"page_regions": {"header_top": 0.1}}')).when(k == 1, some).otherwise(F.lit("{}"))
+    none = F.array().cast("array<struct<day:string,start_time:string,end_time:string,room:string,activity_type:string,staff:string>>")
+    made = configs.generate(load(spark, folder, "part").select("p_partkey", F.struct(none.alias("entries")).alias("extraction"), text.parse_json(reply, CONFIG).alias("layout")), "extraction", "layout")
+    return made.select("p_partkey", "config.page_regions.*", "config.text_patterns.room_pattern", "config.text_patterns.staff_pattern", F.size("config.text_patterns.activity_types").alias("n_types"))
+
+
 _H = "lpad(CAST(p_size % 11 + 1 AS VARCHAR), 2, '0')"
 
 
@@ -333,17 +359,50 @@ def streams_of_type(spark, folder):
     return week.available(streams, streams.agg(F.max("course_id")).first()[0], "Lab").select("course_id", "stream_id")
 
 
-@query(f"""WITH l AS (SELECT user_id, substr(day, 1, 7) AS month, list(struct_pack(q := event_id, a := event_type) ORDER BY event_id) AS l, count(*) AS n FROM {E} GROUP BY 1, 2),
-w AS (WITH RECURSIVE w AS (SELECT user_id, month, l, n, 1 AS k, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone, 0 AS depth FROM l
-  UNION ALL SELECT user_id, month, l, n, k + 1,
-    CASE WHEN l[k].a IN ('purchase', 'error') THEN CASE WHEN depth > 0 THEN done[:-2] ELSE done END WHEN l[k].a = 'refund' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_append(done, l[k].q) END,
-    CASE WHEN l[k].a IN ('purchase', 'error') THEN CASE WHEN depth > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN l[k].a = 'refund' THEN undone[:-2] ELSE CAST([] AS BIGINT[]) END,
-    CASE WHEN l[k].a IN ('purchase', 'error') THEN greatest(depth - 1, 0) WHEN l[k].a = 'refund' THEN CASE WHEN len(undone) > 0 THEN depth + 1 ELSE depth END ELSE least(depth + 1, 50) END FROM w WHERE k <= n) SELECT * FROM w WHERE k = n + 1)
-SELECT user_id, month, unnest(done) AS seq FROM w""")
+_KIND = "list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, event_id % 3 AS course, {_KIND} AS rank, dayname(ts) AS d, minute AS s, least(minute + 120, 1439) AS e FROM {E}),
+s AS (SELECT user_id, course, rank, list(struct_pack(q := event_id, d := d, s := s, e := e) ORDER BY event_id) AS c FROM e GROUP BY 1, 2, 3),
+g AS (SELECT user_id, list(struct_pack(course := course, rank := rank, c := c) ORDER BY course, rank) AS l, count(*) AS n FROM s GROUP BY 1),
+w AS (WITH RECURSIVE w AS (SELECT user_id, l, n, 1 AS k, CAST([] AS STRUCT(q BIGINT, d VARCHAR, s INTEGER, e INTEGER)[]) AS acc FROM g
+  UNION ALL SELECT user_id, l, n, k + 1, list_append(acc, list_filter(l[k].c, lambda x: x.q = b.q)[1]) FROM (
+    SELECT *, list_min(list_transform(l[k].c, lambda x: struct_pack(o := len(list_filter(acc, lambda p: p.d = x.d AND p.s < x.e AND x.s < p.e)), q := x.q))) AS b FROM w WHERE k <= n)) SELECT * FROM w WHERE k = n + 1)
+SELECT user_id, CAST(i - 1 AS INTEGER) AS seq, 'C' || l[i].course AS course_id, ['Lecture', 'Lab', 'Tutorial', 'Seminar', 'Workshop'][l[i].rank] AS stream_type, CAST(acc[i].q AS VARCHAR) AS selected_stream_id FROM (SELECT user_id, l, acc, unnest(range(1, len(acc) + 1)) AS i FROM w)""")
+def week_place(spark, folder):
+    kinds = dict(zip(("click", "view", "purchase", "signup", "error"), week.TYPE_ORDER))
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
+    clock = lambda m: F.format_string("%02d:%02d", F.floor(m / 60), m % 60)
+    e = _events(spark, folder)
+    streams = e.select("user_id", F.concat(F.lit("C"), (F.col("event_id") % 3).cast("string")).alias("course_id"), (F.col("event_id") % 3).alias("course_seq"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("stream_id"), kind.alias("type"), F.date_format("ts", "EEEE").alias("day"), clock(F.col("minute")).alias("start_time"), clock(F.least(F.col("minute") + 120, F.lit(1439))).alias("end_time"))
+    return week.place(streams, ["user_id"])
+
+
+_A = "CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' WHEN 'purchase' THEN 'remove' ELSE 'move' END"
+#: Each user's log replayed event by event: done edits (the last 50 can be undone), undone ones, and how many undo can take.
+_REPLAY = f"""l AS (SELECT user_id, list(struct_pack(q := event_id, a := {_A}, k := minute % 5) ORDER BY event_id) AS l, count(*) AS n FROM {E} GROUP BY 1),
+w AS (WITH RECURSIVE w AS (SELECT user_id, l, n, 1 AS i, CAST([] AS STRUCT(q BIGINT, a VARCHAR, k INTEGER)[]) AS done, CAST([] AS STRUCT(q BIGINT, a VARCHAR, k INTEGER)[]) AS undone, 0 AS depth FROM l
+  UNION ALL SELECT user_id, l, n, i + 1,
+    CASE a WHEN 'undo' THEN CASE WHEN depth > 0 THEN done[:-2] ELSE done END WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE CASE WHEN edit THEN list_append(done, l[i]) ELSE done END END,
+    CASE a WHEN 'undo' THEN CASE WHEN depth > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN 'redo' THEN undone[:-2] ELSE CASE WHEN edit THEN [] ELSE undone END END,
+    CASE a WHEN 'undo' THEN greatest(depth - 1, 0) WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN depth + 1 ELSE depth END ELSE CASE WHEN edit THEN least(depth + 1, 50) ELSE depth END END
+    FROM (SELECT *, l[i].a AS a, l[i].a = 'move' OR coalesce(list_filter(done, lambda x: x.k = l[i].k)[-1].a, '') = 'move' AS edit FROM w WHERE i <= n)) SELECT * FROM w WHERE i = n + 1)"""
+
+
+def _edit_log(spark, folder) -> DataFrame:
+    """A log for each user: clicks and views move one of five placements, purchases remove one, often one that is not there."""
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").when(F.col("event_type") == "purchase", "remove").otherwise("move")
+    return _events(spark, folder).select("user_id", F.col("event_id").alias("seq"), action.alias("action"), F.lit("c").alias("course_id"), (F.col("minute") % 5).alias("stream_type"))
+
+
+@query(f"WITH {_REPLAY} SELECT user_id, unnest(done).q AS seq FROM w")
 def edits_in_force(spark, folder):
-    action = F.when(F.col("event_type").isin("purchase", "error"), "undo").when(F.col("event_type") == "refund", "redo").when(F.col("event_type") == "login", "remove").otherwise("move")
-    log = _events(spark, folder).select("user_id", F.substring("day", 1, 7).alias("month"), F.col("event_id").alias("seq"), action.alias("action"))
-    return week.edits_in_force(log, ["user_id", "month"]).drop("action")
+    return week.edits_in_force(_edit_log(spark, folder), ["user_id"], block_rows=64).select("user_id", "seq")
+
+
+@query(f"WITH {_REPLAY}, u AS (SELECT user_id, list_reverse(done[len(done) - depth + 1:]) AS u FROM w) SELECT user_id, CAST(i - 1 AS INTEGER) AS place, u[i].q AS seq FROM (SELECT user_id, u, unnest(range(1, len(u) + 1)) AS i FROM u)")
+def undo_points(spark, folder):
+    return week.undo_points(_edit_log(spark, folder), ["user_id"], block_rows=64)
 
 
 @query(f"""WITH m AS (SELECT user_id, CAST(minute % 7 AS VARCHAR) AS stream_type, arg_max(CASE WHEN event_type <> 'login' THEN event_type END, event_id) AS x, max(event_id) AS q, max(event_id) FILTER (event_type <> 'login') AS p FROM {E} GROUP BY 1, 2)
@@ -354,11 +413,6 @@ def placements_of_log(spark, folder):
     return week.placements_at(log)
 
 
-@query("SELECT o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 50")
-def undo_points(spark, folder):
-    return week.undo_points(load(spark, folder, "orders").select(F.col("o_orderkey").alias("seq")))
-
-
 # -- scalars, sources and sinks ---------------------------------------------------------------
 
 
@@ -381,8 +435,14 @@ def xml_resources(spark, folder):
     return resources.parse(load(spark, folder, "part").select(x.alias("x")), "x")
 
 
+@query("""SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', l_extendedprice * l_discount / 7) AS DOUBLE) AS two, CAST(printf('%.2f', l_quantity / 8e0) AS DOUBLE) AS eighths, CAST(printf('%.4f', l_extendedprice / 3e0) AS DOUBLE) AS four, CAST(printf('%.1f', -l_quantity / 4e0) AS DOUBLE) AS below FROM lineitem""")
+def rounded_measures(spark, folder):
+    price, quantity = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
+    return load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", exact_round(price * F.col("l_discount").cast("double") / 7, 2).alias("two"), exact_round(quantity / 8, 2).alias("eighths"), exact_round(price / 3, 4).alias("four"), exact_round(-quantity / 4, 1).alias("below"))
+
+
 def _scratch(spark) -> str:
-    return f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_nationkey || '; ' || c_mktsegment AS tags FROM customer")

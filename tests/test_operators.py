@@ -61,6 +61,75 @@ def test_greedy_match_against_loop(spark):
     assert got == want
 
 
+def test_greedy_pairs_against_loop(spark):
+    rng = random.Random(5)
+    rules, llms, want = [], [], set()
+    for g in range(30):
+        size = rng.choice((0, 3, 8, 300))
+        side = lambda: [(i, rng.choice(("M", "T", None)), rng.choice((rng.randrange(480, 1300, 5), rng.randrange(100000)))) for i in rng.sample(range(1000), size)]
+        rule, llm = side(), side()
+        used = set()
+        for i, d, s in sorted(rule):
+            best = min(((abs(s - t), j) for j, e, t in llm if e == d and d and j not in used and abs(s - t) <= 90), default=None)
+            if best:
+                used.add(best[1])
+                want.add((g, i, best[1], best[0]))
+        rules += [(g, *r) for r in rule]
+        llms += [(g, *r) for r in llm]
+    kind = "g int, idx int, day string, start int"
+    got = folds.greedy_pairs(spark.createDataFrame(rules, kind).repartition(3), spark.createDataFrame(llms, kind).repartition(4), ["g"])
+    assert {tuple(r) for r in got.collect()} == want
+    assert folds.greedy_pairs(spark.createDataFrame([], kind), spark.createDataFrame([], kind), ["g"]).count() == 0
+
+
+def test_islands_shorten_folds(spark):
+    rng = random.Random(6)
+    rows = [("f", p, s, x := float(rng.randrange(0, 3000)), x + rng.randint(5, 60), y := float(rng.randrange(0, 3000)), y + rng.randint(2, 20)) for p in range(3) for s in range(400)]
+    df = spark.createDataFrame(rows, "file string, page int, seq int, x0 double, x1 double, top double, bottom double").repartition(4)
+    parts = [r["count"] for r in folds.islands(df, ["file", "page"]).groupBy("file", "page", "island", "part").count().collect()]
+    print("longest fold before and after:", 400, max(parts))
+    assert sum(parts) == 1200 and max(parts) < 200
+    want = {}
+    for page in range(3):
+        acc = []
+        for t, x0, _, x1, b in sorted((r[5], r[3], r[2], r[4], r[6]) for r in rows if r[1] == page):
+            for c in acc:
+                if x0 < c[1] + 5 and x1 > c[0] - 5 and abs(t - c[3]) < 30:
+                    c[:] = [min(c[0], x0), max(c[1], x1), min(c[2], t), max(c[3], b)]
+                    break
+            else:
+                acc.append([x0, x1, t, b])
+        want |= {(page, i): tuple(c) for i, c in enumerate(acc)}
+    assert {(r.page, r.cluster_idx): (r.x0, r.x1, r.top, r.bottom) for r in folds.clusters(df).collect()} == want
+
+
+def test_place_streams_against_loop(spark):
+    rng = random.Random(7)
+    rows, want = [], set()
+    for plan in range(12):
+        placed = []
+        for g in range(rng.randint(0, 40)):
+            options = [(plan, g, q, f"k{q}", rng.choice("MTW"), rng.randrange(0, 1440), rng.choice((0, rng.randrange(0, 1500)))) for q in range(rng.randint(1, 4))]
+            rows += options
+            best = min(options, key=lambda o: (sum(p[4] == o[4] and p[5] < o[6] and o[5] < p[6] for p in placed), o[2]))
+            placed.append(best)
+            want.add((plan, g, best[3], best[4], best[5], best[6]))
+    df = spark.createDataFrame(rows, "plan int, g int, seq int, key string, day string, start int, end int").repartition(5)
+    assert {tuple(r) for r in folds.place_streams(df, ["plan"], ["g"]).collect()} == want
+
+
+def test_conflicts_of_a_hot_day(spark):
+    rng = random.Random(8)
+    rows = [(i, "M" if rng.random() < 0.9 else rng.choice(("T", None)), rng.choice("abc"), s := rng.randrange(0, 1440), s + rng.choice((0, 1, 5, 30, 600, -3))) for i in range(700)]
+    want = {(a[0], b[0], a[1]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[1] and a[2] != b[2] and a[3] < b[4] and b[3] < a[4]}
+    df = spark.createDataFrame(rows, "i int, day string, course string, s int, e int").repartition(3)
+    for bucket in (None, 60):
+        got = overlap.conflicts(df, ["day"], "s", "e", "i", "course", bucket, block_rows=50)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    alone = overlap.conflicts(df, [], "s", "e", "i", None, 60, block_rows=64)
+    assert alone.count() == sum(1 for a in rows for b in rows if a[0] < b[0] and a[3] < b[4] and b[3] < a[4])
+
+
 def test_nearest_and_days(spark):
     slots = F.expr("array(struct(100D as x_start, 200D as x_end, '08:00AM' as label, 0 as idx), struct(200D as x_start, 250D as x_end, '09:00AM' as label, 1 as idx))")
     df = spark.createDataFrame([(150.0,), (180.0,)], "x double")

@@ -1,7 +1,9 @@
 """Whole plans over synthetic pages and entries, sources, sinks and a stream."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronogrid.operators import records
@@ -148,13 +150,82 @@ def test_json_sink_and_stream(spark, tmp_path):
     assert [(r.n, r.least, r.greatest) for r in got] == [(2, 1.0, 3.0)]
 
 
+def replayed(events, most=50):
+    """Plain replay with snapshots of (placements, edits in force) before each edit: edits in force, and those undo can take."""
+    placed, done, past, future = {}, [], [], []
+    for seq, action, key, named in events:
+        if action == "undo":
+            if past:
+                future.append((dict(placed), list(done)))
+                placed, done = past.pop()
+        elif action == "redo":
+            if future:
+                past.append((dict(placed), list(done)))
+                placed, done = future.pop()
+        elif action != "remove" or key in placed:
+            past = [*past, (dict(placed), list(done))][-most:]
+            future = []
+            done = [*done, seq]
+            if action == "move":
+                placed[key] = seq
+            elif action == "remove":
+                del placed[key]
+            else:
+                placed = dict.fromkeys(named)
+    return set(done), [s for s in reversed(done)][: len(past)]
+
+
+LOG = "plan string, seq int, action string, course_id string, stream_type string, placed array<string>"
+
+
+def edits(spark, rows, **more):
+    log = spark.createDataFrame(rows, LOG).repartition(3)
+    kept, points = {}, {}
+    for r in week.edits_in_force(log, ["plan"], **more).collect():
+        kept.setdefault(r.plan, set()).add(r.seq)
+    for r in week.undo_points(log, ["plan"], **more).orderBy("place").collect():
+        points.setdefault(r.plan, []).append(r.seq)
+    return kept, points
+
+
 def test_undo_and_redo(spark):
-    actions = "move move undo redo undo undo undo redo move redo remove".split()
-    log = spark.createDataFrame([("p", i, a) for i, a in enumerate(actions)] + [("q", 0, "undo"), ("r", 0, "move")] + [("s", i, "move") for i in range(60)] + [("s", 60 + i, "undo") for i in range(70)], "plan string, seq int, action string")
-    got = {}
-    for r in week.edits_in_force(log, ["plan"]).collect():
-        got.setdefault(r.plan, set()).add(r.seq)
-    assert got == {"p": {0, 8, 10}, "r": {0}, "s": set(range(10))}
+    rows = [("p", i, a, "c", "Lab", None) for i, a in enumerate("move move undo redo undo undo undo redo move redo remove".split())] + [("q", 0, "undo", None, None, None), ("r", 0, "move", "c", "Lab", None)]
+    rows += [("s", i, "move", "c", "Lab", None) for i in range(60)] + [("s", 60 + i, "undo", None, None, None) for i in range(70)]
+    rows += [(None, 0, "move", "a", "Lab", None), (None, 1, "remove", "b", "Lab", None), (None, 2, "undo", None, None, None)]
+    assert edits(spark, rows)[0] == {"p": {0, 8, 10}, "r": {0}, "s": set(range(10))}  # the removal of what is not there is no edit, so undo takes the move
+
+
+@pytest.mark.parametrize("block_rows", [37, 400, 100_000])
+def test_long_logs_in_blocks(spark, block_rows):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for plan, n, undos in (("long", 10_000, 0.3), ("undone", 1500, 0.6), ("short", 12, 0.3), ("moves", 400, 0.0)):
+        log = []
+        for seq in range(n):
+            action = rng.choices(("undo", "redo", "move", "remove", "auto"), (undos, 0.15, 0.3, 0.3, 0.01))[0]
+            key = (rng.choice("abc"), rng.choice(("Lab", "Lecture", "Rare")) if rng.random() < 0.98 else f"Once{seq}")
+            log.append((seq, action, key, [json.dumps(["a", "Lab"], separators=(",", ":")), json.dumps(["b", "Rare"], separators=(",", ":"))] if action == "auto" else None))
+        rows += [(plan, seq, action, *key, named) for seq, action, key, named in log]
+        want[plan] = replayed([(seq, action, json.dumps(key, separators=(",", ":")), named) for seq, action, key, named in log])
+    kept, points = edits(spark, rows, block_rows=block_rows)
+    assert kept == {p: w[0] for p, w in want.items()}
+    assert points == {p: w[1] for p, w in want.items() if w[1]}
+
+
+def test_undo_after_a_removal_of_nothing_and_an_empty_log(spark):
+    rows = [("p", 0, "move", "a", "Lab", None), ("p", 1, "remove", "b", "Lab", None), ("p", 2, "undo", None, None, None)]
+    assert edits(spark, rows) == ({}, {})
+    assert edits(spark, []) == ({}, {})
+
+
+def test_audit_leaves_failed_files_out(spark):
+    label = lambda file, page, x: (file, page, 0, "08:00AM", x, x + 5, 100.0, 110.0)
+    words = spark.createDataFrame([label("a", 1, 10.0), label("b", 1, 10.0), label("c", 1, 50.0)], WORDS)
+    pages = spark.createDataFrame([(f, 1, 1.0, 1.0) for f in "abc"], "file string, page int, width double, height double")
+    errors = spark.createDataFrame([("c", "cannot be read")], "file string, error string")
+    found = audit.run(words, pages, errors)
+    assert found["discrepancies"].count() == 0 and {r.file for r in found["missing"].collect()} == {"a", "b"}
+    assert found["verdict"].first().issues == 3 and audit.run(words, pages)["verdict"].first().issues == 4
 
 
 def test_sessions_of_a_course(spark):
