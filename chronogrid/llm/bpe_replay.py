@@ -143,6 +143,9 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
     return ids, np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
 
+WRAP = (1 << 64) - 1
+
+
 def joined(parts: list[bytes]) -> bytes:
     """Byte strings as one, each compressed and with its length in front."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -168,25 +171,41 @@ def from_planes(parts: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in parts]).T).view("<u4").ravel().astype(np.int64)
 
 
+def stamp(*data: bytes) -> int:
+    """Hash of a slice's words for one part with their numbers."""
+    out = hashlib.blake2b(digest_size=8)
+    for x in data:
+        out.update(len(x).to_bytes(8, "little"))
+        out.update(x)
+    return int.from_bytes(out.digest(), "little")
+
+
 def number_slice(slice_id: int, ids: list[int | None], texts: list[str], split: Callable[[str], list[str]], parts: int) -> pa.RecordBatch:
-    """A slice as one row: its texts as word numbers, and its distinct words by part. Frequent words get small numbers."""
+    """A slice as one row: its texts as word numbers, and its distinct words by part.
+
+    Frequent words get small numbers, equally frequent ones in the order of their bytes, so a
+    word's number is the same in whatever order the rows of a slice are read. The sum of
+    the stamps of all parts tells the numbering of a slice that holds other rows from this one.
+    """
     numbers: dict[str, int] = {}
     of_text = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t)], np.uint32) for t in texts]
     flat = np.concatenate(of_text)
-    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+    words = [w.encode() for w in numbers]
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    order = order[np.argsort(-np.bincount(flat, minlength=len(numbers))[order], kind="stable")]
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    words = [w.encode() for w in numbers]
     words = [words[k] for k in order.tolist()]
-    check = np.array([zlib.crc32(w) for w in words], np.int64)
-    known = np.array([i is not None for i in ids])
-    text = joined([np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), *planes(np.array([len(x) for x in of_text])), int(check.sum()).to_bytes(8, "little"), *planes(rank[flat])])
-    part = check % parts
-    lists = []
+    part = np.array([zlib.crc32(w) for w in words], np.int64) % parts
+    lists, check = [], 0
     for p in np.unique(part).tolist():
         mine = np.flatnonzero(part == p)
         own = [words[k] for k in mine.tolist()]
-        lists += [p.to_bytes(8, "little"), b"".join(planes(np.diff(mine, prepend=0))), b"".join(planes(np.array([len(w) for w in own]))), b"".join(own)]
+        data = [b"".join(planes(np.diff(mine, prepend=0))), b"".join(planes(np.array([len(w) for w in own]))), b"".join(own)]
+        check += stamp(*data)
+        lists += [p.to_bytes(8, "little"), *data]
+    known = np.array([i is not None for i in ids])
+    text = joined([np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), *planes(np.array([len(x) for x in of_text])), (check & WRAP).to_bytes(8, "little"), *planes(rank[flat])])
     return pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int64()), pa.array([text], pa.binary()), pa.array([joined(lists)], pa.binary())], names=["slice", "text", "words"])
 
 
@@ -209,7 +228,7 @@ def learn(pieces: pa.Table, table: MergeTable) -> pa.Table:
         steps, sizes, text = parted(raw)
         bounds = [0, *np.cumsum(four(sizes)).tolist()]
         words = [text[a:b] for a, b in itertools.pairwise(bounds)]
-        lists.append((steps, sum(map(zlib.crc32, words)), np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
+        lists.append((steps, stamp(steps, sizes, text), np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
     ids, counts = replay(list(numbers), table)
     starts = np.cumsum(counts) - counts
     out = []
@@ -240,8 +259,8 @@ class Slice:
             steps, own, n, part = parted(raw)
             check += int.from_bytes(own, "little")
             lists.append((np.cumsum(four(steps)), four(n), four(part)))
-        if check != int.from_bytes(rest[4], "little"):
-            raise RuntimeError("the words of a slice are not those of its texts: the input was read in another order when a task ran again")
+        if check & WRAP != int.from_bytes(rest[4], "little"):
+            raise RuntimeError("the words of a slice are not those of its texts: other rows came into the slice when a task ran again")
         starts, counts = (np.zeros(sum(len(r) for r, _, _ in lists), np.int64) for _ in range(2))
         at = 0
         for ranks, n, part in lists:

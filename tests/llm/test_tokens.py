@@ -7,6 +7,7 @@ import zlib
 
 import cases
 import numpy as np
+import pytest
 import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
@@ -82,6 +83,27 @@ def test_each_distinct_word_is_replayed_once(spark):
         assert learned.agg({"distinct": "sum"}).first()[0] == len({w for i, t in cases.ROWS if i != 9 for w in split(t or "")})
 
 
+def test_a_slice_numbered_again_in_another_order():
+    import pyarrow as pa
+    import regex
+
+    split, table, enc = regex.compile(P.PATTERN).findall, bpe_replay.merge_table(vocabulary_path("byte_bpe_multi_50k.tiktoken")), multi()
+    rows = [(1, "one two, two three"), (2, "zwei \u00fc drei one"), (3, ""), (None, "three one\n\nfour")]
+
+    def numbered(rows):
+        return pa.Table.from_batches([bpe_replay.number_slice(7, [i for i, _ in rows], [t for _, t in rows], split, 3)])
+
+    def ids(piece, words):
+        parts = bpe_replay.by_part(words)
+        learned = pa.concat_tables([bpe_replay.learn(parts.filter(pa.compute.equal(parts["part"], p)), table) for p in set(parts["part"].to_pylist())])
+        return bpe_replay.id_arrays(piece, learned, table)["ids"].to_pylist()
+
+    assert ids(numbered(rows), numbered(rows[::-1])) == [enc.encode_ordinary(t) for _, t in rows]
+    for others in (rows[1:], [*rows, (5, "more")], [(i, t + " one") for i, t in rows]):
+        with pytest.raises(RuntimeError, match="other rows"):
+            ids(numbered(rows), numbered(others))
+
+
 def test_packing(spark):
     t = library()
     rows = [r for r in cases.ROWS if r[0] != 9] + [cases.ROWS[8]]
