@@ -12,12 +12,16 @@ shuffled once and that exchange serves all passes.
 2. *Runs.* A block sorts those suffixes, cut to what its windows need, and sends
    them front-coded: the common prefix with the one before, and the rest. The
    exchange is by key range: splitters of the sorted order come from a random
-   sample of documents (``sample_bytes``; they decide only how evenly ranges are
-   filled), and a block cuts its sorted run at them. Splitters are compared with
+   sample of documents (``samples`` anchors for each; they decide only how evenly ranges
+   are filled), and a block cuts its sorted run at them. Splitters are compared with
    the 24 bytes of an anchor, so equal anchors meet in one range and no class of
    equal windows crosses a border. Equal stretches of a block are sent once, for
    their smallest document; the others are settled in the block, so a passage that
-   fills a third of all documents gives one entry per block.
+   fills a third of all documents gives one entry per block. An anchor that alone
+   would fill ranges (a line in many documents, each time between other words) is
+   taken apart: each of its windows is an entry of its own, whose suffix starts with
+   the window, dealt over all ranges by its 50 bytes. Ranges follow the input: beyond
+   ``MOST_SPLITTERS``, which the driver can hold, each is cut again by a hash of the anchor.
 3. *Merge.* A range merges its runs with a loser tree whose nodes keep common
    prefix lengths: unequal lengths decide without reading a byte, equal ones are
    compared only beyond them. The prefix lengths of the merged order give the
@@ -42,7 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .minhash import mix
@@ -229,6 +233,45 @@ def dup_flags(runs: pa.Table) -> pa.Table | None:
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([runs["part"][0].as_py()] * len(rows), pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
 
 
+#: Bytes of text that are sampled for splitters at least.
+LEAST_SAMPLE = 8 << 20
+#: Splitters that a driver and every task can hold, at 24 bytes.
+MOST_SPLITTERS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """How suffixes are dealt into ranges: splitters of the sorted order, times a hash of the anchor, and anchors too frequent for a range."""
+
+    splitters: np.ndarray
+    each: int
+    frequent: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return (len(self.splitters) + 1) * self.each
+
+    def of_anchors(self, anchor: np.ndarray) -> np.ndarray:
+        """Range of each 24-byte string, given as rows of bytes."""
+        which = np.searchsorted(self.splitters, as_strings(anchor), side="right")
+        return which * self.each + (hashed(anchor) % np.uint64(self.each)).astype(np.int64) if self.each > 1 else which
+
+    def of_windows(self, window: np.ndarray) -> np.ndarray:
+        return (hashed(window) % np.uint64(self.n)).astype(np.int64)
+
+
+def as_strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+def hashed(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    h = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        h = mix(h * ODD[3] + BYTE[rows[:, c]])
+    return h >> np.uint64(8)
+
+
 RUN = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("prefix", pa.binary()), ("rest", pa.binary()), ("left", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("at", pa.binary()), ("doc", pa.binary()), ("settled", pa.binary())])
 RUN_DDL = "range int, block long, prefix binary, rest binary, left binary, low binary, high binary, at binary, doc binary, settled binary"
 
@@ -239,7 +282,7 @@ def bits_between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return ((one << (high - low + 1).astype(np.uint32)) - one) << low.astype(np.uint32)
 
 
-def make_runs(docs: pa.Table, flags: pa.Table, parts: int, splitters: np.ndarray) -> pa.Table:
+def make_runs(docs: pa.Table, flags: pa.Table, parts: int, ranges: Ranges) -> pa.Table:
     """Front-coded sorted runs of a block's repeated suffixes, one row for each range."""
     block = docs["block"][0].as_py()
     b = Block.of(docs)
@@ -274,30 +317,55 @@ def make_runs(docs: pa.Table, flags: pa.Table, parts: int, splitters: np.ndarray
         for c in RUN.names:
             rows[c].append(row.get(c))
 
-    if len(settled):
-        settled = np.sort(settled)
-        add(range=int(block % (len(splitters) + 1)), block=block, settled=np.stack([at[settled].astype("<u4"), bits_between(low[settled], high[settled]).astype("<u4")]).tobytes())
+    def add_settled(at: np.ndarray, mask: np.ndarray) -> None:
+        if len(at):
+            add(range=int(block % ranges.n), block=block, settled=np.stack([at.astype("<u4"), mask.astype("<u4")]).tobytes())
+
+    settled = np.sort(settled)
+    add_settled(at[settled], bits_between(low[settled], high[settled]))
     keep = np.sort(order[~later])
     at, low, high, ids = (v[keep] for v in (at, low, high, ids))
     data = np.append(b.data, np.zeros(WINDOW, np.uint8))
     columns = np.arange(WINDOW)
-    right = data[at[:, None] + columns]
-    right[columns >= (WINDOW - low)[:, None]] = 0
-    order = np.argsort(right.view(f"S{WINDOW}").ravel(), kind="stable")
-    at, low, high, ids, right = (v[order] for v in (at, low, high, ids, right))
-    which = np.searchsorted(splitters, np.ascontiguousarray(right[:, :KMER]).view(f"S{KMER}").ravel(), side="right")
-    differ = right[1:] != right[:-1]
-    prefix = np.zeros(len(at), np.uint8)
-    prefix[1:] = np.where(differ.any(1), differ.argmax(1), WINDOW)
-    starts = np.r_[0, np.flatnonzero(np.diff(which)) + 1]
-    prefix[starts] = 0
-    kept = columns >= prefix[:, None]
     back = np.arange(1, SPREAD)
-    left = data[np.maximum(at[:, None] - back, 0)]
-    left_kept = back <= high[:, None]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
-        add(range=int(which[s]), block=block, prefix=prefix[s:e].tobytes(), rest=squeeze(right[s:e][kept[s:e]].tobytes()), left=squeeze(left[s:e][left_kept[s:e]].tobytes()), low=low[s:e].astype(np.uint8).tobytes(), high=high[s:e].astype(np.uint8).tobytes(), at=at[s:e].astype("<u4").tobytes(), doc=squeeze(ids[s:e].astype("<i8").tobytes()))
+
+    def send(at: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, right: np.ndarray, which: np.ndarray) -> None:
+        """Entries by range, each in sorted order and front-coded."""
+        order = np.argsort(as_strings(right), kind="stable")
+        order = order[np.argsort(which[order], kind="stable")]
+        at, low, high, ids, right, which = (v[order] for v in (at, low, high, ids, right, which))
+        differ = right[1:] != right[:-1]
+        prefix = np.zeros(len(at), np.uint8)
+        prefix[1:] = np.where(differ.any(1), differ.argmax(1), WINDOW)
+        starts = np.r_[0, np.flatnonzero(np.diff(which)) + 1]
+        prefix[starts] = 0
+        kept = columns >= prefix[:, None]
+        left = data[np.maximum(at[:, None] - back, 0)]
+        left_kept = back <= high[:, None]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            add(range=int(which[s]), block=block, prefix=prefix[s:e].tobytes(), rest=squeeze(right[s:e][kept[s:e]].tobytes()), left=squeeze(left[s:e][left_kept[s:e]].tobytes()), low=low[s:e].astype(np.uint8).tobytes(), high=high[s:e].astype(np.uint8).tobytes(), at=at[s:e].astype("<u4").tobytes(), doc=squeeze(ids[s:e].astype("<i8").tobytes()))
+
+    right = data[at[:, None] + columns]
+    frequent = np.isin(as_strings(right[:, :KMER]), ranges.frequent) if len(ranges.frequent) else np.zeros(len(at), bool)
+    if frequent.any():
+        n = (high - low + 1)[frequent].astype(np.int64)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[frequent].astype(np.int64), n)
+        own_at, own_ids = np.repeat(at[frequent], n) - offset, np.repeat(ids[frequent], n)
+        windows = data[own_at[:, None] + columns]
+        _, same = np.unique(as_strings(windows), return_inverse=True)
+        least = np.full(same.max() + 1, NO_ID)
+        np.minimum.at(least, same, own_ids)
+        later = own_ids > least[same]
+        add_settled(own_at[later], np.ones(int(later.sum())))
+        own_at, own_ids, windows = own_at[~later], own_ids[~later], windows[~later]
+        none = np.zeros(len(own_at), low.dtype)
+        send(own_at, none, none, own_ids, windows, ranges.of_windows(windows))
+    at, low, high, ids, right = (v[~frequent] for v in (at, low, high, ids, right))
+    if len(at):
+        which = ranges.of_anchors(right[:, :KMER])
+        right[columns >= (WINDOW - low)[:, None]] = 0
+        send(at, low, high, ids, right, which)
     return pa.table(rows, schema=RUN)
 
 
@@ -383,38 +451,39 @@ def cut_out(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
 OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def range_splitters(docs: DataFrame, total: int, ranges: int, sample_bytes: int) -> np.ndarray:
-    """Sorted anchors that cut the sorted order of all suffixes into about so many ranges, from a random sample of documents.
+def range_splitters(docs: DataFrame, total: int, ranges: int, samples: int) -> Ranges:
+    """About so many ranges of the sorted order of all suffixes, from anchors of a random sample of documents.
 
-    Repeated values are one splitter, so a very frequent anchor has a range of its own.
+    A value that more than one splitter has is a frequent anchor.
     """
-    if ranges < 2:
-        return np.zeros(0, f"S{KMER}")
+    none = np.zeros(0, f"S{KMER}")
+    wanted = min(ranges, MOST_SPLITTERS)
+    if wanted < 2:
+        return Ranges(none, 1, none)
 
     def run(batches):
         for batch in batches:
             b = Block.of(pa.Table.from_batches([batch])) if batch.num_rows else None
             x = anchors(b) if b else None
             if x is not None and len(x.at):
-                at = x.at[x.key % np.uint64(16) == 0]
+                at = x.at[np.random.default_rng(len(x.at)).random(len(x.at)) < 1 / 16]
                 yield pa.RecordBatch.from_arrays([pa.array([b.data[k : k + KMER].tobytes() for k in at.tolist()], pa.binary())], names=["anchor"])
 
-    sample = docs.sample(min(1.0, sample_bytes / max(1, total)), seed=11).select("doc_id", "text")
+    text = wanted * samples * 16 * (SPREAD / 2)  # of an anchor each SPREAD / 2 bytes one in sixteen is taken
+    sample = docs.sample(min(1.0, max(LEAST_SAMPLE, text) / max(1, total)), seed=11).select("doc_id", "text")
     found = np.sort(np.array([bytes(r[0]) for r in sample.mapInArrow(run, "anchor binary").collect()], f"S{KMER}"))
-    return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
-
+    if not len(found):
+        return Ranges(none, 1, none)
+    values, times = np.unique(found[np.arange(1, wanted) * len(found) // wanted], return_counts=True)
+    return Ranges(values, math.ceil(ranges / wanted), values[times > 1])
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, part_bytes: int = 8 << 20, range_bytes: int = 8 << 20, sample_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole).
 
-    Hashes meet in parts and suffixes in ranges, each for so many bytes of text. A
-    row of either exchange holds what one block has for one part or range: blocks
-    times parts rows, and never more than there are anchors.
-    """
+def exchange(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, part_bytes: int = 8 << 20, range_bytes: int = 8 << 20, samples: int = 16) -> tuple[GroupedData, DataFrame]:
+    """Documents by block, and their sorted runs, a row for what a block has for a range."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / part_bytes))
-    splitters = range_splitters(docs, total, math.ceil(total / range_bytes), sample_bytes)
+    ranges = range_splitters(docs, total, math.ceil(total / range_bytes), samples)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def send_keys(t: pa.Table) -> pa.Table:
@@ -430,7 +499,17 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return got if got is not None else pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
 
     flags = keys.groupBy("part").applyInArrow(flag, "block long, part int, bits binary")
-    runs = by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: make_runs(d, f, parts, splitters) if d.num_rows else RUN.empty_table(), RUN_DDL)
+    return by_block, by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: make_runs(d, f, parts, ranges) if d.num_rows else RUN.empty_table(), RUN_DDL)
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, part_bytes: int = 8 << 20, range_bytes: int = 8 << 20, samples: int = 16, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole).
+
+    Hashes meet in parts and suffixes in ranges, each for so many bytes of text. A
+    row of either exchange holds what one block has for one part or range: blocks
+    times parts rows, and never more than there are anchors.
+    """
+    by_block, runs = exchange(df, id_col, text_col, block_bytes, part_bytes, range_bytes, samples)
     found = runs.groupBy("range").applyInArrow(settle, "block long, windows binary")
     nothing = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))})
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(lambda d, f: cut_out(d, f, with_text) if d.num_rows else nothing, OUT_DDL)

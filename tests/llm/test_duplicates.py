@@ -81,6 +81,36 @@ def test_substring_removal(spark, block_bytes):
     assert got == cases.removed(rows)
 
 
+def common_line(n, seed=9):
+    """Documents that share one line, each time between other words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    line = "the line that a third of all documents has, between words of their own, every time."
+    return [(k, " ".join([*(word() for _ in range(rng.randint(2, 30))), *([line] if k % 3 else []), *(word() for _ in range(rng.randint(2, 30)))])) for k in range(n)]
+
+
+@pytest.mark.parametrize("most", [1 << 16, 5])
+def test_substring_removal_over_many_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_SPLITTERS", most)
+    rows = [*cases.ROWS[:8], *common_line(150), (500, common_line(2)[1][1]), (501, common_line(150, 10)[4][1]), (502, "ab" * 300), (503, "ba" * 200)]
+    sizes = {"block_bytes": 1500, "part_bytes": 400, "range_bytes": 300}
+    docs = cases.documents(spark, rows)
+    _, runs = suffix_dedup.exchange(docs, **sizes)
+    assert runs.select("range").distinct().count() > 15
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs, **sizes).collect()), key=str)
+    assert got == cases.removed(rows)
+
+
+def test_a_common_line_fills_no_range(spark):
+    largest = []
+    for n in (300, 1200):
+        docs = cases.documents(spark, common_line(n))
+        _, runs = suffix_dedup.exchange(docs, block_bytes=4000, part_bytes=2000, range_bytes=2000)
+        largest.append(max(r.n for r in runs.where("at IS NOT NULL").selectExpr("range", "octet_length(at) div 4 AS n").groupBy("range").sum("n").withColumnRenamed("sum(n)", "n").collect()))
+    print("entries of the largest range at 300 and 1200 documents:", largest)
+    assert largest[1] < 2 * largest[0]
+
+
 def test_substring_removal_of_nothing_and_texts(spark):
     assert suffix_dedup.deduplicate(cases.documents(spark, [])).count() == 0
     rows = [(1, "日本語" * 30), (2, "x" + "日本語" * 30)]
