@@ -10,13 +10,15 @@
    opens new patterns. Counts, not pieces, are handled, so the work is bounded by
    the number of distinct lengths.
 3. Each pattern slot owns a range of ranks of its length. A piece's rank comes
-   from counts by (length, salt) and its place within that group, so no length
-   lands in one task, and the slots, a bounded table, are broadcast.
+   from counts by (length, salt) and its place within that group. A length has as many
+   salts as it has ``group_rows`` pieces, so no group grows with the input, nor does a
+   repeated row make one; the slots, a bounded table, are broadcast.
 
 A sequence is padded to ``capacity`` unless its length is a power of two; a
 length of ``capacity`` fills a sequence of its own.
 
-Cases: a null or empty text has the closing id alone; a null id stays and packs
+Cases: a null or empty text has the closing id alone; a very long text is encoded whole, as
+one row's value, and cut then; a null id stays and packs
 like any other; repeated rows each get their pieces; an empty table gives an
 empty result; other columns are not read.
 """
@@ -102,28 +104,29 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def place(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
-    """sequence_id and offset of each piece; pieces must be stored, as they are read three times."""
+def place(pieces: DataFrame, capacity: int = 1024, group_rows: int = 1 << 20) -> DataFrame:
+    """sequence_id and offset of each piece; pieces must be stored, with a number ``at`` of their own, as they are read three times.
+
+    What the driver holds, and what is broadcast, is a row for each length and for each group_rows pieces.
+    """
     spark: SparkSession = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    groups = counts.collect()  # at most capacity * salts rows
-    histogram: dict[int, int] = {}
-    before = []
-    for length, salt, n in sorted(groups):
-        before.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    table = slots(patterns(histogram, capacity))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = spark.createDataFrame([(k, -(-n // group_rows)) for k, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("at"), "salts")).drop("salts")
+    before, so_far = [], dict.fromkeys(histogram, 0)
+    for length, salt, n in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):
+        before.append((length, salt, so_far[length]))
+        so_far[length] += n
     before_df = spark.createDataFrame(before, "length long, salt long, before long")
-    slot_df = spark.createDataFrame(table, "slot_length long, lo long, hi long, base long, offset long")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
+    slot_df = spark.createDataFrame(slots(patterns(histogram, capacity)), "slot_length long, lo long, hi long, base long, offset long")
+    within = Window.partitionBy("length", "salt").orderBy("at")
     ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(before_df), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("k"))
     met = ranked.join(F.broadcast(slot_df), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return met.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 1024, closing: int = 0) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 1024, closing: int = 0, group_rows: int = 1 << 20) -> DataFrame:
     """Cut and place. The pieces, a few dozen bytes each, are stored in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
-    pieces = cut(df, id_col, text_col, vocabulary, capacity, closing).checkpoint()
-    return place(pieces, capacity)
+    pieces = cut(df, id_col, text_col, vocabulary, capacity, closing).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    return place(pieces, capacity, group_rows)

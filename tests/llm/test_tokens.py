@@ -130,6 +130,18 @@ def test_packing(spark):
     assert packing.pack(cases.documents(spark, [])).count() == 0
 
 
+def test_groups_of_a_length_do_not_grow(spark):
+    full = spark.range(3000).selectExpr("1L AS doc_id", "0L AS start", "1024L AS length", "7L AS ids_crc32", "1L AS doc_tokens", "id AS at")
+    some = spark.range(500).selectExpr("id AS doc_id", "0L AS start", "id % 5 + 300 AS length", "7L AS ids_crc32", "1L AS doc_tokens", "id + 5000 AS at")
+    got = packing.place(full.unionAll(some).checkpoint() if spark.sparkContext.getCheckpointDir() else full.unionAll(some), group_rows=100).collect()
+    assert len(got) == 3500
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in held.values())
+    assert len(held) == 3000 + 167
+
+
 def test_patterns_place_every_copy_with_little_padding():
     rng = random.Random(5)
     for n in (0, 1, 50, 5000):
