@@ -205,8 +205,9 @@ def _deal(m: DataFrame, key: str, s: Settings, stray_block: int) -> DataFrame:
     sizes = m.groupBy(key, "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
     blocks = lambda n, per: F.ceil(n / per).cast("int")
+    # stored, so that both sides of the join below are plain exchanges, of which adaptive execution splits a large bucket's
     mixed = mixed.select(key, F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.n"), stray_block).alias("stray_blocks"), blocks(F.col("size"), s.block).alias("blocks"))
-    m = m.join(mixed, key).withColumn("stray", F.col("component") != F.col("top"))
+    m = m.join(stored(mixed, "mixed"), key).withColumn("stray", F.col("component") != F.col("top"))
     own = lambda n, salt: F.array(F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_member = m.withColumn("i", F.explode(all_of("stray_blocks"))).withColumn("j", F.explode(own("blocks", 1))).withColumn("asks", F.lit(False))
@@ -315,7 +316,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), s.bands))], names=["band", "id"])
 
     bands = per_batch(classes.select("id", "sig"), banded, "band long, id long")
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = stored(bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     members = stored(bands.join(hubs, "band"), "members")
     candidates = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = stored(agreeing(candidates, classes, s), "close")
