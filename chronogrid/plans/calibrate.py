@@ -41,8 +41,8 @@ def session_summaries(sessions: DataFrame) -> DataFrame:
 class Calibration:
     """Runs the phases for one document; each step is an event, and a failure is recorded and raised again.
 
-    A version is the one after the highest that is stored, so of one course only one
-    run at a time may append.
+    Versions are claimed, so runs of one course may go side by side; replies are kept in the
+    folder, so a run that is repeated asks only for what it lacks.
     """
 
     def __init__(self, spark: SparkSession, folder: str, provider: providers.Provider, generate=configs.generate, report=None):
@@ -63,10 +63,10 @@ class Calibration:
             self.note(session_id, phase=phase, phase_state="completed")
             phase = PHASES[1]
             made = self.generate(got, "extraction", "layout")
-            known = state.read(self.spark, self.folder, "course_configs").where(F.col("course_code") == course_code.upper()).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-            doc = configs.config_documents(made, F.lit(uuid.uuid4().hex), F.lit(course_code), F.lit(session_id)).withColumn("version", F.lit(known + 1))
-            doc = self.spark.createDataFrame(doc.collect(), doc.schema)  # one row; the provider is asked once
-            state.append(doc, self.folder, "course_configs")
+            config_id = uuid.uuid4().hex
+            doc = configs.config_documents(made, F.lit(config_id), F.lit(course_code), F.lit(session_id))
+            state.add_version(doc, self.folder, course_code, config_id)
+            doc = state.read(self.spark, self.folder, "course_configs").where(F.col("config_id") == config_id)
             row = doc.first()
             self.note(session_id, phase=phase, phase_state="completed", config_id=row.config_id, confidence=float(row.config.confidence))
             phase = PHASES[2]
@@ -78,9 +78,9 @@ class Calibration:
         return session_id
 
     def provider_reply(self, docs: DataFrame) -> DataFrame:
-        """Extraction and layout of the documents, asked for once."""
-        got = providers.extract(docs, self.provider, with_config=True)
-        rows = got.collect()
-        if rows and rows[0].error:
-            raise RuntimeError(rows[0].error)
-        return self.spark.createDataFrame(rows, got.schema)
+        """Extraction and layout of the documents; a document without a reply is an error."""
+        got = providers.extract(docs, self.provider, with_config=True, store=f"{self.folder}/replies")
+        failed = got.where("error IS NOT NULL").select("error").first()
+        if failed:
+            raise RuntimeError(failed.error)
+        return got

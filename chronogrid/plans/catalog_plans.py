@@ -459,6 +459,14 @@ def json_round_trip(spark, folder):
     return spark.read.schema("c_custkey long, c_name string, c_nationkey int").json(path)
 
 
+@query("SELECT c_acctbal, c_custkey, c_name, CASE WHEN c_nationkey < 20 THEN c_nationkey END AS nation FROM customer")
+def json_array_in_order(spark, folder):
+    path = _scratch(spark).removeprefix("file:")
+    ranked = load(spark, folder, "customer").select("c_acctbal", "c_custkey", "c_name", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).alias("nation"))
+    files.json_array(ranked, path, [F.desc("c_acctbal"), "c_custkey"])
+    return files.read_json_array(spark, path, "c_acctbal double, c_custkey long, c_name string, nation int")
+
+
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 10")
 def shown_rows(spark, folder):
     return files.shown(load(spark, folder, "nation").orderBy("n_nationkey"), ["n_nationkey", "absent", "n_name"], 10)

@@ -140,7 +140,15 @@ def test_calibration(spark, tmp_path):
 
 def test_json_sink_and_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    assert json.loads(files.json_array(df, "k").first().json) == [{"k": 1, "v": "a"}, {"k": 2, "v": "b"}]
+    path = str(tmp_path / "rows.json")
+    many = spark.range(500).selectExpr("id AS k", "if(id % 7 = 0, null, concat('v\"', id, '\\n')) AS v").repartition(6)
+    files.json_array(many, path, [F.desc("k")])
+    assert json.loads(open(path).read()) == [{"k": k, "v": f'v"{k}\n' if k % 7 else None} for k in range(499, -1, -1)]
+    assert files.read_json_array(spark, path, "k long, v string").exceptAll(many).count() == 0
+    files.json_array(df.where("k > 5"), path, ["k"])
+    assert json.loads(open(path).read()) == []
+    files.json_array(df, path, ["k"])
+    assert json.loads(open(path).read()) == [{"k": 1, "v": "a"}, {"k": 2, "v": "b"}] and [p.name for p in tmp_path.iterdir()] == ["rows.json"]
     src = str(tmp_path / "in")
     spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'x' AS label, 1.0D AS v UNION ALL SELECT timestamp'2024-01-01 00:20:00', 'x', 3.0D UNION ALL SELECT timestamp'2024-01-01 03:00:00', 'x', 5.0D").write.parquet(src)
     stream = landing.windowed_labels(landing.read(spark, src, "ts timestamp, label string, v double"), "ts", "label", "v")
@@ -247,3 +255,62 @@ def test_configuration_limits_need_both_edges(spark):
     pages = spark.sql(f"SELECT 'f' AS file, 1 AS page, 1000D AS width, 100D AS height, CAST({config} AS {CONFIG}) AS c")
     r = layout.with_limits(pages, "c").first()
     assert (r.slot_low, r.slot_high, r.rect_left, r.word_right, r.day_max) == (20.0, 30.0, 200.0, 400.0, 45.0)
+
+
+def test_versions_and_activations_of_runs_side_by_side(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from chronogrid.schemas import CONFIG_DOCUMENT
+    from chronogrid.sources import markers
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: markers.claim(spark, str(tmp_path / "m"), "a/b c%", f"run {k}"), range(40)))
+    assert sorted(numbers) == list(range(1, 41))
+    assert {(r.key, r.number, r.text) for r in markers.read(spark, str(tmp_path / "m")).collect()} == {("a/b c%", n, f"run {k}") for k, n in enumerate(numbers)}
+
+    folder = str(tmp_path / "s")
+    row = spark.createDataFrame([("x", "comp1", "COMP1", 0, "draft", "llm", None, None, None, None)], CONFIG_DOCUMENT)
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda k: state.add_version(row, folder, "comp1", f"id{k}"), range(4))) == [1, 2, 3, 4]
+    assert state.add_version(row, folder, "other", "o1") == 1
+    assert {r.status for r in state.configurations(spark, folder).collect()} == {"draft"}
+    for k in (2, 0):
+        state.activate(spark, folder, "comp1", f"id{k}")
+    got = {r.config_id: (r.version, r.status) for r in state.configurations(spark, folder).collect()}
+    assert {i: s for i, (_, s) in got.items()} == {"id0": "active", "id1": "draft", "id2": "superseded", "id3": "draft", "o1": "draft"}
+    with pytest.raises(ValueError):
+        state.activate(spark, folder, "other", "id1")
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def flaky(fail):
+        class Flaky:
+            name, model = "flaky", "m"
+
+            def extract_timetable(self, content):
+                with open(calls, "a") as f:
+                    f.write(f"{bytes(content).decode()}\n")
+                if content in fail:
+                    raise RuntimeError("busy")
+                return '{"entries": []}'
+
+            def generate_config(self, content, extraction):
+                with open(calls, "a") as f:
+                    f.write("layout\n")
+                return '{"confidence": 0.5}'
+
+        return Flaky()
+
+    docs = spark.createDataFrame([(f"f{k}", bytearray(f"text{k % 4}".encode())) for k in range(12)], "file string, content binary").repartition(3)
+    took = lambda: sorted(open(calls).read().split())
+    store = str(tmp_path / "replies")
+    got = providers.extract(docs, flaky([b"text1"]), store=store, attempts=3, wait=0.01, wave=2)
+    assert {(r.file, r.error) for r in got.collect()} == {(f"f{k}", "RuntimeError: busy" if k % 4 == 1 else None) for k in range(12)}
+    assert took() == ["text0", "text1", "text1", "text1", "text2", "text3"]
+    got = providers.extract(docs, flaky([]), with_config=True, store=store, attempts=3, wait=0.01)
+    assert got.where("error IS NULL AND layout.confidence = 0.5").count() == 12
+    assert took() == ["layout"] * 4 + ["text0", "text1", "text1", "text1", "text1", "text2", "text3"]
+    before = len(took())
+    assert providers.extract(docs, flaky([]), with_config=True, store=store).where("error IS NULL").count() == 12 and len(took()) == before
