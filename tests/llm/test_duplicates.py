@@ -256,7 +256,7 @@ def test_recall_of_pairs(n, share, least):
         docs = pa.table({"doc_id": pa.array([1, 2]), "key": pa.array([1, 2]), "text": pa.array([t.encode() for t in texts], pa.binary()), "block": pa.array([0, 0], pa.int64())})
         matches = fuzzy_passages.match(fuzzy_passages.send_seeds(docs, pa.table({"part": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())}), 1, s), 1, s)
         chained = fuzzy_passages.make_chains(docs, matches, s) if matches.num_rows else None
-        found += bool(chained and fuzzy_passages.passages_of(docs, chained, s).num_rows)
+        found += bool(chained and fuzzy_passages.passages_of(docs, chained, s).num_rows)  # a pair that is given back has its row too
     assert found >= least * true > 20
 
 
@@ -287,6 +287,32 @@ def test_passages_at_the_threshold(spark):
     assert len(want) > 40 and got == want
 
 
+def test_a_passage_that_goes_on_beyond_a_certain_stretch(spark):
+    """Documents 2 and 3 share 58 words, four fifths equal, whose exact part ends where what 1 and 3 share ends."""
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    third = words(300)
+    first = [*words(20), *third[80:200], *words(40)]
+    passage = third[180:238]
+    second = [*words(25), *(w if k < 20 or k % 4 != 1 else words(1)[0] for k, w in enumerate(passage)), *words(25)]
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(third))]
+    alone = fuzzy(spark, rows[1:])
+    assert [(r[0], r[3]) for r in alone] == [(3, 2)] and 100 * alone[0][6] >= 80 * (alone[0][2] - alone[0][1])
+    assert set(alone) <= set(fuzzy(spark, rows)) and {(r[0], r[3]) for r in fuzzy(spark, rows)} == {(3, 1), (3, 2)}
+
+
+def test_a_long_passage_is_given_whole(spark):
+    """416 words, every fifth of the last 400 replaced: no seed lies in those, and they are far more than a chain takes along."""
+    rng = random.Random(32)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = words(416)
+    q = [words(1)[0] if k >= 16 and k % 5 == 0 else w for k, w in enumerate(p)]
+    for a, b in ((p, q), (p[::-1], q[::-1])):
+        rows = [(1, " ".join([*words(50), *a, *words(50)])), (2, " ".join([*words(10), *b, *words(30)]))]
+        (r,) = fuzzy(spark, rows)
+        assert r[2] - r[1] >= 414 and r[5] - r[4] == r[2] - r[1] and r[6] == sum(x == y for x, y in zip(a, b))
+
+
 def test_stretches_against_brute_force():
     rng = random.Random(14)
     s = fuzzy_passages.Settings(least_words=8)
