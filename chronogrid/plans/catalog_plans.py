@@ -8,6 +8,7 @@ the SQL gives the expected records directly.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators import configs, layout, nearest, records
 from ..schemas import CONFIG, CONFIG_DOCUMENT, PAGES, RECTS, SESSION_EVENT, SLOTS, WORDS
 from ..session import load, shared_dir
 from ..sinks import files
+from ..sources import pages as pages_source
 from ..sources import resources
 from . import audit, calibrate, compare, extract, week
 from .catalog import E, _events, query
@@ -441,6 +443,33 @@ def rounded_measures(spark, folder):
     return load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", exact_round(price * F.col("l_discount").cast("double") / 7, 2).alias("two"), exact_round(quantity / 8, 2).alias("eighths"), exact_round(price / 3, 4).alias("four"), exact_round(-quantity / 4, 1).alias("below"))
 
 
+def _outline(content: bytes) -> Iterator[dict]:
+    """A page's list items as words and its paragraphs as boxes, two paragraphs a page; a page that breaks off cannot be read to its end."""
+    html = content.decode()
+    items, paragraphs = html.count("<li>"), html.count("<p>")
+    for k in range(0, paragraphs, 2):
+        words = [{"text": f"item{i}", "x0": 10.0 * i, "x1": 10.0 * i + 8, "top": 1.0, "bottom": 2.0} for i in range(items if k == 0 else 0)]
+        boxes = [{"x0": 0.0, "x1": 90.0, "top": 10.0 * i, "bottom": 10.0 * i + 5, "width": 90.0, "fill": i == 0} for i in range(min(2, paragraphs - k))]
+        yield {"width": 100.0, "height": 50.0, "words": words, "rects": boxes}
+    if "</html>" not in html:
+        raise ValueError("breaks off")
+
+
+_COUNT = "CAST((length(html) - length(replace(html, '{0}', ''))) / {1} AS INTEGER)"
+
+
+@query(f"""WITH p AS (SELECT 'p' || page_id || '.html' AS file, {_COUNT.format('<li>', 4)} AS items, {_COUNT.format('<p>', 3)} AS paragraphs, NOT contains(html, '</html>') AS broken FROM pages)
+SELECT file, CAST((paragraphs + 1) // 2 AS INTEGER) AS pages, CASE WHEN paragraphs > 0 THEN items ELSE 0 END AS words, paragraphs AS rects, CAST((paragraphs + 1) // 2 AS INTEGER) AS filled, CASE WHEN broken THEN 'ValueError: breaks off' END AS error FROM p WHERE paragraphs > 0 OR broken""")
+def decoded_documents(spark, folder):
+    docs = load(spark, folder, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.col("html").cast("binary").alias("content"))
+    words, rects, pages, errors = pages_source.decode(docs, _outline)
+    count = lambda df, name: df.groupBy("file").agg(F.count("*").alias(name))
+    out = pages.select("file").unionAll(errors.select("file")).distinct()
+    for df in (count(pages, "pages"), count(words, "words"), count(rects, "rects"), count(rects.where("fill"), "filled"), errors.select("file", "error")):
+        out = out.join(df, "file", "left")
+    return out.select("file", *(F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in ("pages", "words", "rects", "filled")), "error")
+
+
 def _scratch(spark) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PAGES, RECTS, SCAN_ERRORS, WORDS
+from ..session import shared_dir
 
 #: What a decoder returns of one document's bytes: page dicts with width, height, words and rects; it may raise.
 Decoder = Callable[[bytes], list[dict]]
@@ -32,9 +34,8 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFra
 def decode(docs: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(words, rects, pages, errors): a document that fails is an error row, with the pages before it kept.
 
-    Documents are decoded where they lie, one at a time, and once: what the decoder
-    gives is kept in the session's checkpoint folder, if it has one, and all four
-    are read from there. Without one each of the four decodes again.
+    Documents are decoded where they lie, one at a time, and once: what the decoder gives is
+    kept by kind in the shared folder, and each of the four reads its own kind from there.
     """
 
     def rows(file: str, content: bytes) -> Iterator[tuple]:
@@ -55,8 +56,8 @@ def decode(docs: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame, Dat
                 out = pd.DataFrame(list(rows(file, bytes(content))), columns=_NAMES)
                 yield out.astype({"page": "Int32", "seq": "Int32", "fill": "boolean", **{c: "float64" for c in ("x0", "x1", "top", "bottom", "width", "height")}})
 
-    every = docs.select("file", "content").mapInPandas(run, _DECODED)
-    if docs.sparkSession.sparkContext.getCheckpointDir():
-        every = every.checkpoint()
+    path = f"{shared_dir(docs.sparkSession)}/decoded-{uuid.uuid4().hex}"
+    docs.select("file", "content").mapInPandas(run, _DECODED).write.partitionBy("kind").parquet(path)
+    every = docs.sparkSession.read.schema(_DECODED).parquet(path)
     pick = lambda kind, schema: every.where(F.col("kind") == kind).select(*(c.split()[0] for c in schema.split(", ")))
     return pick("word", WORDS), pick("rect", RECTS), pick("page", PAGES), pick("error", SCAN_ERRORS)

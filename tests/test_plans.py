@@ -314,3 +314,20 @@ def test_replies_are_asked_for_once(spark, tmp_path):
     assert took() == ["layout"] * 4 + ["text0", "text1", "text1", "text1", "text1", "text2", "text3"]
     before = len(took())
     assert providers.extract(docs, flaky([]), with_config=True, store=store).where("error IS NULL").count() == 12 and len(took()) == before
+
+
+def test_a_document_is_decoded_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def decoder(content):
+        with open(calls, "a") as f:
+            f.write("x")
+        if content == b"bad":
+            raise ValueError("broken")
+        return [{"width": 1.0, "height": 1.0, "words": [{"text": "a", "x0": 0.0, "x1": 1.0, "top": 0.0, "bottom": 1.0}], "rects": []}]
+
+    docs = spark.createDataFrame([(f"f{k}", bytearray(b"bad" if k == 2 else b"ok")) for k in range(5)], "file string, content binary").repartition(2)
+    words, rects, pages, errors = sources.decode(docs, decoder)
+    assert (words.count(), rects.count(), pages.count(), [tuple(r) for r in errors.collect()]) == (4, 0, 4, [("f2", "ValueError: broken")])
+    assert open(calls).read() == "x" * 5
+    assert "PartitionFilters: [isnotnull(kind" in words._jdf.queryExecution().toString()
