@@ -21,6 +21,7 @@ from ..session import load, shared_dir
 from ..sinks import files
 from ..sources import pages as pages_source
 from ..sources import resources
+from ..streaming import sessions
 from . import audit, calibrate, compare, extract, week
 from .catalog import E, _events, query
 
@@ -297,7 +298,10 @@ def active_configuration(spark, folder):
 
 
 def _session_log(spark, folder) -> DataFrame:
-    e = _events(spark, folder)
+    return _session_events(spark, _events(spark, folder))
+
+
+def _session_events(spark, e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     schema = spark.createDataFrame([], SESSION_EVENT).schema
     log = e.select(
@@ -313,6 +317,18 @@ def recent_sessions(spark, folder):
     return calibrate.recent_sessions(_session_log(spark, folder), "C3", 20)
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS q, event_type AS t, value, epoch_us(ts) AS us FROM events)
+SELECT session_id, max(CASE WHEN t = 'click' THEN 'C' || (CAST(session_id AS BIGINT) % 5) END) AS course_code, arg_max(CASE t WHEN 'error' THEN 'failed' ELSE 'completed' END, q) FILTER (t IN ('error', 'purchase')) AS status, arg_max(value, q) FILTER (t = 'purchase') AS confidence,
+CAST(max(q) FILTER (t = 'purchase') AS VARCHAR) AS config_id, max(CASE WHEN t = 'view' THEN 'running' END) AS extraction, min(us) AS created_us, max(us) AS updated_us, count(*) AS n_events FROM e GROUP BY 1""")
+def streamed_sessions(spark, folder):
+    given = load(spark, folder, "events")
+    stream = spark.readStream.schema(given.schema).parquet(f"{folder}/events.parquet*")
+    at = _scratch(spark)
+    sessions.running(sessions.states(_session_events(spark, stream)), f"{at}/states", f"{at}/checkpoint").awaitTermination()
+    out = sessions.latest(spark.read.parquet(f"{at}/states"))
+    return out.select("session_id", "course_code", "status", "confidence", "config_id", F.col("phases.extraction").alias("extraction"), "created_us", "updated_us", "n_events")
+
+
 # -- weeks ------------------------------------------------------------------------------------
 
 

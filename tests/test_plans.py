@@ -331,3 +331,36 @@ def test_a_document_is_decoded_once(spark, tmp_path):
     assert (words.count(), rects.count(), pages.count(), [tuple(r) for r in errors.collect()]) == (4, 0, 4, [("f2", "ValueError: broken")])
     assert open(calls).read() == "x" * 5
     assert "PartitionFilters: [isnotnull(kind" in words._jdf.queryExecution().toString()
+
+
+def test_streamed_sessions_are_those_of_the_whole_log(spark, tmp_path):
+    import datetime as dt
+
+    from chronogrid.schemas import SESSION_EVENT
+    from chronogrid.streaming import sessions
+
+    rng = random.Random(9)
+    day = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(12):
+        for seq in range(rng.randint(1, 9)):
+            at = day + dt.timedelta(minutes=10 * seq + rng.randrange(8))
+            rows.append((f"s{k}", seq, rng.choice((None, f"C{k}")), rng.choice((None, None, "completed", "failed")), rng.choice((None, "extraction", "report")), rng.choice(("running", "completed")), rng.choice((None, f"id{seq}")), rng.choice((None, seq / 8)), None, None, at))
+    rows += [("quiet", 0, "Q", "in_progress", "extraction", "running", None, None, None, None, day), ("busy", 0, "B", "in_progress", "extraction", "running", None, None, None, None, day)]
+    late = [("busy", 1, None, None, "extraction", "completed", None, None, None, None, day + dt.timedelta(hours=40)), ("new", 0, "N", "in_progress", None, None, None, None, None, None, day + dt.timedelta(hours=40))]
+    log = spark.createDataFrame(rows + late, SESSION_EVENT)
+    rng.shuffle(rows)
+    src, parts = tmp_path / "in", [rows[:30], rows[30:] + rows[:7], late]  # in any order, some twice
+    for part in parts:
+        spark.createDataFrame(part, SESSION_EVENT).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(log.schema).parquet(str(src))
+        sessions.running(sessions.states(stream, "2 hours", "1 day"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.session_id: r for r in sessions.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {r.session_id: r for r in calibrate.sessions(log).collect()}
+    assert set(got) == set(want)
+    us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    for k, w in want.items():
+        g = got[k]
+        assert (g.course_code, g.config_id, g.confidence, g.report, g.phases) == (w.course_code, w.config_id, w.confidence, w.report, w.phases or {})
+        assert (g.created_us, g.updated_us) == (us(w.created_at), us(w.updated_at))
+        assert g.status == ("failed" if k == "quiet" else w.status) and g.timed_out == (k == "quiet")
