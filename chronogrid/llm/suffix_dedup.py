@@ -443,12 +443,13 @@ def cut_out(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
         g = gone[s:e]
         stays = b.data[s:e][~g].tobytes()
         spans = int(g[:1].sum()) + int(np.count_nonzero(g[1:] & ~g[:-1])) if e > s else 0
-        rows.append((None if i == NO_ID else i, e - s, e - s - len(stays), spans, hashlib.sha256(stays).hexdigest(), stays.decode("utf-8", "ignore") if with_text else None))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), zip(*rows), kinds)})
+        text = (hashlib.sha256(b.data[s:e]).hexdigest(), stays.decode("utf-8", "ignore")) if with_text else (None, None)
+        rows.append((None if i == NO_ID else i, e - s, e - s - len(stays), spans, hashlib.sha256(stays).hexdigest(), *text))
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(OUT.items(), zip(*rows))})
 
 
-OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text_sha256": pa.string(), "kept": pa.string()}
+OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept string"
 
 
 def range_splitters(docs: DataFrame, total: int, ranges: int, samples: int) -> Ranges:
@@ -503,7 +504,9 @@ def exchange(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, part_bytes: int = 8 << 20, range_bytes: int = 8 << 20, samples: int = 16, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text of every document (a character that lost some of its bytes goes whole).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    If asked for, with text_sha256, of the whole text, and kept, the text that stays (a character that lost some of its bytes goes whole).
 
     Hashes meet in parts and suffixes in ranges, each for so many bytes of text. A
     row of either exchange holds what one block has for one part or range: blocks
@@ -511,6 +514,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     by_block, runs = exchange(df, id_col, text_col, block_bytes, part_bytes, range_bytes, samples)
     found = runs.groupBy("range").applyInArrow(settle, "block long, windows binary")
-    nothing = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))})
+    nothing = pa.table({n: pa.array([], k) for n, k in OUT.items()})
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(lambda d, f: cut_out(d, f, with_text) if d.num_rows else nothing, OUT_DDL)
-    return out if with_text else out.drop("kept")
+    return out if with_text else out.drop("text_sha256", "kept")

@@ -207,3 +207,15 @@ def docs_columns(spark, folder):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert minhash.Settings().percent == 80 and suffix_dedup.WINDOW == 50 and np.float64(0.95) == 0.95
+
+
+def test_rows_of_one_id_keep_their_own_columns(spark):
+    import cases
+
+    line = "a line of more than fifty bytes that several documents of this table have in common"
+    rows = [(1, f"first {line}", "en", "a"), (1, f"{line} second", "de", "b"), (2, f"third {line} end", "fr", "c"), (2, f"third {line} end", "fr", "c"), (None, f"{line}, no id", None, "d"), (3, None, "es", "e"), (4, "", None, None)]
+    docs = spark.createDataFrame([(i, t, lang, source, -1) for i, t, lang, source in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()), key=repr)
+    left = {n[4] for n in cases.removed([(i, t) for i, t, _, _ in rows])}
+    assert [(r[0], r[2], r[3]) for r in got] == [(i, lang, source) for i, _, lang, source in sorted(rows, key=lambda r: repr((r[0], next(g[1] for g in got if (g[0], g[2], g[3]) == (r[0], r[2], r[3])))))]
+    assert {hashlib.sha256(r[1].encode()).hexdigest() for r in got} == left and all(r[4] == len(r[1]) for r in got)
