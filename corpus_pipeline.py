@@ -7,8 +7,8 @@ No stage fails on nulls, empty texts, ties, repeated rows or an empty table:
 - toxicity keeps rows with a null text (scored as empty) or a null id;
 - near-duplicates keeps rows with a null id and, of repeated rows, one; rows with one id and
   different texts are one document, which stays or goes with all its texts;
-- repeated passages are cut from the text; a document that loses all its text stays, empty;
-  rows that share an id, or have none, take the least value of each other column among them;
+- repeated passages are cut from the text; a document that loses all its text stays, empty, and a
+  null text becomes empty; rows that share an id count as one document, each keeps its columns;
 - packing takes a null text as empty.
 """
 
@@ -42,11 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte stretches that a document with a smaller id has too."""
     bounded_batches(spark)
-    cut = suffix_dedup.deduplicate(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("kept").alias("cut_text"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = docs.groupBy("doc_id").agg(F.count("*").alias("_rows"), *(F.min(c).alias(c) for c in others))
-    out = cut.join(rest, F.col("cut_id").eqNullSafe(F.col("doc_id"))).withColumn("text", F.col("cut_text"))
-    if "n_chars" in others:
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    cut = suffix_dedup.deduplicate(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("text_sha256").alias("cut_sha"), F.col("kept").alias("cut_text"))
+    cut = cut.dropDuplicates(["cut_id", "cut_sha"])  # repeated rows lose the same
+    out = docs.withColumn("text_sha", sha).drop("text").join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_sha") == F.col("cut_sha"))).withColumn("text", F.col("cut_text"))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
