@@ -79,38 +79,29 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at:
     return _nearest(left, r, keys, left_at, most).select("_left.*", F.col("_best.id").alias(right_id), F.col("_best.d").alias("distance"))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, offset: float = 0, default_first: bool = False, bucket: float | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, bucket: float, offset: float = 0, default_first: bool = False) -> DataFrame:
     """left with the value of the last right row of its keys at or before ``left_at + offset``.
 
-    One union and one window over the keys; default_first takes the key's first
-    right row where none is early enough. With a bucket (a width of ``at``) the
-    window is over keys and bucket, so a hot key is not one task's sort, and a value
-    is carried into a bucket from the last one before that has any: a window over
-    one row for each key and bucket.
+    One union and one window over the keys and buckets of ``at`` of the given width, so
+    a hot key is not one task's sort; a value is carried into a bucket from the last one
+    before that has any, by a window over one row for each key and bucket.
+    default_first takes the key's first right row where none is early enough.
     """
     l = left.select("*", (F.col(left_at) + offset).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))  # noqa: E741
     r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v")).where("_at IS NOT NULL")
-    both = l.unionByName(r, allowMissingColumns=True)
-    parts = list(keys)
-    if bucket:
-        both, parts = both.withColumn("_b", F.floor(F.col("_at") / bucket)), [*keys, "_b"]
+    place = F.floor(F.col("_at") / bucket)
+    both, r, parts = l.unionByName(r, allowMissingColumns=True).withColumn("_b", place), r.withColumn("_b", place), [*keys, "_b"]
     upto = Window.partitionBy(*parts).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
-    found = F.col("_last")
-    if bucket or default_first:
-        if bucket:
-            r = r.withColumn("_b", F.floor(F.col("_at") / bucket))
-        of = r.where("_v IS NOT NULL").groupBy(*parts).agg(F.max_by("_v", "_at").alias("_latest"), F.min_by("_v", "_at").alias("_first"), F.min("_at").alias("_from"))
-        same = lambda d, names: d.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *names)
-        if default_first:
-            firsts = same(of.groupBy(*keys).agg(F.min_by("_first", "_from").alias("_first")), ["_first"])
-            out = out.join(firsts, [out[k].eqNullSafe(firsts[f"_k{i}"]) for i, k in enumerate(keys)], "left")
-        if bucket:
-            before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-            places = both.select(*parts).distinct().join(of.select(*(F.col(k).alias(f"_p{i}") for i, k in enumerate(parts)), "_latest"), [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(parts)], "left")
-            carried = same(places.withColumn("_carried", F.last("_latest", ignorenulls=True).over(before)), [F.col("_b").alias("_kb"), "_carried"])
-            out = out.join(carried, [*(out[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)), out["_b"] == carried["_kb"]], "left")
-            found = F.coalesce(found, "_carried")
-        if default_first:
-            found = F.coalesce(found, "_first")
+    of = r.where("_v IS NOT NULL").groupBy(*parts).agg(F.max_by("_v", "_at").alias("_latest"), F.min_by("_v", "_at").alias("_first"), F.min("_at").alias("_from"))
+    same = lambda d, names: d.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *names)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    places = both.select(*parts).distinct().join(of.select(*(F.col(k).alias(f"_p{i}") for i, k in enumerate(parts)), "_latest"), [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(parts)], "left")
+    carried = same(places.withColumn("_carried", F.last("_latest", ignorenulls=True).over(before)), [F.col("_b").alias("_kb"), "_carried"])
+    out = out.join(carried, [*(out[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)), out["_b"] == carried["_kb"]], "left")
+    found = F.coalesce("_last", "_carried")
+    if default_first:
+        firsts = of.groupBy(*keys).agg(F.min_by("_first", "_from").alias("_first")).select(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)), "_first")
+        out = out.join(firsts, [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)], "left")
+        found = F.coalesce("_last", "_carried", "_first")
     return out.select(*left.columns, found.alias(value))

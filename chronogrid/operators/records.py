@@ -14,10 +14,11 @@ def filter_resources(df: DataFrame, res_type: str | None = None, faculty: str |
     """Conjunction of optional predicates, then a limit (0 or None: all).
 
     Type is equal in any case, faculty and department contain the value in any
-    case, and the name contains one of the codes in any case.
+    case, and the name contains one of the codes in any case. A type alone is no
+    filter where not all resources are asked for.
     """
-    if not all_resources and not (res_type or faculty or dept or codes):
-        raise ValueError("give a filter, or ask for all resources")
+    if not all_resources and not (faculty or dept or codes):
+        raise ValueError("give a faculty, a department or codes, or ask for all resources")
     if res_type:
         df = df.where(F.lower("type") == res_type.lower())
     for column, value in (("faculty", faculty), ("dept", dept)):

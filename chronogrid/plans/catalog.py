@@ -98,7 +98,7 @@ def nearest_within_tolerance(spark, folder):
 def asof_offset(spark, folder):
     e = _events(spark, folder)
     views = e.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "us")
-    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 50_000_000, bucket=86_400_000_000).select("event_id", "view_id")
+    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 86_400_000_000, 50_000_000).select("event_id", "view_id")
 
 
 @query(f"""WITH v AS (SELECT * FROM {E} WHERE event_type = 'view'), f AS (SELECT user_id, arg_min(event_id, us) AS first_id FROM v GROUP BY 1)
@@ -106,7 +106,7 @@ SELECT c.event_id, coalesce(v.event_id, f.first_id) AS view_id FROM (SELECT * FR
 def asof_first_default(spark, folder):
     e = _events(spark, folder)
     views = e.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "us")
-    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 0, True).select("event_id", "view_id")
+    return nearest.asof(e.where("event_type = 'click'").select("event_id", "user_id", "us"), views, ["user_id"], "us", "us", "view_id", 86_400_000_000, default_first=True).select("event_id", "view_id")
 
 
 @query(f"SELECT event_id, us AS start_us, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us + 50) AS end_us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS idx FROM {E}")
@@ -201,6 +201,13 @@ def resource_filter_topk(spark, folder):
     return records.filter_resources(p, dept="BRAND#1", codes=["a", "7"], limit=25)
 
 
+@query("""SELECT p_partkey AS id, ['Module', 'room', 'STAFF'][CAST(p_partkey % 3 + 1 AS BIGINT)] AS type, p_name AS name, p_brand AS dept, CASE WHEN p_size % 5 <> 0 THEN 'Faculty of ' || p_type END AS faculty FROM part WHERE p_partkey % 3 = 0 AND contains(lower('Faculty of ' || p_type), 'of s') AND p_size % 5 <> 0""")
+def resources_of_a_faculty(spark, folder):
+    kind = F.get(F.array(*map(F.lit, ("Module", "room", "STAFF"))), (F.col("p_partkey") % 3).cast("int"))
+    p = load(spark, folder, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("dept"), F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("Faculty of "), "p_type")).alias("faculty"))
+    return records.filter_resources(p, res_type="mODULE", faculty="OF S", all_resources=False)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def topk_recent(spark, folder):
     return records.recent(load(spark, folder, "orders"), "o_orderdate", "o_orderkey", 20, F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
@@ -284,6 +291,23 @@ def parse_block(spark, folder):
     return load(spark, folder, "part").select("p_partkey", text.parse_block(t).alias("p")).select("p_partkey", "p.*")
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Clinic' WHEN 3 THEN 'Ward' END AS type, CASE WHEN p_partkey % 4 IN (0, 3) THEN 'SUM W1-SUM W' || p_size ELSE 'S1W1-S1W' || p_size END AS weeks, CASE WHEN p_partkey % 2 = 0 THEN p_size WHEN p_size % 2 = 1 THEN 2 END AS week_count,
+CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_brand END AS course, CASE WHEN p_size % 2 = 0 THEN p_name END AS staff, CASE WHEN p_size % 3 > 0 THEN 'R' || p_size END AS room FROM part""")
+def parse_block_edges(spark, folder):
+    """Configured types (one ends in no letter, so it is no word), summer weeks, fields said twice (the last counts, even if it is empty)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    kind = F.get(F.array(*map(F.lit, ("ward and clinic", "C++ lecture", "Lecture", "on the WARD"))), (k % 4).cast("int"))
+    span = F.when((k % 4).isin(0, 3), F.concat(F.lit(" SUM W1-SUM W"), s(size))).otherwise(F.concat(F.lit(" S1W1-\n S1W"), s(size)))
+    count = F.when(k % 2 == 0, F.concat(F.lit(" [="), s(size), F.lit("]"))).otherwise(" [=?]")
+    course = F.concat(F.lit(" Course: old Course: "), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, F.col("p_brand")).otherwise(""))
+    staff = F.concat(F.lit(" Staff: "), F.when(size % 2 == 0, F.concat(F.lit("gone Staff: "), "p_name", F.lit(" Wks 1-3"))).otherwise("someone Staff: [=2]"))
+    room = F.concat(F.lit(" Room: "), F.when(size % 3 > 0, F.concat(F.lit("R"), s(size), F.lit(" E "))).otherwise(""))
+    t = F.concat(kind, F.lit(","), span, count, course, staff, room)
+    types = F.array(*map(F.lit, ("Clinic", "C++", "Ward")))
+    return load(spark, folder, "part").select("p_partkey", text.parse_block(t, types).alias("p")).select("p_partkey", "p.type", "p.weeks", "p.week_count", "p.course", "p.staff", "p.room")
+
+
 @query(f"""WITH t AS (SELECT event_id, minute, CAST(minute // 60 AS INTEGER) AS h, CAST(minute % 60 AS INTEGER) AS m FROM {E})
 SELECT event_id, minute AS minutes, minute AS minutes_ui, printf('%02d:%02d', h, m) AS clock, (CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END) || ':' || printf('%02d', m) || CASE WHEN h >= 12 THEN ' PM' ELSE ' AM' END AS label,
 printf('%02d:%02d', CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END, m) || CASE WHEN h >= 12 THEN ' PM' ELSE ' AM' END AS shown, CASE WHEN minute < 480 OR minute > 1320 THEN -1 ELSE CAST((minute - 480) // 30 AS INTEGER) END AS slot FROM t""")

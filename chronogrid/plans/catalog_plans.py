@@ -459,6 +459,31 @@ def rounded_measures(spark, folder):
     return load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", exact_round(price * F.col("l_discount").cast("double") / 7, 2).alias("two"), exact_round(quantity / 8, 2).alias("eighths"), exact_round(price / 3, 4).alias("four"), exact_round(-quantity / 4, 1).alias("below"))
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'module' ELSE '' END AS type, '/r/' || p_partkey AS link, p_name || ' & more' AS name, p_brand AS dept, CASE WHEN p_partkey % 3 = 0 THEN '<' || p_type || '>' ELSE '' END AS faculty FROM part""")
+def xml_files(spark, folder):
+    """Index files of many resources, read by the element of a row."""
+    k = F.col("p_partkey").cast("string")
+    x = F.concat(F.lit('<resource id="'), k, F.when(F.col("p_partkey") % 2 == 0, F.lit('" type="module"')).otherwise(F.lit('"')), F.lit(' link="/r/'), k, F.lit('">\n  <name> '), text.escape_html(F.concat("p_name", F.lit(" & more"))), F.lit(" </name><dept>"), "p_brand", F.lit("</dept>"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<faculty>&lt;"), "p_type", F.lit("&gt;</faculty>"))).otherwise(F.lit("<other/>")), F.lit("</resource>"))
+    path = _scratch(spark)
+    whole = F.concat(F.lit("<resources>"), F.array_join(F.collect_list(x), "\n"), F.lit("</resources>"))
+    load(spark, folder, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(whole.alias("value")).write.partitionBy("file").text(path)
+    return resources.read(spark, path)
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, 'w' || (p_partkey // 4) AS file, CAST(p_partkey % 4 + 1 AS INTEGER) AS page FROM part)
+SELECT file, page, 0 AS cluster_idx, 250e0 AS y_top, 1 AS n_words FROM b WHERE k % 3 > 0 UNION ALL SELECT file, page, 2, 250e0, CASE k % 3 WHEN 1 THEN 1 ELSE 2 END FROM b WHERE k % 3 > 0""")
+def words_of_two_blocks(spark, folder):
+    """Two boxes over one word, which is in both blocks; on some pages a second word is in one only, on others there is none, and so no block; a third box never has words."""
+    k = F.col("p_partkey")
+    p = load(spark, folder, "part").select(k, F.concat(F.lit("w"), F.floor(k / 4).cast("string")).alias("file"), (k % 4 + 1).cast("int").alias("page"))
+    word = lambda t, x, top: F.struct(F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(x + 20).alias("x1"), F.lit(top).alias("top"), F.lit(top + 8).alias("bottom"))
+    box = lambda x0, x1, top: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(top).alias("top"), F.lit(top + 10).alias("bottom"), F.lit(x1 - x0).alias("width"), F.lit(True).alias("fill"))
+    words = _cast(_rows(p, ["file", "page"], [F.when(k % 3 > 0, word("both", 120.0, 250.0)), F.when(k % 3 == 2, word("one", 192.0, 260.0)), word("far", 700.0, 20.0)]), WORDS)
+    rects = _cast(_rows(p, ["file", "page"], [box(100.0, 200.0, 150.0), box(115.0, 230.0, 200.0), box(400.0, 500.0, 150.0)]), RECTS)
+    limits = layout.with_limits(_cast(p.select("file", "page", F.lit(800.0).alias("width"), F.lit(600.0).alias("height")), PAGES))
+    return layout.blocks(words, layout.boxes(rects, limits), limits).select("file", "page", "cluster_idx", "y_top", F.size("words").alias("n_words"))
+
+
 def _outline(content: bytes) -> Iterator[dict]:
     """A page's list items as words and its paragraphs as boxes, two paragraphs a page; a page that breaks off cannot be read to its end."""
     html = content.decode()

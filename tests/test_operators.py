@@ -208,12 +208,12 @@ def test_nearest_within_keeps_every_row(spark):
     assert sorted(((r.v, r.nearest_label, r.nearest_distance) for r in rows), key=str) == sorted([(1.5, "x", 0.5), (1.5, "x", 0.5), (9.0, None, None), (None, None, None)], key=str)
 
 
-@pytest.mark.parametrize("offset, default_first, bucket", [(0, False, None), (7, True, None), (0, False, 10), (7, True, 10), (-5, True, 1000)])
+@pytest.mark.parametrize("offset, default_first, bucket", [(0, False, 3), (7, True, 100_000), (0, False, 10), (7, True, 10), (-5, True, 1000)])
 def test_asof_against_loop(spark, offset, default_first, bucket):
     rng = random.Random(23)
     left = [(rng.choice("abc") if rng.random() < 0.9 else None, rng.randrange(100), i) for i in range(120)]
     right = [(rng.choice("ab"), t, 1000 + t) for t in rng.sample(range(10, 100), 40)] + [(None, 50, 5000)]
-    got = {r.i: r.v for r in nearest.asof(spark.createDataFrame(left, "k string, t int, i int").repartition(4), spark.createDataFrame(right, "k string, t int, v int"), ["k"], "t", "t", "v", offset, default_first, bucket).collect()}
+    got = {r.i: r.v for r in nearest.asof(spark.createDataFrame(left, "k string, t int, i int").repartition(4), spark.createDataFrame(right, "k string, t int, v int"), ["k"], "t", "t", "v", bucket, offset, default_first).collect()}
     for k, t, i in left:
         mine = sorted((u, v) for kk, u, v in right if kk == k)
         before = [v for u, v in mine if u <= t + offset]
