@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import cases
 import duckdb
@@ -58,12 +59,44 @@ def test_ratios_against_counting():
     of_text = [f.of(t) for t in texts]
     assert [len(x) for x in of_text] == [len(g) for g in grams]
     got = toxicity.ratios(of_text, y, 24)
-    for g in set().union(*grams):
+    feature = {g: int(f.of(g)[-1]) for g in sorted(set().union(*grams))}  # the last one of an n-gram's is its own
+    met = Counter(feature.values())
+    own = [g for g in feature if met[feature[g]] == 1]  # of 2**24 features hardly any is two n-grams'
+    assert len(own) > 0.995 * len(feature) and {len(g) for g in own} == set(toxicity.SIZES)
+    for g in own:
         share = [(sum(g in x for x, label in zip(grams, y) if label == c) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)]
-        assert abs(got[f.of(g)[-1]] - np.log(share[1] / share[0])) < 1e-9 or len(g) > 3
+        assert abs(got[feature[g]] - np.log(share[1] / share[0])) < 1e-9
     assert len(f.of("")) == len(f.of("ab")) == 0 and len(f.of("abab" * 9000)) == 6
 
 
+def test_fit_against_plain_gradient_descent():
+    """The same model over n-grams as strings, each a column, fitted until it stands still."""
+    rng = random.Random(23)
+    word = lambda low, high: "".join(chr(97 + rng.randint(low, high)) for _ in range(4))
+    texts = [" ".join([*(word(0, 9) for _ in range(8)), *(word(8, 13) for _ in range(rng.randint(0, 2) + 2 * (i % 4 == 0)))]) for i in range(160)]
+    y = np.array([i % 4 == 0 for i in range(160)], float)
+    grams = [{t[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)} for t in texts]
+    column = {g: k for k, g in enumerate(sorted(set().union(*grams[:120])))}
+    x = np.zeros((160, len(column)))
+    for row, found in zip(x, grams):
+        row[[column[g] for g in found if g in column]] = 1
+    train, label = x[:120], y[:120]
+    counts = [train[label == c].sum(0) for c in (0, 1)]
+    ratio = np.log((counts[1] + 0.5) / (label.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - label).sum() + 1))
+    scaled = train * ratio
+    scale = np.sqrt((scaled**2).sum() / len(label))
+    w, b, share = np.zeros(len(column)), 0.0, np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+    for _ in range(4000):
+        error = share * (1 / (1 + np.exp(-(scaled @ w / scale + b))) - label)
+        w -= 0.5 * (scaled.T @ error / scale + 1e-4 * w)
+        b -= 0.5 * error.sum()
+    plain = x @ (ratio * w) / scale + b
+    model = toxicity.fit(texts[:120], label.astype(int).tolist(), bits=22)
+    got = toxicity.margins(texts, model, toxicity.Features(22))
+    assert np.corrcoef(got, plain)[0, 1] > 0.95
+    assert ((got > 0) == (plain > 0))[:120].mean() > 0.98 and ((got > 0) == (plain > 0))[120:].mean() > 0.9
+
+
 def test_toxicity_in_other_scripts_and_repeated_ids(spark):
     rng = random.Random(22)
     word = lambda: "".join(rng.choice("тестовыйпример") for _ in range(5))
