@@ -42,10 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte stretches that a document with a smaller id has too."""
     bounded_batches(spark)
+    # one key of id and text, never null, so that repeats are dropped and rows joined in one exchange of the texts
+    key = lambda i, sha: F.concat_ws("-", F.coalesce(i.cast("string"), F.lit("none")), sha)
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    cut = suffix_dedup.deduplicate(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("text_sha256").alias("cut_sha"), F.col("kept").alias("cut_text"))
-    cut = cut.dropDuplicates(["cut_id", "cut_sha"])  # repeated rows lose the same
-    out = docs.withColumn("text_sha", sha).drop("text").join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_sha") == F.col("cut_sha"))).withColumn("text", F.col("cut_text"))
+    cut = suffix_dedup.deduplicate(docs, with_text=True).select(key(F.col("doc_id"), F.col("text_sha256")).alias("cut_key"), F.col("kept").alias("cut_text"))
+    rest = docs.withColumn("cut_key", key(F.col("doc_id"), sha)).drop("text")
+    out = rest.join(cut.dropDuplicates(["cut_key"]), "cut_key").withColumn("text", F.col("cut_text"))  # repeated rows lose the same
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
