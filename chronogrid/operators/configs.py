@@ -9,6 +9,7 @@ from ..functions.keys import weekday
 from ..functions.numbers import exact_round
 from ..functions.text import confidence_class
 from ..functions.times import bare_time, minutes
+from ..functions.values import bound
 from ..schemas import CONFIG, DAYS
 
 # What a configuration has where nothing better is known.
@@ -36,14 +37,14 @@ def with_defaults(section: Column, defaults: Column, names: tuple[str, ...]) ->
 def derived_columns(entries: Column) -> Column:
     """Equal day columns in the order in which days are first met; an array of structs (day, left, right)."""
     days = F.array_distinct(F.filter(F.transform(entries, lambda e: weekday(e["day"])), lambda d: d.isNotNull()))
-    n = F.size(days)
-    return F.transform(days, lambda d, i: F.struct(d.alias("day"), exact_round(i / n, 4).alias("left"), exact_round((i + 1) / n, 4).alias("right")))
+    edge = lambda i, n: bound(i / n, lambda x: exact_round(x, 4))
+    return bound(days, lambda ds: F.transform(ds, lambda d, i: F.struct(d.alias("day"), edge(i, F.size(ds)).alias("left"), edge(i + 1, F.size(ds)).alias("right"))))
 
 
 def day_columns(columns: Column) -> Column:
     """The array form as a struct with a nullable column for each week day."""
-    one = lambda d: F.get(F.filter(columns, lambda c: c["day"] == d), F.lit(0))
-    return F.struct(*(F.when(one(d).isNotNull(), F.struct(one(d)["left"].alias("left"), one(d)["right"].alias("right"))).alias(d) for d in DAYS))
+    one = lambda cs, d: F.get(F.transform(F.filter(cs, lambda c: c["day"] == d), lambda c: F.struct(c["left"].alias("left"), c["right"].alias("right"))), F.lit(0))
+    return bound(columns, lambda cs: F.struct(*(one(cs, d).alias(d) for d in DAYS)))
 
 
 def derived_slots(entries: Column, twelve_hours: bool = True) -> Column:
@@ -63,7 +64,8 @@ def derived_slots(entries: Column, twelve_hours: bool = True) -> Column:
 
     rows = F.transform(usable, lambda e, i: F.struct(label(e).alias("label"), fraction(e["start_time"]).alias("top"), fraction(F.coalesce(e["end_time"], F.lit(""))).alias("bottom"), i.alias("i")))
     rows = F.filter(rows, lambda r: r["top"].isNotNull() & r["bottom"].isNotNull())
-    first = F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["label"]), r["label"]) == i + 1)
+    by_label = F.array_sort(F.transform(rows, lambda r: F.struct(r["label"].alias("label"), r["i"].alias("i"), r["top"].alias("top"), r["bottom"].alias("bottom"))))
+    first = bound(by_label, lambda rs: F.filter(rs, lambda r, k: (k == 0) | (F.get(rs, k - 1)["label"] != r["label"])))
     ordered = F.array_sort(F.transform(first, lambda r: F.struct(r["top"].alias("top"), r["i"].alias("i"), r["bottom"].alias("bottom"), r["label"].alias("label"))))
     return F.transform(ordered, lambda r: F.struct(r["label"].alias("label"), r["top"].alias("top"), r["bottom"].alias("bottom")))
 
@@ -118,7 +120,11 @@ def compare_days(a: Column, b: Column) -> Column:
 
 def compare(a: Column, b: Column) -> Column:
     """Region differences (a - b), slot-count difference, day comparison and the sections that changed."""
-    deltas = F.struct(*(exact_round(a["page_regions"][r] - b["page_regions"][r], 4).alias(r) for r in REGIONS))
     sections = ("page_regions", "day_columns", "time_slot_map", "text_patterns")
-    changed = F.array_compact(F.array(*(F.when(~a[s].eqNullSafe(b[s]), F.lit(s)) for s in sections)))
-    return F.struct(deltas.alias("region_deltas"), (F.size(a["time_slot_map"]) - F.size(b["time_slot_map"])).alias("slot_delta"), compare_days(a, b).alias("days"), changed.alias("changed"))
+
+    def compared(a: Column, b: Column) -> Column:
+        deltas = F.struct(*(bound(a["page_regions"][r] - b["page_regions"][r], lambda x: exact_round(x, 4)).alias(r) for r in REGIONS))
+        changed = F.array_compact(F.array(*(F.when(~a[s].eqNullSafe(b[s]), F.lit(s)) for s in sections)))
+        return F.struct(deltas.alias("region_deltas"), (F.size(a["time_slot_map"]) - F.size(b["time_slot_map"])).alias("slot_delta"), compare_days(a, b).alias("days"), changed.alias("changed"))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda both: compared(both["a"], both["b"]))

@@ -17,7 +17,7 @@ from ..functions import keys, text, times
 from ..functions.numbers import exact_round
 from ..operators import configs, layout, nearest, records
 from ..schemas import CONFIG, CONFIG_DOCUMENT, PAGES, RECTS, SESSION_EVENT, SLOTS, WORDS
-from ..session import load, shared_dir
+from ..session import load, shared_dir, spread
 from ..sinks import files
 from ..sources import pages as pages_source
 from ..sources import resources
@@ -216,7 +216,7 @@ def _generated(spark, folder) -> DataFrame:
     am = lambda m: F.concat(h, F.lit(f":{m} AM"))
     entries = F.array(_entry("Tues", F.lit("02:00 PM"), F.lit("03:00 PM")), _entry("Mon", am("00"), am("30")), _entry("tuesday", F.lit("02:00 PM"), F.lit("03:00 PM")))
     reply = F.when(F.col("p_partkey") % 2 == 0, F.lit('Here: {"confidence": 0.9, "layout_signature": "v1"}')).otherwise(F.lit("no reply"))
-    df = load(spark, folder, "part").select("p_partkey", F.struct(entries.alias("entries")).alias("extraction"), text.parse_json(reply, CONFIG).alias("layout"))
+    df = spread(load(spark, folder, "part"), "p_partkey").select("p_partkey", F.struct(entries.alias("entries")).alias("extraction"), text.parse_json(reply, CONFIG).alias("layout"))
     return configs.generate(df, "extraction", "layout").select("p_partkey", "config")
 
 
@@ -237,7 +237,9 @@ _H = "lpad(CAST(p_size % 11 + 1 AS VARCHAR), 2, '0')"
 @query(f"""SELECT p_partkey, 0 AS place, {_H} || ':00 AM - ' || {_H} || ':30 AM' AS label, (p_size % 11 + 1) * 60 / 1440 AS top, ((p_size % 11 + 1) * 60 + 30) / 1440 AS bottom FROM part
 UNION ALL SELECT p_partkey, 1, '02:00 PM - 03:00 PM', 840 / 1440, 900 / 1440 FROM part""")
 def derived_slots(spark, folder):
-    return _generated(spark, folder).select("p_partkey", F.posexplode("config.time_slot_map").alias("place", "s")).select("p_partkey", "place", "s.*")
+    # outer, as Spark else infers a filter that there are slots, and makes all of them for it once more in the scan's few tasks
+    rows = _generated(spark, folder).select("p_partkey", F.posexplode_outer("config.time_slot_map").alias("place", "s")).where("place IS NOT NULL")
+    return rows.select("p_partkey", "place", "s.*")
 
 
 @query(f"""SELECT CAST(p_partkey AS VARCHAR) AS config_id, upper(p_brand) AS course_code, 1 AS version, 'draft' AS status, 2 AS n_days, 'monday, tuesday' AS days, 2 AS n_slots, {_H} || ':00 AM - ' || {_H} || ':30 AM' AS first_slot, '02:00 PM - 03:00 PM' AS last_slot, first_slot || ', 02:00 PM - 03:00 PM' AS slots_shown, 0 AS slots_more,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronogrid.operators import audit, configs, folds, nearest, overlap, records
+from chronogrid.schemas import CONFIG
 
 
 def test_cluster_case_and_shuffle(spark):
@@ -234,3 +235,35 @@ def test_supersede_ties_and_missing_keys(spark):
     df = spark.createDataFrame([("a", 1, "active"), ("a", 2, "draft"), ("a", 2, "active"), (None, 1, "active")], "k string, v int, s string")
     got = sorted((tuple(r) for r in records.supersede(df, "k", ["v"], "s", "active", "superseded").collect()), key=str)
     assert got == sorted([("a", 1, "superseded"), ("a", 2, "active"), ("a", 2, "active"), (None, 1, "active")], key=str)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_configuration_values_are_computed_once(spark):
+    """Days and slots of entries, and what is compared, stand once in the plan, and are not computed once more in a filter."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    schema = "entries array<struct<day:string,start_time:string,end_time:string>>"
+    df = spark.createDataFrame([([("Mon", "9:00 AM", "10:00 AM"), ("Fri", "8:00 AM", ""), ("mon", "9:00 AM", "10:00 AM"), (None, "08:00 AM", "09:00 AM"), ("Fri", None, "x")],), ([],), (None,)], schema)
+    days = df.select(configs.day_columns(configs.derived_columns(F.col("entries"))).alias("d"))
+    assert _plan(days).count("s+$") == 1
+    got = days.collect()
+    assert [got[0].d[k] and tuple(got[0].d[k]) for k in ("monday", "tuesday", "friday")] == [(0.0, 0.5), None, (0.5, 1.0)]
+    assert set(got[1].d) == set(got[2].d) == {None}
+    slots = df.select(configs.derived_slots(F.col("entries")).alias("s"))
+    assert _plan(slots).count("concat(") == 1
+    assert [r.s and [x.label for x in r.s] for r in slots.collect()] == [["08:00 AM - 09:00 AM", "9:00 AM - 10:00 AM"], [], None]
+    made = configs.generate(df.select(F.struct(F.array().cast("array<struct<day:string,start_time:string,end_time:string,room:string,activity_type:string,staff:string>>").alias("entries")).alias("e"), F.lit(None).cast(CONFIG).alias("l")), "e", "l").select("config")
+    other = F.col("config").withField("page_regions", F.col("config.page_regions").withField("table_top", F.lit(0.0321)))
+    compared = made.select(configs.compare(F.col("config"), other).alias("d"))
+    assert _plan(compared).count("0.0321") == 1
+    assert [(r.d.region_deltas.table_top, r.d.changed) for r in compared.collect()] == [(0.1179, ["page_regions"])] * 3
+
+
+def test_derived_slots_are_not_made_to_filter_the_scan(spark):
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()["derived_slots"](spark, "/root/testdata/sf0.001"))
+    scan = plan[plan.index("RepartitionByExpression"):]
+    assert "Filter" not in scan and "from_json" not in scan
