@@ -89,10 +89,12 @@ def islands(rects: DataFrame, keys: list[str], slack: float = 5, near: float = 3
     """
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("x0", "x1", "seq")
-    apart = F.col("x0") >= F.max("x1").over(before(across)) + slack
+    # each comparison as the fold makes it, as a sum and a difference are rounded apart: both must keep the rectangles asunder
+    right = F.max("x1").over(before(across))
+    apart = (F.col("x0") >= right + slack) & (right <= F.col("x0") - slack)
     out = rects.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("island", F.sum("_new").over(across))
     down = Window.partitionBy(*keys, "island").orderBy("top", "x0", "seq")
-    below = F.col("top") >= F.max("bottom").over(before(down)) + near
+    below = F.col("top") - F.max("bottom").over(before(down)) >= near
     return out.withColumn("_new", F.coalesce(below, F.lit(False)).cast("int")).withColumn("part", F.sum("_new").over(down)).drop("_new")
 
 
