@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import bound
+
 # Types looked for in a block, its labels, and what ends a value.
 ACTIVITY_TYPES = ("Lecture", "Lab", "Tutorial", "Postgraduate")
 FIELD = r"(?s)(Course|Staff|Room):\s*(.*?)(?=(?:Course|Staff|Room):|$)"
@@ -61,11 +63,14 @@ def group_label(t: Column) -> Column:
     return F.when(n != "", F.concat(F.lit("L"), n))
 
 
-def labelled_field(t: Column, name: str) -> Column:
-    """Text after the last 'name:' up to the next label or noise; empty is null."""
-    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(FIELD), 1).alias("k"), F.regexp_extract_all(t, F.lit(FIELD), 2).alias("v"))
-    mine = F.filter(pairs, lambda p: p["k"] == name)
-    return blank_to_null(F.regexp_replace(F.try_element_at(mine, F.lit(-1))["v"], NOISE, ""))
+def labelled_fields(t: Column) -> Column:
+    """Struct of course, staff and room: text after the last such label up to the next label or noise; empty is null.
+
+    The text is cut at its labels once for all three.
+    """
+    said = lambda cut, name: F.try_element_at(F.filter(cut, lambda x: x.startswith(f"{name}:")), F.lit(-1))
+    value = lambda cut, name: bound(strip(F.regexp_replace(F.substr(said(cut, name), F.lit(len(name) + 2)), NOISE, "")), lambda v: F.when(v != "", v))
+    return bound(F.regexp_extract_all(t, F.lit(FIELD), F.lit(0)), lambda cut: F.struct(*(value(cut, n).alias(n.lower()) for n in ("Course", "Staff", "Room"))))
 
 
 def room_name(v: Column) -> Column:
@@ -79,11 +84,14 @@ def parse_block(t: Column, types: Column | None = None) -> Column:
     Fields are read from the lines joined by blanks, with week ranges repaired, so
     none holds a line break; raw_text is the text as it stands, with its lines.
     """
-    raw, t = t, repair_weeks(F.replace(t, F.lit("\n"), F.lit(" ")))
-    return F.struct(
-        activity_type(t, types).alias("type"), weeks(t).alias("weeks"), week_count(t).alias("week_count"), labelled_field(t, "Course").alias("course"),
-        labelled_field(t, "Staff").alias("staff"), room_name(labelled_field(t, "Room")).alias("room"), group_label(t).alias("group_label"), raw.alias("raw_text"),
-    )
+
+    def fields(raw: Column, t: Column) -> Column:
+        return bound(labelled_fields(t), lambda said: F.struct(
+            activity_type(t, types).alias("type"), weeks(t).alias("weeks"), week_count(t).alias("week_count"), said["course"].alias("course"),
+            said["staff"].alias("staff"), room_name(said["room"]).alias("room"), group_label(t).alias("group_label"), raw.alias("raw_text"),
+        ))
+
+    return bound(t, lambda raw: bound(repair_weeks(F.replace(raw, F.lit("\n"), F.lit(" "))), lambda t: fields(raw, t)))
 
 
 def or_none_mark(c: Column) -> Column:

@@ -96,3 +96,11 @@ def test_exact_round_is_that_of_the_double(spark):
         assert [r[0] for r in df.select(exact_round(F.col("x"), places)).collect()] == [round(v, places) for v in values]
     odd = spark.createDataFrame([(None,), (math.inf,), (math.nan,)], "x double").select(exact_round(F.col("x"), 2).alias("x")).collect()
     assert odd[0].x is None and odd[1].x == math.inf and math.isnan(odd[2].x)
+
+
+def test_block_is_cut_at_its_labels_once(spark):
+    df = spark.createDataFrame([("Lab Course: a Staff: b Room: c 1 Course:  Wks 3 Staff: Doe, J (L2) x",), ("",), (None,)], "t string")
+    made = df.select(text.parse_block(F.col("t")).alias("p"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count(r"-\s+(S") == 1
+    assert [(r.p.type, r.p.course, r.p.staff, r.p.room, r.p.group_label) for r in made.collect()] == [("Lab", None, "Doe, J", "c", "L2"), (None,) * 5, (None,) * 5]
