@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from ..functions.values import bound
 
 BAND_OFFSET = 50.0
 
@@ -41,26 +44,40 @@ def day_at(y: Column, bands: Column, offset: float = BAND_OFFSET) -> Column:
     bands: array of structs (y_top, y_bottom, day, seq).
     """
     ordered = F.array_sort(F.transform(bands, lambda b: F.struct(b["y_top"].alias("y"), b["seq"].alias("seq"), b["day"].alias("day"))))
-    hit = F.try_element_at(F.filter(ordered, lambda b: b["y"] <= y + offset), F.lit(-1))
-    return F.coalesce(hit["day"], F.get(ordered, F.lit(0))["day"], F.lit("Unknown"))
+    last = lambda bs, limit: F.try_element_at(F.filter(bs, lambda b: b["y"] <= limit), F.lit(-1))
+    day = bound(F.struct(ordered.alias("bands"), (y + offset).alias("limit")), lambda v: F.coalesce(last(v["bands"], v["limit"])["day"], F.get(v["bands"], F.lit(0))["day"]))
+    return F.coalesce(day, F.lit("Unknown"))
 
 
 def _nearest(left: DataFrame, right: DataFrame, keys: list[str], x: str, cell: float) -> DataFrame:
-    """Each row of left, as a struct under its own number, with its nearest row of right (_at, _tie, _id) at most a cell away, or null.
+    """Each row of left, as a struct, with its nearest row of right (_at, _tie, _id) at most a cell away as _best (d, t, id), or null.
 
-    Both sides are dealt by cells of that width; a left row looks into its own and
-    the two next cells, so the join has an equality key at any size, and a hot key
-    is spread over its cells. The row's number is given once, before anything is
-    shuffled, so equal rows stay apart.
+    Both sides are dealt by keys and cells of that width, and sorted there: the nearest row
+    is the last at or before x or the first at or after it. Of equal places one row stays,
+    and the ends of a cell also stand in the next two (two, as a place just under a cell's
+    edge may be rounded over it), so a row meets two others and no pairs are made, however
+    many lie within a cell, and a hot key is spread over its cells.
     """
     place = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = F.array(*(place(x) + k for k in (-1, 0, 1)))
-    l = left.select(*keys, F.struct(*left.columns).alias("_left"), F.col(x).alias("_x"), cells.alias("_cells"), F.monotonically_increasing_id().alias("_row"))  # noqa: E741
-    l = l.withColumn("_cell", F.explode("_cells")).drop("_cells")  # noqa: E741
-    met = l.join(right.withColumn("_cell", place("_at")), [*keys, "_cell"], "left")
-    gap = F.abs(F.col("_x") - F.col("_at"))
-    best = F.min(F.when(gap <= cell, F.struct(gap.alias("d"), F.col("_tie").alias("t"), F.col("_id").alias("id"))))
-    return met.groupBy("_row").agg(F.first("_left").alias("_left"), best.alias("_best"))
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    r = right.where(finite("_at")).dropna(subset=keys).groupBy(*keys, "_at").agg(F.min(F.struct("_tie", "_id")).alias("_m"))
+    r = r.select(*keys, place("_at").alias("_cell"), F.struct("_at", F.col("_m._tie").alias("_tie"), F.col("_m._id").alias("_id")).alias("_r"))
+    ends = r.groupBy(*keys, "_cell").agg(F.min("_r").alias("_low"), F.max("_r").alias("_high"))
+    away = lambda end, steps: ends.select(*keys, F.explode(F.array(*(F.col("_cell") + k for k in steps))).alias("_cell"), F.col(end).alias("_r"))
+    r = r.unionByName(away("_high", (1, 2))).unionByName(away("_low", (-1, -2)))
+    # rows without a place have no cell: they are dealt anyhow, and sorted first
+    known = F.when(finite(x), F.col(x))
+    plain = [f.name for f in left.schema if isinstance(f.dataType, AtomicType)]
+    l = left.select(*keys, F.struct(*left.columns).alias("_left"), known.alias("_x"), F.xxhash64(*plain).alias("_any")).withColumn("_cell", F.coalesce(place("_x"), F.col("_any") % 100_000)).drop("_any")  # noqa: E741
+    both = l.withColumn("_side", F.lit(1)).unionByName(r.withColumns({"_x": F.col("_r._at"), "_side": F.lit(0)}), allowMissingColumns=True)
+    upto = lambda order: Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_before", F.last("_r", ignorenulls=True).over(upto(["_x", "_side"]))).withColumn("_after", F.last("_r", ignorenulls=True).over(upto([F.desc("_x"), "_side"])))
+
+    def candidate(side: str) -> Column:
+        gap = F.abs(F.col("_x") - F.col(f"{side}._at"))
+        return F.when(gap <= cell, F.struct(gap.alias("d"), F.col(f"{side}._tie").alias("t"), F.col(f"{side}._id").alias("id")))
+
+    return seen.where("_side = 1").select("_left", F.array_min(F.array(candidate("_before"), candidate("_after"))).alias("_best"))
 
 
 def nearest_in_table(left: DataFrame, x: str, points: DataFrame, at: str, label: str, cell: float, tie: str | None = None) -> DataFrame:
