@@ -9,7 +9,7 @@ from ..functions.keys import day_of_label
 from ..functions.times import display_time
 from ..schemas import BANDS, SLOTS
 from .folds import cluster_boxes
-from .overlap import next_lower
+from .overlap import next_lower_in
 
 PAGE = ["file", "page"]
 LABEL = r"^\d{2}:\d{2}[AP]M"
@@ -64,8 +64,11 @@ def day_bands(words: DataFrame, limits: DataFrame) -> DataFrame:
 def boxes(rects: DataFrame, limits: DataFrame, wide: float = 20) -> DataFrame:
     """Clusters of filled boxes with where each ends: keys, cluster_idx, x0, x1, top, bottom, y_bottom."""
     r = rects.join(limits.select(*PAGE, "rect_left"), PAGE).where(F.col("fill") & (F.col("x0") > F.col("rect_left")) & (F.col("width") > wide))
-    found = r.groupBy(*PAGE).agg(cluster_boxes(F.collect_list(F.struct("top", "x0", "seq", "x1", "bottom"))).alias("c")).select(*PAGE, F.posexplode("c").alias("cluster_idx", "b")).select(*PAGE, "cluster_idx", "b.*")
-    return next_lower(found, PAGE, "x0", "top", "cluster_idx")
+    made = r.groupBy(*PAGE).agg(cluster_boxes(F.collect_list(F.struct("top", "x0", "seq", "x1", "bottom"))).alias("c"))
+    ends = F.transform("c", lambda b: F.struct(*(b[n].alias(n) for n in ("first", "x0", "x1", "top", "bottom")), next_lower_in(F.col("c"), b).alias("y_bottom")))
+    # outer, as Spark else infers a filter that there are boxes, and folds and ends them for it once more
+    found = made.select(*PAGE, F.posexplode_outer(ends).alias("cluster_idx", "b")).where("cluster_idx IS NOT NULL")
+    return found.select(*PAGE, "cluster_idx", "b.*")
 
 
 def blocks(words: DataFrame, clusters: DataFrame, limits: DataFrame) -> DataFrame:

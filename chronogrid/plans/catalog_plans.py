@@ -39,6 +39,7 @@ def _laid_out(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, rects, pages with a config): a page for each item, four pages a file."""
     k, s = F.col("p_partkey"), F.col("p_size")
     p = load(spark, folder, "part").withColumns({"file": F.concat(F.lit("m"), F.floor(k / 4).cast("string"), F.lit(".pdf")), "page": (k % 4 + 1).cast("int"), "bx": 100.0 + 100 * (s % 3), "by": 150.0 + 150 * (k % 3)})
+    p = spread(p, "file", "page")
 
     def word(t: Column | str, x: Column | float, top: Column | float, width: float = 20.0) -> Column:
         t, x, top = (F.lit(v) if not isinstance(v, Column) else v for v in (t, x, top))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronogrid.operators import audit, configs, folds, nearest, overlap, records
+from chronogrid.operators import audit, configs, folds, layout, nearest, overlap, records
 from chronogrid.schemas import CONFIG
 
 
@@ -267,3 +267,40 @@ def test_derived_slots_are_not_made_to_filter_the_scan(spark):
     plan = _plan(entry.queries()["derived_slots"](spark, "/root/testdata/sf0.001"))
     scan = plan[plan.index("RepartitionByExpression"):]
     assert "Filter" not in scan and "from_json" not in scan
+
+
+def test_clusters_of_boxes_that_touch_by_rounding(spark):
+    """10.04 >= (0.04 + 5) + 5, but 0.04 + 5 > 10.04 - 5: the fold joins the two, so no island may part them."""
+    rows = [("f", 1, 0, 0.04, 0.04 + 5, 2.0, 6.0), ("f", 1, 1, 10.04, 10.04 + 5, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "file string, page int, seq int, x0 double, x1 double, top double, bottom double")
+    assert [(r.x0, r.x1) for r in folds.clusters(df).collect()] == [(0.04, 15.04)]
+
+
+def test_nearest_makes_no_pairs(spark):
+    """Many rows within one cell are sorted, not paired; places at cell edges, ties, equal rows, nulls and infinite places against a loop."""
+    rng = random.Random(7)
+    most = 25.0
+    left = [(i % 3, rng.choice([None, float("nan"), float("inf"), -1e-17, 24.999999999999996, 50.0, *[rng.randint(-90, 90) / 2 for _ in range(12)]]), i // 2) for i in range(400)]
+    right = [(rng.choice([0, 1, None]), rng.choice([None, float("nan"), float("inf"), 25.0, 49.99999999999999, *[rng.randint(-90, 90) / 2 for _ in range(5)]]), i) for i in range(60)]
+    l = spark.createDataFrame(left, "k int, x double, n int").repartition(3)  # noqa: E741
+    r = spark.createDataFrame(right, "k int, y double, id int").repartition(3)
+    want = []
+    for k, x, n in left:
+        near = [(abs(x - y), i) for q, y, i in right if q is not None and q == k and x is not None and y is not None and abs(x - y) <= most]
+        want.append((k, repr(x), n, *(min(near)[::-1] if near else (None, None))))
+    out = nearest.nearest_within(l, r, ["k"], "x", "y", most, "id")
+    assert sorted(((g.k, repr(g.x), g.n, g.id, g.distance) for g in out.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in _plan(out)
+
+
+def test_boxes_end_within_their_page(spark):
+    """y_bottom of each cluster is that of next_lower, with one grouping of the boxes in the plan."""
+    rng = random.Random(3)
+    rows = [("f", p, i, float(rng.randint(51, 400)), 0.0, float(rng.randint(0, 500)), 0.0, 60.0, True) for p in range(6) for i in range(rng.randint(1, 25))]
+    rects = spark.createDataFrame([(*r[:4], r[3] + 60, r[5], r[5] + 9, *r[7:]) for r in rows], "file string, page int, seq int, x0 double, x1 double, top double, bottom double, width double, fill boolean")
+    limits = layout.with_limits(spark.createDataFrame([("f", p, 800.0, 600.0) for p in range(6)], "file string, page int, width double, height double"))
+    made = layout.boxes(rects, limits)
+    assert _plan(made).count("collect_list") == 1
+    want = overlap.next_lower(made.drop("y_bottom"), layout.PAGE, "x0", "top", "cluster_idx")
+    keep = ["page", "cluster_idx", "x0", "x1", "top", "bottom", "y_bottom"]
+    assert sorted(made.select(keep).collect()) == sorted(want.select(keep).collect())
