@@ -131,6 +131,19 @@ def test_conflicts_of_a_hot_day(spark):
     assert alone.count() == sum(1 for a in rows for b in rows if a[0] < b[0] and a[3] < b[4] and b[3] < a[4])
 
 
+def test_conflicts_in_buckets_are_a_join(spark):
+    """No Python meets the pairs; times may have fractions, and an interval may end before it starts."""
+    rng = random.Random(31)
+    rows = [(k, rng.choice("MT"), rng.choice("abc"), s := rng.randrange(0, 2000) / 8, s + rng.choice([-3.5, 0.0, 0.25, 0.875, 7.0, 59.625, 130.125])) for k in range(300)]
+    rows += [(300, "M", "a", 0.5, 60.875), (301, "M", "b", 60.25, 61.0)]
+    df = spark.createDataFrame(rows, "i int, day string, course string, s double, e double")
+    want = sorted((a[0], b[0], a[1]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and a[3] < b[4] and b[3] < a[4])
+    for block_rows in (7, 2048):
+        got = overlap.conflicts(df, ["day"], "s", "e", "i", "course", 60, block_rows)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert "InArrow" not in _plan(got) and "Join Inner" in _plan(got)
+
+
 def test_nearest_and_days(spark):
     slots = F.expr("array(struct(100D as x_start, 200D as x_end, '08:00AM' as label, 0 as idx), struct(200D as x_start, 250D as x_end, '09:00AM' as label, 1 as idx))")
     df = spark.createDataFrame([(150.0,), (180.0,)], "x double")
