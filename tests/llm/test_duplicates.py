@@ -396,3 +396,75 @@ def test_lattice_points():
         step = rng.standard_normal(8)
         y = x[k] + step / np.linalg.norm(step) * reach * rng.random()
         assert (k, tuple(lattice.decode(y[None])[0].tolist())) in near
+
+
+def test_texts_are_shuffled_once_for_pairs_over_whole_texts(spark, monkeypatch):
+    """Pairs whose passages go on get the other text from its block: no table of texts is written and joined."""
+    names = []
+    monkeypatch.setattr(fuzzy_passages, "stored", lambda df, name: names.append(name) or df)
+    rng = random.Random(32)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    long = words(500)
+    rows = [(k, " ".join([*words(60), *(w if j % 15 != k else words(1)[0] for j, w in enumerate(long)), *words(60)])) for k in range(1, 4)]
+    found = fuzzy(spark, rows, block_bytes=6000)
+    assert names == ["passages"] and {(r[0], r[3]) for r in found} >= {(2, 1), (3, 1)} and all(r[2] - r[1] > 480 for r in found)
+
+
+def test_segments_of_many_pairs_at_once():
+    rng = np.random.default_rng(33)
+    at, ref, n, pair = (rng.integers(0, high, 600) for high in (60, 60, 9, 40))
+    seg, of = fuzzy_passages.segments(at, ref, n + 5, pair)
+    for p in range(40):
+        alone, _ = fuzzy_passages.segments(at[pair == p], ref[pair == p], n[pair == p] + 5)
+        assert seg[of == p].tolist() == alone.tolist()
+
+
+def test_hopeless_chains_have_no_passage():
+    """Chains that are left out give nothing, and all others of one segment go on or have enough equal words."""
+    rng = random.Random(34)
+    s, around = fuzzy_passages.Settings(), fuzzy_passages.AROUND
+    texts, rows = [], []
+    for k in range(400):
+        other = np.array([rng.randrange(10**6) for _ in range(rng.randrange(20, 140))], "<u4")
+        ref = rng.randrange(len(other) - 12)
+        at, share = rng.randrange(0, 90), rng.choice((0.1, 0.4, 0.55, 0.8))
+        mine = np.array([rng.randrange(10**6) for _ in range(at + 12 + rng.randrange(0, 90))], "<u4")
+        for j in range(len(mine)):
+            if 0 <= (q := ref + j - at) < len(other) and (at <= j < at + 10 or rng.random() < share):
+                mine[j] = other[q]
+        base, stop = max(0, at - around), min(len(mine), at + 10 + around)
+        texts.append(other)
+        rows.append((k, k, k, base, -1, -1, fuzzy_passages.pack(np.array([at, at + 10, ref, ref + 10])), mine[base:stop].tobytes()))
+    found = pa.table([list(c) for c in zip(*rows)], schema=fuzzy_passages.CHAIN)
+    size = np.array([len(x) for x in texts])
+    out = fuzzy_passages.hopeless(found, np.cumsum(size) - size, size, np.concatenate(texts), s)
+    for k, gone in enumerate(out.tolist()):
+        base, seg, mine = rows[k][3], fuzzy_passages.unpack(rows[k][6], 4).T, np.frombuffer(rows[k][7], "<u4")
+        on = fuzzy_passages.goes_on(seg, base, mine, texts[k])
+        enough = 100 * len(fuzzy_passages.equal_words(seg, base, mine, texts[k])[0]) >= s.percent * s.least_words
+        assert gone == (not on and not enough) and not (gone and fuzzy_passages.aligned(seg, base, mine, texts[k], s))
+    assert 50 < out.sum() < 350
+
+
+def test_certain_stretches_of_a_document():
+    """Against a mark for each word."""
+    rng = random.Random(35)
+    s = fuzzy_passages.Settings()
+    for _ in range(200):
+        size, chained = 400, []
+        for ref in range(rng.randrange(1, 25)):
+            at = sorted(rng.sample(range(size), 4))
+            seg = np.array([[x, y, x, y] for x, y in (at[:2], at[2:])[: rng.randrange(1, 3)]])
+            chained.append((ref, seg))
+        covered, want = np.zeros(size + 1, bool), {}
+        got = fuzzy_passages.needed(chained, size, s)
+        for ref, c, *_ in got:
+            start, end = int(c[0, 0]), int(c[-1, 1])
+            if covered[start:end].all():
+                before, after = np.flatnonzero(~covered[:start]), np.flatnonzero(~covered[end:])
+                want[ref] = (int(before[-1]) + 1 if len(before) else 0, end + int(after[0]))
+                continue
+            want[ref] = (-1, -1)
+            for x, y in c[:, :2].tolist():
+                covered[x:y] |= y - x >= s.least_words
+        assert {ref: (low, high) for ref, _, low, high in got} == want
