@@ -468,3 +468,14 @@ def test_certain_stretches_of_a_document():
             for x, y in c[:, :2].tolist():
                 covered[x:y] |= y - x >= s.least_words
         assert {ref: (low, high) for ref, _, low, high in got} == want
+
+
+def test_every_occurrence_of_a_frequent_seed(spark):
+    """Two documents share a passage whose only seeds are in a line that many have; few=None matches each with each."""
+    rng = random.Random(36)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, runs = words(15), [words(4) for _ in range(5)]
+    passage = lambda: [*line, *(w for r in runs for w in (*words(1), *r))]
+    rows = [(k, " ".join([*words(45), *(passage() if k > 30 else [*line, *words(25)]), *words(45)])) for k in range(1, 33)]
+    (r,) = fuzzy(spark, rows, few=None, block_bytes=6000)
+    assert (r[0], r[3]) == (32, 31) and r[1:3] == (45, 85) and r[6] == 35
