@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import EXPECTED_LABELS
 from ..functions.numbers import exact_round
+from ..session import meet
 
 TOLERANCE = 5.0
 LABEL = r"^\d{2}:\d{2}[AP]M"
@@ -78,7 +79,7 @@ def missing_labels(found: DataFrame, keys: list[str], label: str, expected: Colu
 
 def missing_headers(pages: DataFrame, headers: DataFrame, labels: tuple[str, ...] = EXPECTED_LABELS) -> DataFrame:
     """As missing_labels, over all pages, with pages that have no label at all."""
-    sets = pages.select("file", "page").join(headers.groupBy("file", "page").agg(F.collect_set("label").alias("found")), ["file", "page"], "left")
+    sets = meet(pages.select("file", "page"), headers.groupBy("file", "page").agg(F.collect_set("label").alias("found")), ["file", "page"], "left")
     lack = F.array_except(F.array(*map(F.lit, labels)), F.coalesce("found", F.array().cast("array<string>")))
     return sets.select("file", "page", lack.alias("missing")).where(F.size("missing") > 0)
 

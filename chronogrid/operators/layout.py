@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import day_of_label
 from ..functions.times import display_time
 from ..schemas import BANDS, SLOTS
+from ..session import meet
 from .folds import cluster_boxes
 from .overlap import next_lower_in
 
@@ -43,7 +44,7 @@ def with_limits(pages: DataFrame, config: str | None = None) -> DataFrame:
 
 def slot_rows(words: DataFrame, limits: DataFrame) -> DataFrame:
     """Hour slots as rows, labelled as 08:00 AM: each ends where the next starts, the last 50 points after its label."""
-    w = words.join(limits.select(*PAGE, "slot_low", "slot_high"), PAGE).where(F.col("top").between(F.col("slot_low"), F.col("slot_high")) & F.col("text").rlike(LABEL))
+    w = meet(words, limits.select(*PAGE, "slot_low", "slot_high"), PAGE).where(F.col("top").between(F.col("slot_low"), F.col("slot_high")) & F.col("text").rlike(LABEL))
     order = Window.partitionBy(*PAGE).orderBy("x0", "seq")
     return w.select(*PAGE, F.col("x0").alias("x_start"), F.coalesce(F.lead("x0").over(order), F.col("x1") + 50).alias("x_end"), display_time(F.col("text")).alias("label"), (F.row_number().over(order) - 1).alias("idx"))
 
@@ -56,14 +57,14 @@ def slots(words: DataFrame, limits: DataFrame) -> DataFrame:
 
 def day_bands(words: DataFrame, limits: DataFrame) -> DataFrame:
     """Day labels on the left edge as one array of bands for each page that has any."""
-    w = words.join(limits.select(*PAGE, "day_max"), PAGE).where((F.col("x0") < F.col("day_max")) & (F.col("x1") < F.col("day_max") + 20))
+    w = meet(words, limits.select(*PAGE, "day_max"), PAGE).where((F.col("x0") < F.col("day_max")) & (F.col("x1") < F.col("day_max") + 20))
     w = w.withColumn("day", day_of_label(F.col("text"))).where("day IS NOT NULL")
     return w.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("top").alias("y_top"), F.col("bottom").alias("y_bottom"), "day", "seq"))).cast(BANDS).alias("bands"))
 
 
 def boxes(rects: DataFrame, limits: DataFrame, wide: float = 20) -> DataFrame:
     """Clusters of filled boxes with where each ends: keys, cluster_idx, x0, x1, top, bottom, y_bottom."""
-    r = rects.join(limits.select(*PAGE, "rect_left"), PAGE).where(F.col("fill") & (F.col("x0") > F.col("rect_left")) & (F.col("width") > wide))
+    r = meet(rects, limits.select(*PAGE, "rect_left"), PAGE).where(F.col("fill") & (F.col("x0") > F.col("rect_left")) & (F.col("width") > wide))
     made = r.groupBy(*PAGE).agg(cluster_boxes(F.collect_list(F.struct("top", "x0", "seq", "x1", "bottom"))).alias("c"))
     ends = F.transform("c", lambda b: F.struct(*(b[n].alias(n) for n in ("first", "x0", "x1", "top", "bottom")), next_lower_in(F.col("c"), b).alias("y_bottom")))
     # outer, as Spark else infers a filter that there are boxes, and folds and ends them for it once more
@@ -73,7 +74,7 @@ def boxes(rects: DataFrame, limits: DataFrame, wide: float = 20) -> DataFrame:
 
 def blocks(words: DataFrame, clusters: DataFrame, limits: DataFrame) -> DataFrame:
     """Clusters with the words they hold, in reading order; a word may be in several, and clusters without words vanish."""
-    c = clusters.select(*PAGE, "cluster_idx", F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), F.col("top").alias("ctop"), "y_bottom").join(limits.select(*PAGE, "word_left", "word_right"), PAGE)
+    c = meet(clusters.select(*PAGE, "cluster_idx", F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), F.col("top").alias("ctop"), "y_bottom"), limits.select(*PAGE, "word_left", "word_right"), PAGE)
     inside = (F.col("x0") >= F.col("cx0") - 5) & (F.col("x1") <= F.col("cx1") + 10) & (F.col("top") >= F.col("ctop") - 5) & (F.col("top") <= F.col("y_bottom")) & (F.col("top") < 560) & (F.col("x0") > F.col("word_left")) & (F.col("word_right").isNull() | (F.col("x1") <= F.col("word_right")))
-    met = words.join(c, PAGE).where(inside)
+    met = meet(words, c, PAGE).where(inside)
     return met.groupBy(*PAGE, "cluster_idx", F.col("cx0").alias("x0"), F.col("cx1").alias("x1")).agg(F.min("top").alias("y_top"), F.sort_array(F.collect_list(F.struct("top", "x0", "seq", "text"))).alias("words"))

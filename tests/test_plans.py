@@ -31,6 +31,16 @@ def test_extract(spark):
     assert got == [("Monday", "08:00 AM", "09:00 AM", "Lecture", "S1W1-S1W12", 12, "COMP 1600", "FST"), ("Wednesday", "09:00 AM", "10:00 AM", "Lab", None, None, "COMP 1601", None)]
 
 
+def test_extraction_broadcasts_no_table(spark):
+    """Pages and words grow with the input, and stay small by their file: no join of an extraction may send them through the driver."""
+    words, rects, pages = tables = [df.cache() for df in page(spark)]
+    assert all(df.count() for df in tables)  # their sizes are known now
+    got = [extract.results(words, rects, pages), extract.entries(words, rects, pages), audit.run(words, pages)["missing"]]
+    for df in got:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_audit_and_reports(spark, tmp_path):
     words, _, pages = page(spark)
     out = audit.run(words, pages)
