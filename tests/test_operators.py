@@ -306,6 +306,24 @@ def test_nearest_makes_no_pairs(spark):
     assert "Join" not in _plan(out)
 
 
+def test_next_lower_makes_no_pairs(spark):
+    """Against every pair: equal heights, edges of the tolerance, rows without a place, a hot column cut into blocks."""
+    rng = random.Random(5)
+    near = lambda: rng.choice([None, float("nan"), float("inf"), -3.0, 899.01, 909.01, 919.01, rng.randrange(0, 4000) / 100, rng.uniform(-200, 200), 0.1 * rng.randrange(-300, 300)])
+    rows = [(k, rng.choice(["a", "b", None]), near(), rng.choice([None, float(rng.randrange(40)), rng.uniform(0, 40)])) for k in range(500)]
+    rows += [(k, "hot", 5.0 + k % 3 * 6, float(k // 7)) for k in range(500, 800)]
+    df = spark.createDataFrame(rows, "i int, k string, x double, y double").repartition(3)
+    want = []
+    for i, k, x, y in rows:
+        low = [b[3] for b in rows if k is not None and b[1] == k and None not in (x, y, b[2], b[3]) and abs(x - b[2]) < 10 and b[3] > y]
+        want.append((i, min(low) - 2 if low else y + 130 if y is not None else None))
+    for block_rows in (8, 1 << 16):
+        out = overlap.next_lower(df, ["k"], "x", "y", "i", block_rows=block_rows)
+        assert out.columns == [*df.columns, "y_bottom"]
+        assert sorted((r.i, r.y_bottom) for r in out.collect()) == sorted(want)
+    assert _plan(out).count("Join") == 1  # the rows with what was found
+
+
 def test_boxes_end_within_their_page(spark):
     """y_bottom of each cluster is that of next_lower, with one grouping of the boxes in the plan."""
     rng = random.Random(3)
