@@ -479,3 +479,19 @@ def test_every_occurrence_of_a_frequent_seed(spark):
     rows = [(k, " ".join([*words(45), *(passage() if k > 30 else [*line, *words(25)]), *words(45)])) for k in range(1, 33)]
     (r,) = fuzzy(spark, rows, few=None, block_bytes=6000)
     assert (r[0], r[3]) == (32, 31) and r[1:3] == (45, 85) and r[6] == 35
+
+
+@pytest.mark.parametrize("block_bytes", [6000, 1 << 20])
+def test_frequent_seeds_are_matched_each_with_each(spark, block_bytes):
+    """The same by the query's own settings, with the words nearby of the seeds of such a line: of a passage once, and of one that repeats itself."""
+    rng = random.Random(37)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, runs = words(15), [words(4) for _ in range(5)]
+    passage = lambda: [*line, *(w for r in runs for w in (*words(1), *r))]
+    part = lambda k: passage() if k > 30 else [*line, *words(25)]
+    rows = [(k, " ".join([*words(45), *(w for _ in range(k % 3 + 1) for w in (*part(k), *words(45)))])) for k in range(1, 36)]
+    got = fuzzy(spark, rows, block_bytes=block_bytes)
+    assert {r[0] for r in got} | {r[3] for r in got} == {31, 32, 33, 34, 35}
+    assert {(r[0], r[3]) for r in got} == {(a, b) for a in range(31, 36) for b in range(31, a)}
+    for k in (32, 33, 35):  # each of its passages is in one that is given
+        assert {r[1] for r in got if r[0] == k} | {r[4] for r in got if r[3] == k} >= {45 + 85 * i for i in range(k % 3 + 1)}
